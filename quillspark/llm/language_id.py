@@ -71,16 +71,17 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str]):
         self.langs, self.table = sorted(set(langs)), symbol_table(texts)
-        marked = [self._marks(t) for t in texts]
         by: dict[str, list[int]] = {}
         for k, lang in enumerate(langs):
             by.setdefault(lang, []).append(k)
         share = max(1, LANDMARKS // max(1, len(by)))
         marks = [k for lang in self.langs for k in by[lang][:share]]
-        self.used = np.flatnonzero(np.logical_or.reduce([marked[k] for k in marks]))
-        self.presence = np.stack([marked[k][self.used] for k in marks], axis=1).astype(np.float32)
+        shown = np.stack([self._marks(texts[k]) for k in marks])
+        self.used = np.flatnonzero(shown.any(axis=0))
+        self.presence = shown[:, self.used].T.astype(np.float32)
         self.presence /= np.sqrt(self.presence.sum(axis=0, keepdims=True))
-        kernel = np.concatenate([self.kernel([m]) for m in marked]).astype(float)
+        del shown
+        kernel = np.concatenate([self.kernel([self._marks(t)]) for t in texts]).astype(float)
         values, vectors = np.linalg.eigh(kernel[marks])
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])

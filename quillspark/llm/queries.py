@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, exact_dedup, language_id, mixing, simhash
+from quillspark.llm import chat, decontam, exact_dedup, html_extract, language_id, mixing, pii, quality, simhash, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,25 +19,64 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op4_mixing, op6_simhash, op8_exact_dedup, op10_decontamination)}
-
+    every = (op1_language_id, op2_chat_rotation, op3_pii, op4_mixing, op5_quality, op6_simhash, op7_html_extraction, op8_exact_dedup, op9_token_counts, op10_decontamination)
+    return {f.__name__: f for f in every}
+
+
+OP2_SQL = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(turn, 0) // 512 AS part FROM conversations),
+people AS (SELECT DISTINCT conv_id AS c, role AS participant FROM said WHERE role <> 'system'),
+met AS (
+  SELECT s.*, p.participant, s.role = p.participant AS own,
+         CASE WHEN s.role = p.participant THEN '<|im_start|>assistant' || chr(10) WHEN s.role = 'system' THEN '<|im_start|>system' || chr(10)
+              ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.c),
+placed AS (
+  SELECT *, row_number() OVER turns AS nth, sum(length(head) + length(text) + 11) OVER turns - length(text) - 11 AS at
+  FROM met WINDOW turns AS (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, participant, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
+       coalesce(string_agg(at || ':' || (at + length(text)), ',' ORDER BY nth) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, participant, part
+"""
 
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -48,4 +87,4 @@ WINDOW same AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_chat_rotation": OP2_SQL, "op8_exact_dedup": OP8_SQL}
