@@ -70,11 +70,11 @@ met AS (
               ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.c),
 placed AS (
-  SELECT *, row_number() OVER turns AS nth, sum(length(head) + length(text) + 11) OVER turns - length(text) - 11 AS at
+  SELECT *, row_number() OVER turns AS nth, sum(length(head) + length(text) + 11) OVER turns - length(text) - 11 AS begin_at
   FROM met WINDOW turns AS (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, participant, part, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY nth) AS text,
-       coalesce(string_agg(at || ':' || (at + length(text)), ',' ORDER BY nth) FILTER (WHERE own), '') AS mask
+       coalesce(string_agg(begin_at || ':' || (begin_at + length(text)), ',' ORDER BY nth) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, participant, part
 """
 
