@@ -10,26 +10,27 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 
-def _arrow_type(ddl: str) -> tuple[DataType, pa.DataType]:
-    kind = _parse_datatype_string(ddl)
-    return kind, to_arrow_type(kind)
+def arrow_function(function: Callable, returns: str):
+    """An Arrow UDF, to be called on columns or registered for SQL; a null argument gives null."""
+    kind: DataType = _parse_datatype_string(returns)
+    arrow = to_arrow_type(kind)
 
+    @F.arrow_udf(kind)
+    def run(*arrays: pa.Array) -> pa.Array:
+        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
+        return pa.array([None if None in row else function(*row) for row in rows], arrow)
 
-def scanner(function: Callable, returns: str) -> Callable[..., Column]:
-    """A column function from a Python function of one text or more; a null argument gives null."""
-    wrapped: list = []
+    return run
 
-    def call(*columns: Column) -> Column:
-        if not wrapped:
-            kind, arrow = _arrow_type(returns)
 
-            @F.arrow_udf(kind)
-            def run(*arrays: pa.Array) -> pa.Array:
-                rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-                return pa.array([None if None in row else function(*row) for row in rows], arrow)
+def scanner(function: Callable, returns: str) -> Callable[..., Column]:
+    """A column function from a Python function of one text or more; made when it is first called."""
+    made: list = []
 
-            wrapped.append(run)
-        return wrapped[0](*columns)
+    def call(*columns: Column) -> Column:
+        if not made:
+            made.append(arrow_function(function, returns))
+        return made[0](*columns)
 
     return call
 

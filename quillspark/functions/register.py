@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from quillspark.functions import chunks as K, spans as S
-from quillspark.functions.arrow import _arrow_type
+from quillspark.functions.arrow import arrow_function
 from quillspark.functions.autofix import autofix, indent_list_blocks
 from quillspark.functions.lint import lint
 from quillspark.functions.sanitize import sanitize
@@ -28,11 +27,5 @@ FUNCTIONS: dict[str, tuple[Callable, str]] = {
 def register(spark: SparkSession) -> list[str]:
     """Register all functions with a session; null gives null."""
     for name, (function, returns) in FUNCTIONS.items():
-        kind, arrow = _arrow_type(returns)
-
-        @F.arrow_udf(kind)
-        def run(values: pa.Array, function=function, arrow=arrow) -> pa.Array:
-            return pa.array([None if t is None else function(t) for t in values.to_pylist()], arrow)
-
-        spark.udf.register(name, run)
+        spark.udf.register(name, arrow_function(function, returns))
     return list(FUNCTIONS)
