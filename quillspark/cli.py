@@ -7,6 +7,7 @@ import datetime as dt
 import json
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,8 @@ from quillspark.functions import chunks as K, spans as S
 from quillspark.operators import chunking, markdown as M
 from quillspark.operators.model import HttpChatClient
 from quillspark.plans import lint_fix
-from quillspark.plans.translate import Options, translate
+from quillspark.plans.documents import converter, url_documents
+from quillspark.plans.translate import Options, profile, translate
 from quillspark.sources import files, reader
 
 
@@ -37,49 +39,59 @@ def _target(args: argparse.Namespace) -> str:
     return args.input if args.in_place else args.out
 
 
-def _translated(docs: DataFrame, args: argparse.Namespace) -> dict[str, DataFrame]:
+def _model(args: argparse.Namespace) -> tuple[Callable[[], HttpChatClient], Options]:
     if not (url := os.environ.get("QUILLSPARK_MODEL_URL")) or not (key := os.environ.get("QUILLSPARK_MODEL_KEY")):
         raise ValueError("set QUILLSPARK_MODEL_URL and QUILLSPARK_MODEL_KEY")
     name = os.environ.get("QUILLSPARK_MODEL", "default")
     now = dt.datetime.now(dt.UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
-    options = Options(args.max_chunk_chars, args.concurrency, args.prompt_outline_mode, args.prompt_glossary_mode, model=name, timestamp=now)
-    return translate(docs, lambda: HttpChatClient(url, name, key), options, keep=DataFrame.cache)
+    options = Options.from_env(
+        os.environ, chunk_chars=args.max_chunk_chars, concurrency=args.concurrency, outline_mode=args.prompt_outline_mode, glossary_mode=args.prompt_glossary_mode, model=name, timestamp=now
+    )
+    return lambda: HttpChatClient(url, name, key), options
 
 
 def translate_md(args: argparse.Namespace) -> int:
-    row = _translated(files.read_texts(session(), [args.input]), args)["documents"].first()
+    client, options = _model(args)
+    row = translate(files.read_texts(session(), [args.input]), client, options, DataFrame.cache)["documents"].first()
     if row["error"]:
         raise RuntimeError(row["error"])
     files.atomic_write_text(args.out, row["text"])
     return 0
 
 
-def _fetched(spark: SparkSession, urls: DataFrame, args: argparse.Namespace) -> DataFrame:
-    options = reader.ReaderOptions(os.environ.get("QUILLSPARK_READER_URL", ""), timeout=int(args.timeout), key=os.environ.get("QUILLSPARK_READER_KEY"))
-    got = reader.fetch_markdown(urls, options, concurrency=args.concurrency)
-    return urls.join(got, "url", "left").select(F.xxhash64("url", "idx").alias("doc_id"), F.lit("url").alias("source_type"), F.col("url").alias("source_value"), F.lit("").alias("title_hint"), "md", "error", "out_name")
-
-
 def translate_urls(args: argparse.Namespace) -> int:
     """One address or lists of them; a failure stays in its row, and any makes the exit code 1."""
-    spark = session()
+    (client, options), spark = _model(args), session()
     if args.url:
         urls = spark.createDataFrame([(1, 1, args.url, 1, os.path.basename(args.out))], "list_no int, line_no long, url string, idx long, out_name string")
     else:
         urls = files.batch_paths(files.url_lists(spark, args.url_list))
-    docs = _fetched(spark, urls, args).cache()
-    done = _translated(docs.where("error IS NULL").drop("error", "out_name"), args)["documents"]
-    rows = docs.select("doc_id", "source_value", "out_name", F.col("error").alias("fetch_error")).join(done.select("doc_id", "text", "error"), "doc_id", "left")
+    found = reader.ReaderOptions(os.environ.get("QUILLSPARK_READER_URL", ""), timeout=int(args.timeout), key=os.environ.get("QUILLSPARK_READER_KEY"))
+    convert = None if args.no_snapdown_mermaid else converter(client, args.concurrency)
+    docs = url_documents(urls, found, convert, concurrency=args.concurrency, keep=DataFrame.cache).cache()
+    done = translate(docs.where("error IS NULL").drop("error"), client, options, DataFrame.cache)["documents"]
+    rows = docs.select("doc_id", "url", "out_name", F.col("error").alias("fetch_error")).join(done.select("doc_id", "text", "error"), "doc_id", "left")
     folder, failed = (os.path.dirname(os.path.abspath(args.out)) if args.url else args.out_dir), 0
     for row in rows.toLocalIterator():
         if error := row["fetch_error"] or row["error"]:
             failed += 1
-            print(f"failed: {row['source_value']}: {error}", file=sys.stderr)
+            print(f"failed: {row['url']}: {error}", file=sys.stderr)
         else:
             files.atomic_write_text(os.path.join(folder, row["out_name"]), row["text"])
     return int(failed > 0)
 
 
+def debug_profile(args: argparse.Namespace) -> int:
+    client, options = _model(args)
+    row = profile(files.read_texts(session(), [args.input]), client, options).select("error", F.to_json("profile").alias("json"), "profile.markdown").first()
+    if row["error"]:
+        raise RuntimeError(row["error"])
+    files.atomic_write_text(args.out, row["json"])
+    if args.md_out:
+        files.atomic_write_text(args.md_out, row["markdown"])
+    return 0
+
+
 def lint_md(args: argparse.Namespace) -> int:
     """0 without issues, 1 with, 2 for wrong use; --fix writes only what came out clean."""
     docs = files.read_texts(session(), [args.input])
@@ -160,8 +172,10 @@ def parser() -> argparse.ArgumentParser:
     need, source, out = {"required": True}, ("--in", {"required": True, "dest": "input"}), ("--out", {"required": True})
     place = (("--out", {}), ("--in-place", {"action": "store_true"}))
     command("translate-md", translate_md, source, out, common=True)
-    command("translate-url", translate_urls, ("--url", need), out, common=True)
-    command("translate-url-batch", translate_urls, ("--url-list --url-file", need | {"action": "append", "dest": "url_list"}), ("--out-dir", need), ("--url", {"help": argparse.SUPPRESS}), common=True)
+    plain = ("--no-snapdown-mermaid", {"action": "store_true"})
+    command("translate-url", translate_urls, ("--url", need), out, plain, common=True)
+    command("translate-url-batch", translate_urls, ("--url-list --url-file", need | {"action": "append", "dest": "url_list"}), ("--out-dir", need), ("--url", {"help": argparse.SUPPRESS}), plain, common=True)
+    command("debug-profile", debug_profile, source, out, ("--md-out", {}), common=True)
     command("lint-md", lint_md, source, ("--fix", {"action": "store_true"}), *place, ("--strict-renderer", {"choices": ("on", "off"), "default": "on"}), ("--max-safe-list-depth", {"type": int, "default": 1}))
     command("sanitize-md", sanitize_md, source, *place)
     command("debug-chunk", debug_chunk, source, ("--max-chunk-chars", {"type": int, "default": 8000}), ("--json", {"action": "store_true"}))

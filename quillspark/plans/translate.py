@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -27,10 +28,30 @@ class Options:
     glossary_mode: str = "filtered"
     strict: bool = True
     max_depth: int = 1
+    most_terms: int = G.MOST_TERMS
+    most_chars: int = G.MOST_CHARS
     model: str = "unknown"
     timestamp: str = "1970-01-01T00:00:00Z"
     retry: Retry = Retry()
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str], **given) -> Options:
+        """Options from QUILLSPARK_STRICT, _MAX_LIST_DEPTH, _GLOSSARY_TERMS, _GLOSSARY_CHARS; what isn't valid is left at its default.
+
+        Read on the driver alone: executors get the values.
+        """
+        words = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
+        found: dict = {}
+        if (strict := words.get(env.get("QUILLSPARK_STRICT", "").strip().lower())) is not None:
+            found["strict"] = strict
+        for name, field, least in (("MAX_LIST_DEPTH", "max_depth", 1), ("GLOSSARY_TERMS", "most_terms", 0), ("GLOSSARY_CHARS", "most_chars", 0)):
+            raw = env.get(f"QUILLSPARK_{name}", "").strip()
+            if re.fullmatch(r"[+-]?\d+", raw):
+                value = int(raw)
+                if value >= least or field == "max_depth":
+                    found[field] = max(least, value)
+        return cls(**found | given)
+
 
 def finished(answer, original, entries, options: Options):
     """struct<value<text, warnings>, error> of a model's answer."""
@@ -42,6 +63,16 @@ def finished(answer, original, entries, options: Options):
     return checked(run, FINISHED, SpanError)(answer, original, entries)
 
 
+def profile(docs: DataFrame, make_client: Callable[[], Client], options: Options = Options(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """doc_id, profile (with its markdown), error: one call a document."""
+    asked = docs.select("doc_id", P.profile_messages(F.col("md"), F.col("source_type"), F.col("source_value"), F.col("title_hint")).alias("messages"))
+    replies = keep(complete(asked, make_client, ("doc_id",), True, options.concurrency, options.retry))
+    met = docs.select("doc_id", "source_type", "source_value", "title_hint").join(replies, "doc_id")
+    parsed = profiles(met.withColumn("response", C.unwrap_json_fence(F.col("response"))))
+    failed = met.select("doc_id", F.col("error").alias("call_error"))
+    return keep(parsed.join(failed, "doc_id").select("doc_id", "profile", F.coalesce("call_error", "error").alias("error")))
+
+
 def translate(docs: DataFrame, make_client: Callable[[], Client], options: Options = Options(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """Tables documents (doc_id, text, issues, error) and chunks (doc_id, idx, text, warnings, calls, error).
 
@@ -51,17 +82,10 @@ def translate(docs: DataFrame, make_client: Callable[[], Client], options: Optio
     if options.glossary_mode not in ("filtered", "full"):
         raise ValueError("glossary_mode must be 'filtered' or 'full'")
     clean = keep(docs.withColumn("md", M.fetched_cleaned(F.col("md"))))
-    asked = clean.select("doc_id", P.profile_messages(F.col("md"), F.col("source_type"), F.col("source_value"), F.col("title_hint")).alias("messages"))
-    replies = keep(complete(asked, make_client, ("doc_id",), True, options.concurrency, options.retry))
-    met = clean.select("doc_id", "source_type", "source_value", "title_hint").join(replies, "doc_id")
-    known = keep(
-        profiles(met.withColumn("response", C.unwrap_json_fence(F.col("response"))))
-        .join(met.select("doc_id", F.col("error").alias("call_error")), "doc_id")
-        .select("doc_id", "profile", F.coalesce("call_error", "error").alias("error"))
-    )
+    known = profile(clean, make_client, options, keep)
     plan = chunking.chunk_plan(clean, most=options.chunk_chars)
     rows = keep(plan.where("error IS NULL").join(known.where("error IS NULL").select("doc_id", F.col("profile.outline").alias("outline"), F.col("profile.glossary").alias("glossary"), F.col("profile.style_guide.rules").alias("rules")), "doc_id"))
-    given = rows.withColumn("terms", F.col("glossary")) if options.glossary_mode == "full" else G.filter_glossary(rows)
+    given = rows.withColumn("terms", F.col("glossary")) if options.glossary_mode == "full" else G.filter_glossary(rows, most_terms=options.most_terms, most_chars=options.most_chars)
     safe = keep(given.withColumn("p", preserve.protected(F.col("source_text"))).withColumn("map", F.col("p.value.map")))
     names = F.array_sort(F.transform("map", lambda e: e["placeholder"]))
     sent = safe.where("p.error IS NULL").select("doc_id", "idx", names.alias("placeholders"), P.translate_messages(F.col("p.value.text"), F.col("outline"), F.col("terms"), F.col("rules"), names, options.outline_mode).alias("messages"))

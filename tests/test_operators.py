@@ -10,6 +10,7 @@ from quillspark.functions import columns as C, diagrams as D, profiles as R
 from quillspark.functions.register import register
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, model, preserve
 from quillspark.plans import lint_fix
+from quillspark.plans.documents import converter, url_documents
 from quillspark.plans.queries import EchoClient
 from quillspark.plans.translate import Options, translate
 from quillspark.sources import files, reader
@@ -273,3 +274,19 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "chunks.json").write_text(capsys.readouterr().out)
     assert cli.main(["debug-reconstruct", "--chunks", str(tmp_path / "chunks.json")]) == 0 and capsys.readouterr().out == MD
     assert cli.main(["debug-protect", "--in", "no", "--out", "x", "--map", "y"]) == 1
+
+
+def test_documents_from_addresses(spark):
+    text = "# Three\n\n" + "words " * 60 + "\n"
+    pages = {"https://r/https://a": (200, json.dumps({"code": 200, "content": text})), "https://a": (200, PAGE), "https://r/https://b": (200, json.dumps({"code": 200, "content": text})), "https://b": (500, "")}
+    urls = spark.createDataFrame([("https://a", 1), ("https://b", 2), ("https://c", 3)], "url string, idx int")
+    convert = converter(lambda: model.FakeClient(lambda t, k: json.dumps({"mermaid": "graph " + t[-1]})), 2)
+    got = {r["idx"]: r for r in url_documents(urls, reader.ReaderOptions("https://r/", attempts=1), convert, lambda u, f, h, t: pages.get(u, (404, "x"))).collect()}
+    assert got[1]["md"].startswith("# Three\n\n```mermaid\ngraph c\n```\n\nwords") and "```mermaid\ngraph b\n```" in got[1]["md"]
+    assert got[2]["md"] == text and got[3]["error"] == "Unexpected HTTP 404 with non-JSON body" and len({r["doc_id"] for r in got.values()}) == 3
+
+
+def test_options_from_the_environment():
+    env = {"QUILLSPARK_STRICT": "Off", "QUILLSPARK_MAX_LIST_DEPTH": "-2", "QUILLSPARK_GLOSSARY_TERMS": "x", "QUILLSPARK_GLOSSARY_CHARS": "0"}
+    options = Options.from_env(env, model="m")
+    assert (options.strict, options.max_depth, options.most_terms, options.most_chars, options.model) == (False, 1, 30, 0, "m")
