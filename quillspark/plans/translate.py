@@ -63,6 +63,14 @@ def finished(answer, original, entries, options: Options):
     return checked(run, FINISHED, SpanError)(answer, original, entries)
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Keep what a model was paid for: a reliable checkpoint where the session names a shared folder, else a cache."""
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None and named:
+        sc.setCheckpointDir(named)
+    return df.checkpoint() if sc.getCheckpointDir() else df.cache()
+
+
 def profile(docs: DataFrame, make_client: Callable[[], Client], options: Options = Options(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """doc_id, profile (with its markdown), error: one call a document."""
     asked = docs.select("doc_id", P.profile_messages(F.col("md"), F.col("source_type"), F.col("source_value"), F.col("title_hint")).alias("messages"))
