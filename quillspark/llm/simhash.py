@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.common import col, cut, id_type
 from quillspark.llm.components import connected_components
 
-SHINGLE, RADIUS, SEED, BLOCK = 4, 4, 42, 1 << 15
+SHINGLE, RADIUS, SEED, BLOCK, HEAVY = 4, 4, 42, 1 << 15, 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -122,13 +122,21 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links)."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = connected_components(near_links(distinct.select("fp"), radius), "a", "b")
     member = distinct.join(linked, distinct.fp == linked.node).select("fp", "least", "component")
     smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
     named = member.join(smallest, "component").select("fp", "component_id")
-    known = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = cut(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    return _by_fingerprint(fps, known).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _by_fingerprint(fps: DataFrame, known: DataFrame) -> DataFrame:
+    """Join on the fingerprint: those of more than one in ``HEAVY`` rows, fewer than ``HEAVY`` by that, are broadcast."""
+    rows = known.agg(F.sum("n")).first()[0] or 0
+    heavy, light = (known.where(c).drop("n") for c in (F.col("n") * HEAVY > rows, F.col("n") * HEAVY <= rows))
+    hot = fps.join(F.broadcast(heavy), "fp")
+    return hot.unionByName(fps.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(light, "fp"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
