@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from quillspark.llm.codepoints import codes, folded, runs
 from quillspark.llm.common import col, id_type
 
-TABLES, SAMPLES, SIMILARITY, BLOCK_ITEMS, BATCH_CHARS, ANCHOR_STEP = 8, 6, 0.8, 20_000, 1 << 20, 1
+TABLES, SAMPLES, SIMILARITY, BLOCK_ITEMS, BATCH_CHARS, ANCHOR_STEP = 12, 6, 0.8, 20_000, 1 << 20, 1
 #: Classes of items by number of words: at least so many words, steps walked, distance of steps that may be sampled.
 CLASSES = ((16, 24, 3), (8, 16, 2))
 _FILTER_BITS = 20
