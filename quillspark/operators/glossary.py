@@ -43,7 +43,8 @@ def ranked_terms(chunks: DataFrame, text_col: str = "source_text", glossary_col:
 
     The glossary is an array beside the chunk, so no row is multiplied.
     """
-    folded = chunks.withColumn("__folded", C.glossary_text(F.col(text_col))).withColumn("__words", C.glossary_words(F.col("__folded")))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator isn't inlined, so each text is folded once, not once a term
+    folded = chunks.withColumn("__folded", once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit("")))).withColumn("__words", once(C.glossary_words(F.col("__folded"))))
     graded = F.transform(
         glossary_col, lambda g, k: F.struct(priority(g["term_en"], F.col("__folded"), F.col("__words")).alias("priority"), k.alias("ord"), _entry(g).alias("entry"))
     )
