@@ -4,11 +4,15 @@ Words are runs of letters and digits, lower-cased; each becomes 64 hashed bits.
 The CGK walk of a window reads its word at the pointer and moves on when that word's
 bit for the step is set: two texts a few edits apart fall back into step, so edit
 distance turns into Hamming distance between the words read.  Every word of a
-document starts a window, all windows walk at once, and each of ``TABLES`` hash
-tables samples the words read at a few steps.  Items walk from several anchors, so
-an edit spoils some anchors and tables but hardly all (recall is measured in tests).
+document starts a window; ``WALKS`` independent walks, each with bits of its own, start
+there, and each hash table samples the words that one of them reads at a few steps; one
+more table reads a run of adjacent words.  Items walk from every anchor and only inside
+themselves, so verbatim copies are certain, and an edit spoils few of an item's keys
+(recall is measured in tests, by length).  A key of an item reads different words, as
+runs of one word are everywhere.
 A colliding window is verified: the exact edit distance between the item's characters
-and the best part of the surrounding words, similarity 1 - edits / length.
+and the best part of the text within reach, similarity 1 - edits / length.  Before it,
+common trigrams rule out what can't be similar enough.
 
 Nothing is shuffled: the items' keys go to the tasks, ``BLOCK_ITEMS`` items at a
 time, whatever their number; each block is one pass over all rows.
@@ -19,8 +23,10 @@ out; repeated rows and items each have their own rows; an empty table gives no r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +35,13 @@ from pyspark.sql import DataFrame
 from quillspark.llm.codepoints import codes, folded, runs
 from quillspark.llm.common import col, id_type
 
-TABLES, SAMPLES, SIMILARITY, BLOCK_ITEMS, BATCH_CHARS, ANCHOR_STEP = 12, 6, 0.8, 20_000, 1 << 20, 1
-#: Classes of items by number of words: at least so many words, steps walked, distance of steps that may be sampled.
-CLASSES = ((16, 24, 3), (8, 16, 2))
-_FILTER_BITS = 20
+WALKS, STEPS, SIMILARITY, BLOCK_ITEMS, BATCH_CHARS = 4, 8, 0.8, 20_000, 1 << 20
+#: Classes of items by number of words: at least so many words, different words that a key reads.
+CLASSES = ((32, 4), (12, 3), (4, 2), (1, 1))
+#: Steps that the tables of every walk sample, by number of words read; the first is the anchor itself.
+SAMPLED = {4: ((0, 2, 4, 6), (0, 1, 3, 6), (0, 3, 5, 7)), 3: ((0, 2, 4), (0, 3, 5), (0, 2, 7)), 2: ((0, 2), (0, 4), (0, 6)), 1: ()}
+_FILTER_BITS, _GRAM = 20, 3
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -56,32 +65,53 @@ def spelled(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
     return " ".join(points[a:b].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def class_of(words: int) -> int:
-    return next((least for least, _, _ in CLASSES if words >= least), words)
+def joined(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words, joined by single spaces, and where each of them starts."""
+    sizes = ends - starts + 1
+    places = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), 32, "<u4")
+    out[np.arange(out.size - starts.size) + np.repeat(np.arange(starts.size), sizes - 1)] = points[points != 0]
+    return out[:-1].tobytes().decode("utf-32-le", "surrogatepass"), places
 
 
-def sampled_steps(size: int) -> np.ndarray:
-    """The steps that each table of a class samples; at step j a pointer has passed at most j words."""
-    for least, steps, gap in CLASSES:
-        if size == least:
-            rng = np.random.default_rng(7)
-            return np.array([np.sort(rng.choice(steps // gap, SAMPLES, replace=False)) * gap + rng.integers(0, gap) for _ in range(TABLES)])
-    top = size - 1
-    return np.array([[0, top // 2, top], [0, max(0, top - 1), top], [0, (top + 1) // 2, max(0, top - 1)]][: 1 if size < 4 else 3])
+def keys_of(bits: np.ndarray, weight: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """For each table the keys of every start in ``bits``, the words read, and the place of the last one.
 
+    The first table reads a run of words as it stands, the others what one of several independent walks comes by.
+    """
+    n = bits.size
+    padded, starts = np.concatenate([bits, np.zeros(max(STEPS, weight), np.uint64)]), np.arange(n)
+    read = [padded[k : k + n] for k in range(weight)]
+    yield _mixed(read), read, starts + weight - 1
+    last = max((s[-1] for s in SAMPLED[weight]), default=0)
+    for w in range(WALKS if last else 0):
+        at, ats, reads = starts.copy(), [], []
+        for j in range(last + 1):
+            reads.append(padded[at])
+            ats.append(at)
+            at = at + ((reads[-1] >> np.uint64((w * STEPS + j) % 64)) & np.uint64(1)).view(np.int64)
+        for sampled in SAMPLED[weight]:
+            read = [reads[j] for j in sampled]
+            yield _mixed(read), read, ats[sampled[-1]]
 
-def walk(bits: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Keys of every start in ``bits``, a row for each table's sampled steps; all tables share one walk."""
-    n, last = bits.size, int(max(s.max() for s in steps))
-    padded, at = np.concatenate([bits, np.zeros(last + 1, np.uint64)]), np.arange(n)
-    keys = np.zeros((len(steps), n), np.uint64)
-    for j in range(last + 1):
-        read = padded[at]
-        for t in (t for t, s in enumerate(steps) if j in s):
-            keys[t] = (keys[t] ^ read) * np.uint64(0x9E3779B97F4A7C15)
-            keys[t] ^= keys[t] >> np.uint64(29)
-        at += ((read >> np.uint64(j)) & np.uint64(1)).view(np.int64)
-    return keys
+
+def _differ(words: list[np.ndarray]) -> np.ndarray:
+    return np.all([np.ones(words[0].size, bool), *(a != b for a, b in combinations(words, 2))], axis=0)
+
+
+def _keyed(bits: np.ndarray, weight: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The keys of an item that lie inside it, and which are used: those of different words, or all if that leaves most starts without one."""
+    rows = [(key, last < bits.size, _differ(read)) for key, read, last in keys_of(bits, weight)]
+    few = 2 * np.any([inside & differ for _, inside, differ in rows], axis=0).sum() < np.any([inside for _, inside, _ in rows], axis=0).sum()
+    return [(key, inside & (differ | few)) for key, inside, differ in rows]
+
+
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    key = np.zeros(words[0].size, np.uint64)
+    for word in words:
+        key = (key ^ word) * _MIX
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def infix_distance(item: str, text: str) -> int:
@@ -104,52 +134,52 @@ def infix_distance(item: str, text: str) -> int:
     return best
 
 
+def _grams(text: str) -> Counter[str]:
+    return Counter(text[j : j + _GRAM] for j in range(len(text) - _GRAM + 1))
+
+
 @dataclass
 class Index:
     """Items and the keys of their anchors, by class of length."""
 
     ids: list
     plain: list[str]
-    sizes: list[int]
-    classes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # steps, filter, sorted keys, item, anchor
+    offsets: list[np.ndarray]  # of the words of each item in its plain text
+    classes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words a key reads, filter, sorted keys, item, anchor
 
     @classmethod
     def of(cls, items: list[tuple]) -> Index:
-        ids, plain, hashes = [], [], []
+        ids, plain, offsets, by = [], [], [], {}
         for i, text in items:
             points, starts, ends, bits = tokens(text or "")
             if bits.size:
+                by.setdefault(next(weight for least, weight in CLASSES if bits.size >= least), []).append((len(ids), bits))
                 ids.append(i)
                 plain.append(spelled(points, starts, ends))
-                hashes.append(bits)
-        by: dict[int, list[int]] = {}
-        for k, bits in enumerate(hashes):
-            by.setdefault(class_of(bits.size), []).append(k)
+                offsets.append(np.cumsum(ends - starts + 1) - (ends - starts + 1))
         classes = []
-        for size, members in sorted(by.items()):
-            steps, found = sampled_steps(size), []
-            for k in members:
-                keys = walk(hashes[k], list(steps))
-                last = hashes[k].size - size
-                for anchor in {*range(0, last + 1, ANCHOR_STEP), last}:
-                    found += [(int(key), k, anchor) for key in keys[:, anchor]]
-            found.sort()
-            keys = np.array([f[0] for f in found], np.uint64)
-            passes = np.zeros(1 << _FILTER_BITS, bool)
-            passes[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            classes.append((steps, passes, keys, np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)))
-        return cls(ids, plain, [b.size for b in hashes], classes)
+        for weight, members in sorted(by.items()):
+            found = [(key[ok], np.full(ok.sum(), k, np.int32), np.flatnonzero(ok).astype(np.int32)) for k, bits in members for key, ok in _keyed(bits, weight)]
+            keys, item, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((anchor, item, keys))
+            keys, item, anchor = keys[order], item[order], anchor[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]) | (anchor[1:] != anchor[:-1])])
+            filter_bits = max(_FILTER_BITS, min(26, int(new.sum()).bit_length() + 3))
+            passes = np.zeros(1 << filter_bits, bool)
+            passes[(keys >> np.uint64(64 - filter_bits)).astype(np.int64)] = True
+            classes.append((weight, passes, keys[new], item[new], anchor[new]))
+        return cls(ids, plain, offsets, classes)
 
     def candidates(self, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Items, windows that collide with one of their anchors, and the starts at which the items would lie."""
-        rows = iter(walk(bits, [s for c in self.classes for s in c[0]]))
-        for steps, passes, keys, item, anchor in self.classes:
-            for row in (next(rows) for _ in steps):
-                at = np.flatnonzero(passes[(row >> np.uint64(64 - _FILTER_BITS)).view(np.int64)])
+        """Items, words that collide with one of their anchors, and these anchors."""
+        for weight, passes, keys, item, anchor in self.classes:
+            shift = np.uint64(65 - passes.size.bit_length())
+            for row, _, _ in keys_of(bits, weight):
+                at = np.flatnonzero(passes[(row >> shift).view(np.int64)])
                 lo, hi = np.searchsorted(keys, row[at], "left"), np.searchsorted(keys, row[at], "right")
                 n = hi - lo
                 pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield item[pick], np.repeat(at, n), np.repeat(at, n) - anchor[pick]
+                yield item[pick], np.repeat(at, n), anchor[pick]
 
     def hits(self, texts: list[str | None], similarity: float) -> Iterator[tuple[int, int, int, int]]:
         """Text, item, edits and first word of every item found; texts go through in batches of bounded size."""
@@ -164,21 +194,37 @@ class Index:
 
     def _hits(self, batch: list[str], similarity: float) -> Iterator[tuple[int, int, int, int]]:
         points, starts, ends, bits = tokens("\n".join(batch))
-        if not bits.size:
+        if not bits.size or not self.classes:
             return
         begins = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in batch)]))
-        item, at, start = (np.concatenate(x) for x in zip(*self.candidates(bits), strict=True)) if self.classes else (np.empty(0, np.int64),) * 3
+        item, at, anchor = (np.concatenate(x).astype(np.int64) for x in zip(*self.candidates(bits), strict=True))
+        if not item.size:
+            return
+        plain, places = joined(points, starts, ends)
         text = np.searchsorted(begins, at, "right") - 1
-        tries, times = np.unique(np.stack([text, item, start], 1), axis=0, return_counts=True)
+        # An item's part lies where its anchor says, give or take the edits that it may have.
+        length, first = np.array([len(p) for p in self.plain]), np.cumsum([0, *(o.size for o in self.offsets)])
+        begin = places[at] - np.concatenate(self.offsets)[first[item] + anchor]
+        tries, inverse, times = np.unique(np.stack([text, item, at - anchor], 1), axis=0, return_inverse=True, return_counts=True)
+        low, high = np.full(len(tries), plain_end := len(plain)), np.zeros(len(tries), np.int64)
+        np.minimum.at(low, inverse, begin)
+        np.maximum.at(high, inverse, begin)
+        most = np.floor((1 - similarity) * length + 1e-9).astype(np.int64)[tries[:, 1]]
+        edge = np.append(places, plain_end + 1)
+        low = np.maximum(low - most - 1, edge[begins[tries[:, 0]]])
+        high = np.minimum(high + length[tries[:, 1]] + most + 1, edge[begins[tries[:, 0] + 1]] - 1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in np.argsort(-times, kind="stable"):
+        grams: dict[int, Counter[str]] = {}
+        for k in np.argsort(-times, kind="stable").tolist():
             t, i, s = tries[k].tolist()
             if best.get((t, i), (1, 0))[0]:
-                lo, hi = int(begins[t]), int(begins[t + 1])
-                slack, plain = 2 + self.sizes[i] // 4, self.plain[i]
-                near = slice(max(lo, s - slack), max(lo, min(hi, s + self.sizes[i] + slack)))
-                edits = infix_distance(plain, spelled(points, starts[near], ends[near]))
-                if 1 - edits / len(plain) >= similarity:
+                wanted, near, lo = self.plain[i], plain[low[k] : high[k]], int(begins[t])
+                if i not in grams:
+                    grams[i] = _grams(wanted)
+                if (grams[i] & _grams(near)).total() < grams[i].total() - _GRAM * int(most[k]):  # an edit spoils so many at most
+                    continue
+                edits = infix_distance(wanted, near)
+                if 1 - edits / len(wanted) >= similarity:
                     best[t, i] = min(best.get((t, i), (edits, s - lo)), (edits, s - lo))
         for (t, i), (edits, s) in best.items():
             yield t, i, edits, max(0, s)

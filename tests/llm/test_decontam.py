@@ -89,3 +89,26 @@ def test_empty_tables_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
     assert sorted((r["doc_id"], r["item_id"]) for r in D.contamination(docs(spark, rows), bench).collect()) == [(k, k) for k in range(5)]
     assert sorted(r["doc_id"] for r in D.drop_contaminated(docs(spark, rows), bench).collect()) == [5, 6, 7]
+
+
+def recall(words, change):
+    """Share found of items of so many words, in passages that hold as much of a change as the similarity lets pass."""
+    rng, items, texts = random.Random(words), [], []
+    for k in range(60):
+        item = rng.choices(WORDS, k=words)
+        part, whole = item[:], " ".join(item)
+        for p in rng.sample(range(words), words):
+            tried = [*part[:p], change(rng, part[p]), *part[p + 1 :]]
+            if 1 - D.infix_distance(whole, " ".join(tried)) / len(whole) < D.SIMILARITY or 2 * sum(a != b for a, b in zip(tried, item, strict=True)) > words:
+                break
+            part = tried
+        items.append((k, whole))
+        texts.append(f"{sentence(rng, 30)} {' '.join(part)} {sentence(rng, 30)}")
+    found = {(t, i) for t, i, _, _ in D.Index.of(items).hits(texts, D.SIMILARITY)}
+    return sum((k, k) in found for k in range(60)) / 60
+
+
+@pytest.mark.parametrize("words", [15, 16, 17, 18, 20, 22, 30, 39, 40, 60])
+def test_recall_by_length(words):
+    assert recall(words, lambda rng, w: rng.choice(WORDS)) >= 0.97
+    assert recall(words, lambda rng, w: "q" + w[1:]) >= 0.9  # up to half of the words misspelled
