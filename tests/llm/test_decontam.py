@@ -112,3 +112,16 @@ def recall(words, change):
 def test_recall_by_length(words):
     assert recall(words, lambda rng, w: rng.choice(WORDS)) >= 0.97
     assert recall(words, lambda rng, w: "q" + w[1:]) >= 0.9  # up to half of the words misspelled
+
+
+@pytest.mark.parametrize("words", range(4, 15))
+def test_recall_of_short_items(words):
+    assert recall(words, lambda rng, w: rng.choice(WORDS)) >= 0.97
+
+
+def test_verbatim_copies_are_certain():
+    rng = random.Random(3)
+    items = [(k, sentence(rng, 1 + k % 14)) for k in range(420)] + [(500, "the the the"), (501, "a b a b a b a b a b")]
+    texts = [f"{sentence(rng, 20)} {item} {sentence(rng, 20)}" for _, item in items]
+    found = {(t, i) for t, i, e, _ in D.Index.of(items).hits(texts, D.SIMILARITY) if e == 0}
+    assert all((k, k) in found for k in range(len(items)))
