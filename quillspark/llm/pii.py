@@ -69,13 +69,6 @@ _bare_dot = rf"(?<=[A-Za-z0-9-])\s+(?:{DOT_WORDS})\s+(?=[A-Za-z0-9-])"
 REWRITE = re.compile(rf"(?P<spelled>{_spelled})|(?P<at>{_at}|{_bare_at}|{_joined_at})|(?P<dot>{_dot}|{_bare_dot})", re.IGNORECASE)
 _TOKEN = re.compile(rf"(?P<digit>{_digit}|[0-9]+)|(?P<dot>{DOT_WORDS}|\.)|(?P<plus>{PLUS_WORDS}|\+)", re.IGNORECASE)
 
-#: What a text must hold to be normalised; run by RE2 over whole batches, so it has no look-around.
-_d = "(?:" + "|".join(DIGITS) + ")"
-TRIGGER = (
-    rf"(?i)[\[({{<]\s*(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s*[\])}}>]|\s(?:{DOT_WORDS})\s|{_d}(?:[\s,.-]+(?:(?:{DOT_WORDS})[\s-]+)?(?:{_d}|[0-9]+)){{2}}"
-    r"|[\x{00AD}\x{00B2}\x{00B3}\x{00B7}\x{00B9}\x{0131}\x{0251}\x{0261}\x{0370}-\x{052F}\x{0561}-\x{0587}\x{0660}-\x{0669}\x{06F0}-\x{06F9}\x{0966}-\x{096F}\x{200B}-\x{200D}\x{2010}-\x{2014}\x{2024}\x{2060}\x{2070}-\x{209C}\x{2212}\x{2219}\x{22C5}\x{2460}-\x{24FF}\x{3002}\x{FE50}-\x{FE6B}\x{FEFF}\x{FF01}-\x{FF61}\x{1D400}-\x{1D7FF}]"
-)
-
 
 def emails(text: str) -> list[tuple[int, int]]:
     """One look at every @: the local part is the run before it, which no other @ shares."""
@@ -131,6 +124,25 @@ def single_characters() -> np.ndarray:
     return table
 
 
+def _class(points: list[int]) -> str:
+    """The inside of an RE2 character class of these code points, in order."""
+    cuts = np.flatnonzero(np.diff(points) > 1) + 1
+    return "".join(rf"\x{{{run[0]:X}}}-\x{{{run[-1]:X}}}" for run in np.split(np.array(points), cuts))
+
+
+@cache
+def trigger() -> str:
+    """What a text must hold to be normalised: a character that the first transducer changes, or what the second one may rewrite.
+
+    Run by RE2 over whole batches, so it has no look-around; and as RE2's own is of ASCII only, Python's white space is spelled out.
+    """
+    table = single_characters()
+    changed = _class(np.flatnonzero((table != np.arange(table.size)) | (table == 0)).tolist())
+    gap = _class([c for c in range(table.size) if chr(c).isspace()])
+    s, d, dots = f"[{gap}]", "(?:" + "|".join(DIGITS) + ")", f"(?:{DOT_WORDS})"
+    return rf"(?i:[\[({{<]{s}*(?:{AT_WORDS}|@|{DOT_WORDS}|\.){s}*[\])}}>]|{s}{dots}{s}|{d}(?:[{gap},.-]+(?:{dots}[{gap}-]+)?(?:{d}|[0-9]+)){{2}})|[{changed}]"
+
+
 def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """The text without disguises, and for each of its characters the source start and end."""
     points = single_characters()[codes(text)]
@@ -191,13 +203,13 @@ def redact(text: str, spans: str, mask: str = "[{}]") -> str:
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
-    nothing = hashlib.sha256(b"").hexdigest()
+    nothing, odd_ones = hashlib.sha256(b"").hexdigest(), trigger()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             some = pc.match_substring_regex(texts, "[0-9@]").to_pylist()
-            odd = pc.match_substring_regex(texts, TRIGGER).to_pylist()
+            odd = pc.match_substring_regex(texts, odd_ones).to_pylist()
             counts, hashes, spans, more = {k: [] for k in KINDS}, [], [], []
             for k in range(batch.num_rows):
                 text = texts[k].as_py() if some[k] or odd[k] else ""

@@ -81,6 +81,26 @@ def test_pii_of_a_table(spark):
     assert P.redact("a@b.co and 10.0.0.1", by[3]["spans"]) == "[email] and [ip]"
 
 
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize("sign", [" ", "\x85", "\xa0", "\u1680", "\u2009", "\u2028", "\u202f", "\u3000"])
+def test_the_trigger_knows_every_space(sign):
+    assert re.search(r"\s", sign) and P.trigger() == P.trigger()
+    assert list(P.pc.match_substring_regex(P.pa.array([f"four{sign}one{sign}two", f"x{sign}dot{sign}com", f"a [{sign}at{sign}] b"]), P.trigger()).to_pylist()) == [True] * 3
+
+
+def test_disguises_reach_the_normaliser(spark):
+    table = P.single_characters()
+    changed = [chr(c) for c in range(len(table)) if (table[c] != c or not c) and not 0xD800 <= c < 0xE000]
+    assert all(P.pc.match_substring_regex(P.pa.array(changed), P.trigger()).to_pylist()) and not any(P.pc.match_substring_regex(P.pa.array(["plain words, 12!", "Größe é"]), P.trigger()).to_pylist())
+    spaces = [s for s in changed if table[ord(s)] == 32]
+    texts = [CARD.replace(" ", s) for s in spaces] + ["".join(chr(0x9E6 + int(c)) if c != " " else " " for c in CARD), "a@ᵇ.co", "four\u2028" + "one\u2028" * 14 + "one"]
+    got = {r["doc_id"]: r for r in P.find_private(docs(spark, list(enumerate(texts)))).collect()}
+    assert len(spaces) >= 15 and all(got[k]["spans"] == "card:0:19" for k in range(len(spaces) + 1))
+    assert all(got[k]["n_added"] for k in range(len(spaces) + 1, len(texts)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header class="site-header"><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div id="cookie-banner">We use cookies</div>
 <main><article class="post"><header><h1>Title &amp; more</h1><p class="byline">By me</p></header><p>First   paragraph
