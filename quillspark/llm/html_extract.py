@@ -8,8 +8,9 @@ sidebar, notice, advert, form, script or comment section never yield lines.
 Of the remaining lines the text-to-tag ratios are smoothed by a Gaussian and the
 lines over a threshold (the deviation of the smoothed ratios, the mean at most) form
 clusters: the content regions.  A region grows to the whole of the ``article`` or
-``main`` element in which it stands; elsewhere it grows over its neighbours in the
-same parent.  So short paragraphs of an article stay, and a page without such an
+``main`` element in which it stands; elsewhere all grow to the innermost element that
+holds every dense line (but for lines shorter than the threshold that only their
+neighbours make dense), and nothing in it is left out by its length.  So short paragraphs of an article stay, and a page without such an
 element still yields its dense part.
 
 Defined cases: null and empty pages, and pages without visible content, give an empty
@@ -85,6 +86,7 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, article, parent
+        self.outer, self.last = {0: 0}, {}  # by an element's number: that of the element around it, and the highest one inside it
 
     def flush(self) -> None:
         if self.parts:
@@ -99,6 +101,7 @@ class Lines(HTMLParser):
         """End the open elements from the k-th on."""
         while len(self.open) > k:
             tag, number = self.open.pop()
+            self.last[number] = self.number
             if self.skip == number:
                 self.skip = 0
             if self.articles and self.articles[-1] == number:
@@ -130,6 +133,7 @@ class Lines(HTMLParser):
             self.articles.append(self.number)
         if not self.skip and not self.in_header and tag == "header":
             self.in_header = self.number
+        self.outer[self.number] = self.open[-1][1] if self.open else 0
         self.open.append((tag, self.number))
 
     def end_implied(self, ended: set[str], scope: set[str]) -> None:
@@ -165,13 +169,14 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return both[0] / both[1]
 
 
-def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
-    """The text of the lines of all content regions."""
+def content_lines(lines: list[tuple[str, int, int, int]], outer: dict[int, int], last: dict[int, int]) -> list[str]:
+    """The text of the lines of all content regions; elements are numbered in page order, so those inside one are a range."""
     if not lines:
         return []
     ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
     smooth = smoothed(ratio)
-    dense = smooth >= min(smooth.std(), smooth.mean())
+    limit = min(smooth.std(), smooth.mean())
+    dense = smooth >= limit
     articles = {a for (_, _, a, _), d in zip(lines, dense, strict=True) if d and a}
     if articles:
         return [text for text, _, a, _ in lines if a in articles]
@@ -179,9 +184,15 @@ def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
     for (text, _, _, parent), d in zip(lines, dense, strict=True):
         if d:
             length[parent] = length.get(parent, 0) + len(text)
+    # Lines dense by their neighbours alone, like a row of links after the content, don't widen the region; inside it they stay.
     most = max(length.values(), default=0)
-    parents = {p for p, n in length.items() if 4 * n >= most}
-    return [text for text, _, _, parent in lines if parent in parents]
+    parents = [p for p, n in length.items() if n >= min(limit, most / 4)]
+    if not parents:
+        return []
+    root, end = min(parents), max(parents)
+    while root and last[root] < end:
+        root = outer[root]
+    return [text for text, _, _, parent in lines if not root or root <= parent <= last[root]]
 
 
 def main_text(html: str | None) -> str:
@@ -192,7 +203,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n".join(content_lines(parser.lines))
+    parser.close_to(0)
+    return "\n".join(content_lines(parser.lines, parser.outer, parser.last))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -118,6 +118,15 @@ def test_a_page_without_an_article():
     assert H.main_text(page).split("\n") == [("long text " * 20).strip(), "tiny", ("more text " * 20).strip()]
 
 
+def test_short_blocks_beside_long_ones_stay_without_an_article():
+    long = "<p>" + "long text of a page " * 20 + "</p>"
+    page = f"<body><div class='nav'><a>a</a></div><div id='c'>{long * 3}<ul><li>one<li>two</ul><table><tr><td>cell<td>42</table><pre>code()</pre>{long}<section><h2>End</h2><p>Short.</p></section><blockquote>Quoted</blockquote>{long}<dl><dt>term<dd>meaning</dl></div></body>"
+    whole = ("long text of a page " * 20).strip()
+    assert H.main_text(page).split("\n") == [whole] * 3 + ["one", "two", "cell", "42", "code()", whole, "End", "Short.", "Quoted", whole, "term", "meaning"]
+    split = f"<div id='c'><div>{long * 9}</div><div><p>A short part.</p></div><div>{long}</div></div>"
+    assert H.main_text(split).split("\n") == [whole] * 9 + ["A short part.", whole]
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
