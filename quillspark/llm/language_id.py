@@ -147,14 +147,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text some language claims, with all their columns; rows stream through, none are moved."""
+    """The rows whose text some language claims, or that has a letter where nothing can be learned from; rows stream through, none are moved."""
     shared, where = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_letter = letters()
         for batch in batches:
+            texts = batch.column(where).to_pylist()
             if shared.value is not None:
-                names, _ = shared.value.predict(batch.column(where).to_pylist())
-                batch = batch.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
-            yield batch
+                keep = [n != UNKNOWN for n in shared.value.predict(texts)[0]]
+            else:
+                keep = [bool(t) and any(is_letter[codes(t[k : k + CHUNK])].any() for k in range(0, len(t), CHUNK)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

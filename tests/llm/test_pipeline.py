@@ -41,6 +41,12 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, P.run(spark, str(tmp_path)).select("doc_id", "copies", "taken").collect())) == sorted(map(tuple, docs.select("doc_id", "copies", "taken").collect()))
 
 
+def test_texts_without_a_letter_go_without_labels_too(spark):
+    rows = [(1, "words"), (2, "12 34 !!"), (3, None), (4, ""), (5, "中")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in P.known_language(spark, docs, "").collect()} == {1, 5}
+
+
 def test_empty_documents(spark, tmp_path):
     make(spark, tmp_path, [], [(1, "a b c d e f")])
     assert P.run(spark, str(tmp_path)).collect() == []
