@@ -84,7 +84,11 @@ def fence_markers(text: Column) -> Column:
 def dollar_counts(text: Column) -> tuple[Column, Column]:
     """Unescaped single and double dollars."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)\\.|\$\$|\$"), F.lit(0))
-    return tuple(F.size(F.filter(found, lambda t, x=x: t == x)) for x in ("$", "$$"))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter(found, lambda token: token == F.lit(kind)))
+
+    return of("$"), of("$$")
 
 
 def split_double_fences(text: Column) -> Column:
