@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import columns as C
+from quillspark.operators.lineage import numbered
 
 
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -35,11 +36,8 @@ def url_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def batch_paths(urls: DataFrame, order: tuple[str, ...] = ("list_no", "line_no"), url_col: str = "url") -> DataFrame:
     """``urls`` with idx (from 1, over all in order) and out_name; numbers have three digits or more, so names differ."""
-    from pyspark.sql import Window
-
-    idx = F.row_number().over(Window.orderBy(*order)).cast("long")
     number = F.when(F.col("idx") < 1000, F.lpad(F.col("idx").cast("string"), 3, "0")).otherwise(F.col("idx").cast("string"))
-    return urls.withColumn("idx", idx).withColumn("out_name", F.concat(number, F.lit("-"), C.url_slug(F.col(url_col)), F.lit(".md")))
+    return numbered(urls, "idx", *order).withColumn("out_name", F.concat(number, F.lit("-"), C.url_slug(F.col(url_col)), F.lit(".md")))
 
 
 def atomic_write_text(path: str, content: str) -> None:
