@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from quillspark.operators.lineage import cut, drop_folder, numbered, shared_folder
+
+__all__ = ["ascii_lower", "col", "cut", "drop_folder", "free_name", "held_out", "id_type", "numbered", "same_key", "shared_folder"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -18,30 +20,17 @@ def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only a local session that names none gets a temporary folder; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store it is."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def same_key(*columns: Column) -> Column:
+    """One string that is equal exactly where all columns are, nulls included: a join and a window on it share their exchange."""
+    return F.concat(*(F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns))
 
 
 def ascii_lower(text: Column) -> Column:

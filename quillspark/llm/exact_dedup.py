@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillspark.llm.common import ascii_lower, col, cut
+from quillspark.llm.common import ascii_lower, col, cut, free_name, same_key
 
 COUNTERS = 255
 
@@ -85,12 +85,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns and repeated rows gone.
 
-    Ids of kept rows travel; the texts are dealt by id once, to meet them.
+    Keys of kept rows travel - digest and id - and the texts are dealt by it once: the
+    join and the choice among repeated rows share the exchange.
     """
-    names = docs.columns
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    full = docs.withColumn("__digest_own", F.unhex(F.sha2(ascii_lower(col(text_col)).cast("binary"), 256)))
-    met = full.join(kept.hint("shuffle_hash"), col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest_own") == F.col("__digest")), "left_semi")
-    same = Window.partitionBy(col(id_col), "__digest_own").orderBy(*(F.xxhash64(col(c)) for c in names))
-    return met.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*(col(c) for c in names))
-
+    key, nth = free_name(docs, "dedup_key"), free_name(docs, "dedup_nth")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(same_key(F.col("text_sha256"), F.col("doc_id")).alias(key))
+    own = same_key(F.sha2(ascii_lower(col(text_col)).cast("binary"), 256), col(id_col))
+    met = docs.withColumn(key, own).join(kept.hint("shuffle_hash"), key, "left_semi")
+    same = Window.partitionBy(key).orderBy(*(F.xxhash64(col(c)) for c in docs.columns))
+    return met.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*(col(c) for c in docs.columns))

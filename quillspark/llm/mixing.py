@@ -1,16 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-A source's target over its size is the copy probability of each of its documents;
-the whole part is taken outright, the fraction is rounded dependently.  A document is
-paired with the pool of those behind it; the two exchange word mass, in a randomly
-chosen direction whose odds keep both expectations, until one of them is integral.
-What both hold together never changes, so a source's total stays on its target, but
-for the one document that is left over at the end.
+A source's target over its size is the copy probability of each of its documents; the
+whole part is taken outright, the fraction is rounded dependently.  Two documents at a
+time exchange word mass, in a randomly chosen direction whose odds keep both
+expectations, until one of them is integral; the other goes on to the next.  What both
+hold together never changes, so a source's total stays on its target, but for the one
+document that is left over at the end and rounded by itself.
 
 Documents are dealt to blocks by a hash of the id, so a hot source is spread.  Each
 block settles all but one document of a source; these residuals are combined
 ``FAN`` blocks at a time, level by level: a reduction tree whose depth is the
-logarithm of the rows.  Larger documents go first, so what is left over is small.
+logarithm of the rows.  Larger documents go first, so what is left over is small,
+unless one outweighs all behind it.
 
 Targets: sources in order of code point, null last, weigh ``weights``, repeating;
 their targets share ``share`` of all words, but stop at ``most`` times the source's
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillspark.llm.common import col, cut, id_type
+from quillspark.llm.common import col, cut, free_name, id_type, numbered, same_key
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK_ROWS, FAN, SEED, EPS = 4000, 64, 20240229, 1e-9
@@ -39,49 +40,43 @@ WORD = r"[^\x20\x09-\x0D]+"
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, rank (0-based), source_size, target; one row per source of (source, size).
 
-    A source is full when the common level - words per weight - reaches its limit.
-    Full ones come first by limit per weight, so the level behind the first k sources
-    is (all words - limits of these k) / (weights of the rest); the level that holds is
-    the first at which the next source isn't full.
+    Sources are full whose limit per weight the common level - words per weight - reaches;
+    the level is raised by what full ones leave over until no other one becomes full.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    given = F.array(*(F.lit(float(w)) for w in weights))
-    ranked = totals.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).withColumn("weight", F.element_at(given, F.col("rank") % len(weights) + 1))
-    limit, rate = most * F.col("source_size"), most * F.col("source_size") / F.col("weight")
-    whole, by_rate = Window.partitionBy(), Window.partitionBy().orderBy(rate, "rank")
-    before = by_rate.rowsBetween(Window.unboundedPreceding, -1)
-    level = (share * F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / F.sum("weight").over(by_rate.rowsBetween(0, Window.unboundedFollowing))
-    held = ranked.withColumn("rate", rate).withColumn("level", level).withColumn("holds", F.min(F.when(F.col("level") <= F.col("rate"), F.struct("rate", "level"))).over(whole))
-    target = F.least(limit, F.coalesce(F.col("holds.level") * F.col("weight"), limit))
-    return held.select("source", "rank", "source_size", target.alias("target"))
+    ranked = numbered(totals.withColumn("last", F.col("source").isNull()), "nth", "last", "source")
+    given, rank = F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") - 1).cast("int")
+    limit = most * F.col("source_size")
+    held = cut(ranked.select("source", rank.alias("rank"), "source_size", F.element_at(given, rank % len(weights) + 1).alias("weight"), limit.alias("limit")))
+    every, level, full = held.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        is_full = F.col("limit") <= F.lit(level) * F.col("weight")
+        n, used, free = held.agg(F.count_if(is_full), F.coalesce(F.sum(F.when(is_full, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~is_full, F.col("weight"))), F.lit(0.0))).first()
+        if n == full or not free:
+            break
+        full, level = n, (share * every - used) / free
+    return held.select("source", "rank", "source_size", F.when(F.lit(bool(free)), F.least("limit", F.lit(level) * F.col("weight"))).otherwise(F.col("limit")).alias("target"))
 
 
 def settle(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round fractions in (0, 1) in the given order; all but the returned index become 0 or 1.
-
-    The partner of a document is the pool of those behind it, whose fractions shrink
-    or grow in proportion when mass is taken or given: one affine map holds them all.
-    """
-    draws, out = rng.random(size.size).tolist(), part.copy()
-    behind = np.concatenate([np.cumsum((size * part)[::-1])[::-1][1:], [0.0]]).tolist()
-    room = np.concatenate([np.cumsum(size[::-1].astype(float))[::-1][1:], [0.0]]).tolist()
-    scale, shift = 1.0, 0.0
-    for k, (w, f) in enumerate(zip(size.tolist(), part.tolist(), strict=True)):
-        p = min(1.0, max(0.0, scale * f + shift))
-        pool = min(room[k], max(0.0, scale * behind[k] + shift * room[k]))
-        gain, loss = min((1 - p) * w, pool), min(p * w, room[k] - pool)
-        if draws[k] * (gain + loss) < loss:
-            p, by = p + gain / w, gain / pool if pool else 1.0
-            scale, shift = scale * (1 - by), shift * (1 - by)
-        else:
-            p, by = p - loss / w, loss / (room[k] - pool) if room[k] > pool else 1.0
-            scale, shift = scale * (1 - by), shift * (1 - by) + by
-        if EPS < p < 1 - EPS:  # the pool is used up: all behind are 0 or 1
-            out[k], out[k + 1 :] = p, np.rint(np.clip(scale * part[k + 1 :] + shift, 0, 1))
-            return out, k
-        out[k] = round(p)
-    return out, len(out) - 1
+    """Round fractions in (0, 1) in the given order; all but the returned index (-1 if none) become 0 or 1."""
+    draws, w, p = rng.random(size.size).tolist(), size.astype(float).tolist(), part.tolist()
+    i = 0 if p else -1
+    for j in range(1, len(p)):
+        if i < 0:
+            i = j
+            continue
+        gain, loss = min((1 - p[i]) * w[i], p[j] * w[j]), min(p[i] * w[i], (1 - p[j]) * w[j])
+        moved = gain if draws[j] * (gain + loss) < loss else -loss
+        p[i], p[j] = p[i] + moved / w[i], p[j] - moved / w[j]
+        open_ones = []
+        for k in (i, j):
+            if EPS < p[k] < 1 - EPS:
+                open_ones.append(k)
+            else:
+                p[k] = float(round(p[k]))
+        i = open_ones[0] if open_ones else -1
+    return np.array(p), i
 
 
 def settle_block(last: bool, level: int):
@@ -90,15 +85,14 @@ def settle_block(last: bool, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "size", "draw"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
         part, extra = rows["part"].to_numpy().copy(), np.full(len(rows), -1, np.int64)
-        fixed = (part <= 0) | (part >= 1)
+        fixed = (part <= EPS) | (part >= 1 - EPS)
         extra[fixed] = part[fixed].round().astype(np.int64)
         for rank, at in rows[~fixed].groupby("rank").groups.items():
             at, block = np.asarray(at), int(rows["block"].iloc[0])
             rng = np.random.default_rng([SEED, level, block, int(rank)])
             parts, left = settle(rows["size"].to_numpy()[at], part[at], rng)
-            if last or parts[left] in (0.0, 1.0):
-                parts[left] = float(rng.random() < parts[left])
-                left = -1
+            if last and left >= 0:
+                parts[left], left = float(rng.random() < parts[left]), -1
             whole = parts.round().astype(np.int64)
             if left >= 0:
                 whole[left] = -1
@@ -119,11 +113,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     wanted = sizes.join(targets, sizes.source.eqNullSafe(targets.source)).select(
         "doc_id", sizes.source, "rank", "size", "source_size", "target", draw.alias("draw"),
         F.floor(chance).cast("long").alias("copies"), (chance - F.floor(chance)).alias("part"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).alias("block"),
+        F.floor(F.col("rank") / BLOCK_ROWS).cast("int").alias("ranks"),
     )
-    schema = f"doc_id {id_type(docs, id_col)}, source string, rank int, size long, source_size long, target double, draw long, copies long, part double, block long, extra long"
+    schema = f"doc_id {id_type(docs, id_col)}, source string, rank int, size long, source_size long, target double, draw long, copies long, part double, block long, ranks int, extra long"
     settled, rest, level = [], wanted, 0
     while True:
-        out = cut(rest.groupBy("block").applyInPandas(settle_block(blocks == 1, level), schema))
+        out = cut(rest.groupBy("block", "ranks").applyInPandas(settle_block(blocks == 1, level), schema))
         settled.append(out.where("extra >= 0"))
         if blocks == 1:
             break
@@ -138,17 +133,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the documents that it takes, with their columns and size, source_size, target, copies, taken.
 
-    Repeated rows of an id share the copies that these rows were given together.
+    Columns of ``docs`` with these names give way.  Repeated rows of an id share the copies
+    that these rows were given together.  The texts are dealt once, by a key of id, source
+    and size on which copies join and repeated rows are told apart.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    mixed = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
-        *(F.max(c).alias(f"__{c}") for c in ("source_size", "target")), F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")
-    )
+    key, own, nth, row = (free_name(docs, f"mix_{c}") for c in ("key", "own", "nth", "row"))
+    mixed = mix(docs, id_col, text_col, source_col)
+    taken = mixed.groupBy(same_key(F.col("doc_id"), F.col("source"), F.col("size")).alias(key)).agg(
+        F.struct(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).alias(own)
+    ).where(F.col(own)["copies"] > 0)
     size = F.coalesce(F.regexp_count(col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    one = docs.withColumn("__own", size)
-    met = one.join(mixed.where("__copies > 0").hint("shuffle_hash"), col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")) & col(source_col).cast("string").eqNullSafe(F.col("__source")))
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(*(F.xxhash64(col(c)) for c in docs.columns)))
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (nth <= F.col("__copies") % F.col("__rows")).cast("long")
-    kept = met.withColumn("__share", share).where("__share > 0")
-    values = {"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": F.col("__share"), "taken": F.col("__share") * F.col("__size")}
-    return kept.select(*(col(c) for c in docs.columns if c not in added), *(values[c].alias(c) for c in added))
+    met = docs.withColumn(key, same_key(col(id_col), col(source_col), size)).join(taken.hint("shuffle_hash"), key)
+    order = Window.partitionBy(key).orderBy(*(F.xxhash64(col(c)) for c in docs.columns))
+    copies, rows = F.col(own)["copies"], F.col(own)["rows"]
+    shared = met.withColumn(nth, F.row_number().over(order)).withColumn(row, F.floor(copies / rows) + (F.col(nth) <= copies % rows).cast("long")).where(F.col(row) > 0)
+    values = {"size": F.col(own)["size"], "source_size": F.col(own)["source_size"], "target": F.col(own)["target"], "copies": F.col(row), "taken": F.col(row) * F.col(own)["size"]}
+    return shared.select(*(col(c) for c in docs.columns if c.lower() not in added), *(values[c].alias(c) for c in added))

@@ -64,9 +64,63 @@ def test_reruns_and_layouts_agree(spark):
 def test_every_document_has_its_chance(spark):
     part = np.full(400, 0.3)
     size = np.sort(np.random.default_rng(0).integers(1, 50, 400))[::-1]
-    taken = np.mean([np.where((out := M.settle(size, part, np.random.default_rng(k)))[0] > 0.5, 1, 0) for k in range(600)], axis=0)
+    every = []
+    for k in range(600):
+        rng = np.random.default_rng(k)
+        out, left = M.settle(size, part, rng)
+        if left >= 0:  # the operator draws what is left over
+            out[left] = rng.random() < out[left]
+        every.append(out)
+    taken = np.mean(every, axis=0)
     assert abs(taken.mean() - 0.3) < 0.01 and np.abs(taken - 0.3).max() < 0.12
-    assert out is not None
+    assert set(np.unique(every)) == {0.0, 1.0}
+
+
+@pytest.mark.parametrize(
+    "size, part", [((1, 1, 1), (0.5, 0.9, 0.1)), ((10, 5, 3, 1), (0.2, 0.8, 0.3, 0.9)), ((100, 7, 7, 2, 1), (0.01, 0.99, 0.5, 0.3, 0.6)), ((3, 2), (0.5, 0.25))]
+)
+def test_fractions_are_kept_in_expectation(size, part):
+    """Also through the tree: residuals of two halves meet and the last one is drawn."""
+    n, size, part = 20_000, np.array(size), np.array(part)
+    rng, whole, halves = np.random.default_rng(3), np.zeros(size.size), np.zeros(size.size)
+    for _ in range(n):
+        out, left = M.settle(size, part, rng)
+        if left >= 0:
+            out[left] = rng.random() < out[left]
+        whole += out
+        out, cut = part.copy(), size.size // 2
+        out[:cut], a = M.settle(size[:cut], part[:cut], rng)
+        out[cut:], b = M.settle(size[cut:], part[cut:], rng)
+        ends = [k for k in (a, b + cut if b >= 0 else -1) if k >= 0]
+        if ends:
+            out[ends], left = M.settle(size[ends], out[ends], rng)
+            if left >= 0:
+                out[ends[left]] = rng.random() < out[ends[left]]
+        halves += out
+    assert np.abs(whole / n - part).max() < 4 * np.sqrt(part * (1 - part) / n).max()
+    assert np.abs(halves / n - part).max() < 4 * np.sqrt(part * (1 - part) / n).max()
+
+
+def test_columns_with_the_names_of_inner_ones(spark):
+    odd = docs(spark, corpus(300, 2))
+    for name in ("mix_key", "Mix_Own", "__id", "__size", "rank", "block", "part"):
+        odd = odd.withColumn(name, M.F.lit("q"))
+    plain = {(r["doc_id"], r["copies"]) for r in M.mixture(docs(spark, corpus(300, 2))).collect()}
+    got = M.mixture(odd)
+    assert {(r["doc_id"], r["copies"]) for r in got.collect()} == plain and "Mix_Own" in got.columns
+
+
+def test_levels_of_many_sources(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.choice((1, 3, 50)), rng.choice([None, *(f"s{j}" for j in range(60))])) for k in range(400)]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for share in (0.3, 1.5, 1.99, 2.0, 3.0):
+        table = docs(spark, rows).selectExpr("source", "cast(size(split(trim(text), ' ')) as long) as size")
+        got = {r["source"]: (r["rank"], r["target"]) for r in M.source_targets(table, share=share).collect()}
+        wanted = brute_targets(sizes, share=share)
+        assert all(got[s][1] == pytest.approx(wanted[s]) for s in sizes) and [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == list(wanted)
 
 
 @settings(max_examples=100, deadline=None)
