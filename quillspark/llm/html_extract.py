@@ -1,28 +1,32 @@
 """Main-text extraction from whole HTML pages.
 
 The standard library's parser streams events.  Block elements cut the page into
-lines; each line keeps its text, how many tags it holds and the container in which
-it stands.  Containers that by tag, role, class or id are a menu, header, footer,
-sidebar, notice, advert, form, script or comment section never yield lines.
+lines; each line keeps its text, how much of it is linked, how many tags it holds and
+the elements in which it stands.  Elements that by tag, role, class or id are a menu,
+header, footer, sidebar, notice, advert, form, script or comment section yield no
+lines: their text may be as dense as an article's.
 
-Of the remaining lines the text-to-tag ratios are smoothed by a Gaussian and the
+Of the remaining lines the ratios of unlinked text to tags are smoothed by a Gaussian;
 lines over a threshold (the deviation of the smoothed ratios, the mean at most) form
 clusters: the content regions.  A region grows to the whole of the ``article`` or
 ``main`` element in which it stands; elsewhere all grow to the innermost element that
 holds every dense line (but for lines shorter than the threshold that only their
-neighbours make dense), and nothing in it is left out by its length.  So short paragraphs of an article stay, and a page without such an
-element still yields its dense part.
+neighbours make dense).  What no region reaches - menus, link lists and footers that
+nothing marks - goes, and so do runs of ``LINKS`` link lines or more inside a region
+whose core isn't dense.  Nothing else in a region is left out, so short paragraphs stay.
 
 Defined cases: null and empty pages, and pages without visible content, give an empty
-text; unclosed elements end where an outer one does; repeated rows are alike; an empty
-table gives no rows.
+text; unclosed elements end where an outer one does; a tag or comment that the page's
+end cuts off is none, a marked section a comment; repeated rows are alike; an empty
+table gives no rows.  Time grows with the page's length, whatever its markup.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm.common import col, id_type
 
-SIGMA = 1.0
+SIGMA, LINKS = 1.0, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never content, whatever stands in them.
 DROPPED = frozenset(
@@ -52,6 +56,8 @@ MARKS = frozenset(
 )
 #: Words of a class or id that hold such a word although the element is content.
 CONTENT = frozenset("article content main body post entry story text".split())
+#: Classes of an article that is a reader's comment.
+COMMENTS = frozenset("comment comment-body comment-content reply".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -60,6 +66,8 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bo
     """Whether an element and all that it holds is no content, by tag, role, class or id."""
     if tag in DROPPED or tag == "header" and not in_article:
         return True
+    if tag == "article":  # readers' comments are often articles themselves
+        return any(name == "class" and value and not COMMENTS.isdisjoint(value.lower().split()) for name, value in attrs)
     for name, value in attrs:
         if name in ("hidden", "inert") or value and name == "aria-hidden" and value.strip().lower() == "true":
             return True
@@ -75,33 +83,57 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bo
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it that stand in links
+    tags: int
+    article: int  # the number of the article or main around it, 0 if there is none
+    parent: int  # the number of the container around it
+
+
 class Lines(HTMLParser):
-    """The block lines of a page: text, tags, whether it is a heading, article and parent."""
+    """The block lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []  # tag and own number
-        self.number, self.skip, self.articles = 0, 0, []
-        self.in_header, self.pre = 0, 0
+        self.where: dict[str, list[int]] = {}  # places of the open elements of a tag
+        self.blocks: list[int] = []  # places of the open blocks
+        self.parents: list[int] = [0]  # numbers of the open containers of lines
+        self.number, self.skip, self.articles, self.in_header = 0, 0, [], 0
         self.parts: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, tags, article, parent
+        self.tags = self.linked = 0
+        self.lines: list[Line] = []
         self.outer, self.last = {0: 0}, {}  # by an element's number: that of the element around it, and the highest one inside it
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
+    def finish(self) -> None:
+        if re.match("<[A-Za-z/!?]", self.rawdata):
+            self.rawdata = ""  # a tag or comment without an end
+        self.close()
+        self.flush()
+        self.close_to(0)
+
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                parent = next((n for t, n in reversed(self.open) if t in BLOCKS and t not in ("p", "li", *HEADINGS)), 0)
-                self.lines.append((text, self.tags, self.articles[-1] if self.articles else 0, parent))
-                self.tags = 0
+                self.lines.append(Line(text, self.linked, self.tags, self.articles[-1] if self.articles else 0, self.parents[-1]))
+                self.tags = self.linked = 0
             self.parts = []
 
     def close_to(self, k: int) -> None:
         """End the open elements from the k-th on."""
         while len(self.open) > k:
             tag, number = self.open.pop()
+            self.where[tag].pop()
             self.last[number] = self.number
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+            if self.parents[-1] == number:
+                self.parents.pop()
             if self.skip == number:
                 self.skip = 0
             if self.articles and self.articles[-1] == number:
@@ -109,18 +141,20 @@ class Lines(HTMLParser):
             if self.in_header == number:
                 self.in_header = 0
 
+    def place(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these tags stands, -1 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        block = tag in BLOCKS or tag in DROPPED
+        if block:
             self.flush()
             if tag in ENDS:
-                self.end_implied(ENDS[tag], SCOPES[tag])
-            elif self.open and tag in BLOCKS:
-                for k in range(len(self.open) - 1, -1, -1):  # a block ends an open paragraph and what is open in it
-                    if self.open[k][0] == "p":
-                        self.close_to(k)
-                        break
-                    if self.open[k][0] in BLOCKS or self.open[k][0] in DROPPED:
-                        break
+                ended = self.place(ENDS[tag])
+                if ended > self.place(SCOPES[tag] - ENDS[tag]):
+                    self.close_to(ended)
+            elif tag in BLOCKS and self.blocks and self.open[self.blocks[-1]][0] == "p":
+                self.close_to(self.blocks[-1])  # a block ends an open paragraph and what is open in it
         self.tags += 1
         if tag == "br":
             self.parts.append("\n")
@@ -134,16 +168,13 @@ class Lines(HTMLParser):
         if not self.skip and not self.in_header and tag == "header":
             self.in_header = self.number
         self.outer[self.number] = self.open[-1][1] if self.open else 0
+        self.where.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        if tag in BLOCKS and tag not in ("p", "li") and tag not in HEADINGS:
+            self.parents.append(self.number)
         self.open.append((tag, self.number))
 
-    def end_implied(self, ended: set[str], scope: set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in scope and self.open[k][0] not in ended:
-                return
-            if self.open[k][0] in ended:
-                self.close_to(k)
-                return
-
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash says nothing in HTML
 
@@ -151,14 +182,14 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in DROPPED:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.close_to(k)
-                return
+        if (k := self.place((tag,))) >= 0:
+            self.close_to(k)
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.parts.append(data)
+            if self.where.get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -169,30 +200,51 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return both[0] / both[1]
 
 
-def content_lines(lines: list[tuple[str, int, int, int]], outer: dict[int, int], last: dict[int, int]) -> list[str]:
+def dense_lines(lines: list[Line]) -> tuple[np.ndarray, float]:
+    """Which lines have a smoothed ratio of unlinked text to tags over the threshold, and the threshold."""
+    smooth = smoothed(np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]))
+    limit = min(smooth.std(), smooth.mean())
+    return smooth >= limit, float(limit)
+
+
+def without_link_runs(lines: list[Line], dense: np.ndarray, kept: list[int]) -> list[int]:
+    """``kept`` without the runs of link lines whose core isn't dense."""
+    out, run = [], []
+    for k in [*kept, -1]:
+        if k >= 0 and 2 * lines[k].linked > len(lines[k].text):
+            run.append(k)
+            continue
+        if len(run) < LINKS or all(dense[r] for r in run):
+            out += run
+        run = []
+        if k >= 0:
+            out.append(k)
+    return out
+
+
+def content_lines(lines: list[Line], outer: dict[int, int], last: dict[int, int]) -> list[str]:
     """The text of the lines of all content regions; elements are numbered in page order, so those inside one are a range."""
     if not lines:
         return []
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    smooth = smoothed(ratio)
-    limit = min(smooth.std(), smooth.mean())
-    dense = smooth >= limit
-    articles = {a for (_, _, a, _), d in zip(lines, dense, strict=True) if d and a}
+    dense, limit = dense_lines(lines)
+    articles = {x.article for x, d in zip(lines, dense, strict=True) if d and x.article}
     if articles:
-        return [text for text, _, a, _ in lines if a in articles]
-    length: dict[int, int] = {}
-    for (text, _, _, parent), d in zip(lines, dense, strict=True):
-        if d:
-            length[parent] = length.get(parent, 0) + len(text)
-    # Lines dense by their neighbours alone, like a row of links after the content, don't widen the region; inside it they stay.
-    most = max(length.values(), default=0)
-    parents = [p for p, n in length.items() if n >= min(limit, most / 4)]
-    if not parents:
-        return []
-    root, end = min(parents), max(parents)
-    while root and last[root] < end:
-        root = outer[root]
-    return [text for text, _, _, parent in lines if not root or root <= parent <= last[root]]
+        kept = [k for k, x in enumerate(lines) if x.article in articles]
+    else:
+        length: dict[int, int] = {}
+        for x, d in zip(lines, dense, strict=True):
+            if d:
+                length[x.parent] = length.get(x.parent, 0) + len(x.text)
+        # Lines dense by their neighbours alone, like a row of links after the content, don't widen the region; inside it they stay.
+        least = min(limit, max(length.values(), default=0) / 4)
+        parents = [p for p, n in length.items() if n >= least]
+        if not parents:
+            return []
+        root, end = min(parents), max(parents)
+        while root and last[root] < end:
+            root = outer[root]
+        kept = [k for k, x in enumerate(lines) if not root or root <= x.parent <= last[root]]
+    return [lines[k].text for k in without_link_runs(lines, dense, kept)]
 
 
 def main_text(html: str | None) -> str:
@@ -201,9 +253,7 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
-    parser.flush()
-    parser.close_to(0)
+    parser.finish()
     return "\n".join(content_lines(parser.lines, parser.outer, parser.last))
 
 

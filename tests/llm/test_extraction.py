@@ -1,8 +1,11 @@
 """PII, HTML extraction and chat rotation."""
 
 import hashlib
+import math
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -139,9 +142,102 @@ def test_small_pages(page, text):
     assert H.main_text(page) == text
 
 
-def test_smoothing_keeps_constants_and_mass():
-    import numpy as np
+def brute_content(lines, outer, last):
+    """The selection by plain loops over line records."""
+    if not lines:
+        return []
+    ratio = [max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]
+    smooth = []
+    for i in range(len(lines)):
+        near = [(math.exp(-0.5 * (i - j) ** 2), ratio[j]) for j in range(max(0, i - 3), min(len(lines), i + 4))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    limit = min(mean, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    dense = [x >= limit - 1e-9 for x in smooth]
+    inside = lambda n, root: any(x == root for x in up(n))
+
+    def up(n):
+        while n:
+            yield n
+            n = outer[n]
+        yield 0
+
+    articles = {x.article for x, d in zip(lines, dense) if d and x.article}
+    if articles:
+        kept = [x.article in articles for x in lines]
+    else:
+        chars = {}
+        for x, d in zip(lines, dense):
+            if d:
+                chars[x.parent] = chars.get(x.parent, 0) + len(x.text)
+        wide = [p for p, n in chars.items() if n >= min(limit, max(chars.values()) / 4)]
+        root = next(r for r in up(wide[0]) if all(inside(p, r) for p in wide))
+        kept = [inside(x.parent, root) for x in lines]
+    at, out = [k for k in range(len(lines)) if kept[k]], []
+    links = [2 * lines[k].linked > len(lines[k].text) for k in at]
+    for place, k in enumerate(at):
+        a = b = place
+        while links[place] and a and links[a - 1]:
+            a -= 1
+        while links[place] and b + 1 < len(at) and links[b + 1]:
+            b += 1
+        if not (links[place] and b - a >= 2 and not all(dense[at[j]] for j in range(a, b + 1))):
+            out.append(lines[k].text)
+    return out
+
+
+HTML_PIECES = st.lists(
+    st.sampled_from(
+        ["<div>", "</div>", "<div class='c'>", "<p>", "</p>", "<article>", "</article>", "<main>", "<ul><li>", "<li>", "</ul>", "<a href='x'>", "</a>", "<b>", "</b>", "<br>", "<h2>", "</h2>", "<td>", "<table><tr>", "</table>", "<nav>", "</nav>",
+         "word ", "Home", "x", "A line of text that is rather long, as an article's are. ", "Another one, which goes on and on and on for a while until it ends. " * 3, "&amp;", "<![foo[", "<!--", "-->", "<!", "</", "<", "&#x41;", "<script>", "</script>", "<section>", "</section>", "<header>", "</header>"]
+    ), max_size=60,
+).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(HTML_PIECES, st.text("<>/!-[]abp'= &;", max_size=60)))
+def test_any_markup_is_read_and_selected_as_by_brute_force(page):
+    parser = H.Lines()
+    parser.feed(page)
+    parser.finish()
+    assert H.content_lines(parser.lines, parser.outer, parser.last) == brute_content(parser.lines, parser.outer, parser.last)
+    assert H.main_text(page) == "\n".join(brute_content(parser.lines, parser.outer, parser.last))
+
+
+LONG = "This is a line of an article, which says a good deal and holds no link at all."
+MENU = "".join(f"<div><a href='/{k}'>Item {k}</a></div>" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div>{MENU}</div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div>{MENU}</div></body>", f"{LONG}\nShort.\n{LONG}"),
+        (f"<article><div>{MENU}</div><p>{LONG}</p><p>See <a href='x'>this</a>.</p><p>{LONG}</p><div>{MENU}</div></article>", f"{LONG}\nSee this.\n{LONG}"),
+        (f"<table><tr><td>{MENU}</td><td><p>{LONG}</p><p><a href='x'>One link</a></p><p>{LONG}</p></td></tr></table>", f"{LONG}\nOne link\n{LONG}"),
+    ],
+)
+def test_density_selects(page, text, monkeypatch):
+    assert H.main_text(page) == text
+    monkeypatch.setattr(H, "dense_lines", lambda lines: (np.ones(len(lines), bool), 0.0))
+    assert H.main_text(page) != text and "Item 3" in H.main_text(page)
+
 
+@pytest.mark.parametrize(
+    "page, text",
+    [("<p>a</p><![foo[x]]>b", "a\nb"), ("<article>x</article><!-- y", "x"), ("<p>abc</p><a href='x", "abc"), ("<![CDATA[x]]>y", "y"), ("<p>a &amp", "a &"), ("<article><p>Post.</p><article class='comment'><p>A reader.</p></article></article>", "Post.")],
+)
+def test_broken_markup(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40_000 + "</i>" * 40_000, "<b>" * 30_000 + "<div></div>" * 30_000, "<b>" * 30_000 + "<li>x" * 30_000, "<div>x" * 30_000, "<p><b>" * 30_000, "<!" * 60_000, "<![x[" * 40_000, "<a x='" * 40_000])
+def test_time_grows_with_the_length_alone(page):
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_smoothing_keeps_constants_and_mass():
     assert np.allclose(H.smoothed(np.full(9, 3.0)), 3.0)
     spike = H.smoothed(np.eye(1, 21, 10)[0])
     assert spike.argmax() == 10 and abs(spike.sum() - 1) < 1e-6 and spike[9] > spike[8] > 0
