@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -60,11 +61,12 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|pu
 _digit = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _gap = rf"[\s,-]+(?:(?:{DOT_WORDS})[\s-]+)?"
 _spelled = rf"(?:(?:{PLUS_WORDS}|\+)[\s-]*)?(?<!\w){_digit}(?:(?:{_gap}|\s*\.\s*)(?:{_digit}|[0-9]+)(?!\w)){{2,}}"
-_at = rf"\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*"
-_dot = rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*"
-_host = rf"[A-Za-z0-9-]+(?:(?:\s+(?:{DOT_WORDS})\s+|{_dot})[A-Za-z0-9-]+)+"
-_bare_at = rf"(?<=[A-Za-z0-9_%+-])\s+(?:{AT_WORDS})\s+(?={_host}(?![A-Za-z0-9-]))"
-_joined_at = rf"(?<=[A-Za-z0-9])[_-](?:at)[_-](?={_host}(?![A-Za-z0-9-]))"
+_lead = r"(?:(?<!\s)\s+)?"  # white space, looked at from its start alone
+_at = rf"{_lead}[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*"
+_dot = rf"{_lead}[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*"
+_host = rf"[A-Za-z0-9-]+(?:\s+(?:{DOT_WORDS})\s+|{_dot})[A-Za-z0-9-]"  # enough of it to know one
+_bare_at = rf"(?<=[A-Za-z0-9_%+-])\s+(?:{AT_WORDS})\s+(?={_host})"
+_joined_at = rf"(?<=[A-Za-z0-9])[_-](?:at)[_-](?={_host})"
 _bare_dot = rf"(?<=[A-Za-z0-9-])\s+(?:{DOT_WORDS})\s+(?=[A-Za-z0-9-])"
 REWRITE = re.compile(rf"(?P<spelled>{_spelled})|(?P<at>{_at}|{_bare_at}|{_joined_at})|(?P<dot>{_dot}|{_bare_dot})", re.IGNORECASE)
 _TOKEN = re.compile(rf"(?P<digit>{_digit}|[0-9]+)|(?P<dot>{DOT_WORDS}|\.)|(?P<plus>{PLUS_WORDS}|\+)", re.IGNORECASE)
@@ -179,9 +181,11 @@ def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, li
     plain, starts, ends = normalise(text)
     added: dict[str, list[tuple[int, int]]] = {}
     for kind, spans in detect(plain).items():
+        known = [x for x, _ in base[kind]]
         for a, b in spans:
             s, e = int(starts[a]), int(ends[b - 1])
-            if not any(x <= s and e <= y for x, y in base[kind]):
+            k = bisect_right(known, s) - 1
+            if k < 0 or base[kind][k][1] < e:
                 added.setdefault(kind, []).append((s, e))
     return added
 

@@ -84,6 +84,35 @@ def test_pii_of_a_table(spark):
     assert P.redact("a@b.co and 10.0.0.1", by[3]["spans"]) == "[email] and [ip]"
 
 
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x (at) y" + " " * MEGABYTE + "z", (" " * 999 + "q") * 1000 + "(at)", "a@b.co " * 50_000 + "x (at) y.com " * 50_000, "at dot " * 50_000, "a at b dot " * 50_000, "one " * 100_000, "one, " + " " * MEGABYTE + "two", "+" + "-" * MEGABYTE, "+1" + "(" * MEGABYTE,
+        "(" * MEGABYTE + "at)", "1." * 200_000, "@" * 300_000 + "(dot)", "a_at_" * 50_000 + "b dot c", "１" * MEGABYTE, "plus " * 100_000, "[ at" * 100_000,
+    ], ids=range(16),
+)
+def test_time_of_pii_grows_with_the_length_alone(text):
+    P.normalise("")
+    P.trigger()
+    began = time.process_time()
+    P.disguised(text, P.detect(text))
+    P.pc.match_substring_regex(P.pa.array([text]), P.trigger())
+    assert time.process_time() - began < 6
+
+
+def test_many_spans_of_both_kinds():
+    found = P.disguised("a@b.co x (at) y.com " * 50_000, P.detect("a@b.co x (at) y.com " * 50_000))
+    assert len(found["email"]) == 50_000 and found["email"][1] == (27, 39)
+
+
+def test_disguises_in_a_row():
+    text = "a (at) (at) b (at) c [dot] [dot] d (at)   e   (dot)   f"
+    assert "e   (dot)   f" in text and P.normalise(text)[0] == "a@@b@c..d@e.f"
+
+
 CARD = "4111 1111 1111 1111"
 
 
