@@ -11,7 +11,7 @@ every non-zero vector v gives a mask that keeps the bits with odd <m(i), v>.  Up
 each pair within the radius meets in a table, and no parameter trades recall.
 Only distinct fingerprints are put in the tables.  Inside a bucket a search from
 member to member gives a spanning forest of its links: at most one row a member,
-never all pairs.
+never all pairs.  Large buckets are dealt again by more bits, which loses no pair either.
 
 Defined cases: repeated rows share a fingerprint; null ids never become a
 component's id unless all its ids are null; an empty table gives no rows.
@@ -26,10 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import col, cut, id_type
+from quillspark.llm.common import col, cut, free_name, id_type
 from quillspark.llm.components import connected_components
 
-SHINGLE, RADIUS, SEED, BLOCK, HEAVY = 4, 4, 42, 1 << 15, 256
+SHINGLE, RADIUS, SEED, BLOCK, HEAVY, BUCKET, LEVELS = 4, 4, 42, 1 << 15, 256, 1 << 13, 3
+TABLE = (1 << 12) - 1  # a bucket's key has the number of its table in these bits
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -82,41 +83,108 @@ def bucket_forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[
     return left, right
 
 
-def links_of_buckets(radius: int):
-    """For mapInArrow over (key, fp) sorted by key: the links inside each bucket."""
+def finer_masks(masks: list[int], radius: int, level: int) -> list[int]:
+    """For each mask ``radius + 1`` finer ones: each keeps another share of the bits that the mask drops.
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    Up to ``radius`` differing bits leave at least one share alone, so a pair within the
+    radius that meets under the mask meets under one of its finer ones.
+    """
+    shares = radius + 1
+    out = []
+    for m in masks:
+        free = [i for i in range(64) if not m >> i & 1]
+        out += [m | sum(1 << i for k, i in enumerate(free) if (k * (level + 1) + k // shares) % shares == share) for share in range(shares)]
+    return out
+
+
+def dealing(masks: list[int], shares: int):
+    """For mapInArrow over (fp, table): key and fp under each of the ``shares`` finer tables of the one given."""
+    mask = np.array(masks, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, table = np.repeat(batch.column(0).to_numpy(), shares), np.repeat(batch.column(1).to_numpy(), shares) * shares
+            table = table + np.tile(np.arange(shares), batch.num_rows)
+            key = (fp.view(np.uint64) & mask[table]) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ key >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            yield pa.RecordBatch.from_arrays([pa.array((key ^ key >> np.uint64(29)).view(np.int64) & ~TABLE | table), pa.array(fp)], ["key", "fp"])
+
+    return run
+
+
+def links_of_buckets(radius: int, most: int | None):
+    """For mapInArrow over (key, fp) sorted by key: the links inside each bucket as (a, b, null).
+
+    Members of a bucket of more than ``most`` are given on as (fp, null, table), to be dealt more finely.
+    """
+
+    def batch_of(a: np.ndarray, b: np.ndarray | None, table: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.nulls(a.size, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (a, b, table)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "table"])
+
+    def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(keys)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [keys.size]])
         two = starts[ends - starts == 2]
         near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius] if two.size else two
         left, right = [fps[near]], [fps[near + 1]]
         for k in np.flatnonzero(ends - starts > 2):
-            a, b = bucket_forest(fps[starts[k] : ends[k]], radius)
-            left += a
-            right += b
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left).view(np.int64)), pa.array(np.concatenate(right).view(np.int64))], ["a", "b"])
+            mine = slice(starts[k], ends[k])
+            if most and ends[k] - starts[k] > most:
+                yield batch_of(fps[mine], None, keys[mine] & TABLE)
+            else:
+                a, b = bucket_forest(fps[mine], radius)
+                left += a
+                right += b
+        yield batch_of(np.concatenate(left), np.concatenate(right), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # what came since the last complete bucket
+        heavy = None  # key of an open bucket that is known to be too large
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(keys, keys[-1])) if keys.size else 0  # the open bucket waits for the next batch
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if heavy is not None and key.size and (n := int(np.searchsorted(key, heavy, "right"))):
+                yield batch_of(fp[:n], None, key[:n] & TABLE)
+                key, fp = key[n:], fp[n:]
+            if not key.size:
+                continue
+            heavy = None
+            held.append((key, fp))
+            if key[-1] == held[0][0][0] and not (most and sum(k.size for k, _ in held) > most):
+                continue  # the open bucket waits for the next batch
+            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = int(np.searchsorted(key, key[-1]))
             if last:
-                yield links(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
-        if keys.size:
-            yield links(keys, fps)
+                yield from links(key[:last], fp[:last])
+            held = [(key[last:], fp[last:])]
+            if most and key.size - last > most:
+                heavy, held = key[-1], []
+                yield batch_of(fp[last:], None, key[last:] & TABLE)
+        if held:
+            yield from links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links that connect exactly what all pairs of ``fp`` within the radius connect."""
-    tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))) for t, m in enumerate(covering_masks(radius))]
+    """a, b: links that connect exactly what all pairs of ``fp`` within the radius connect.
+
+    Buckets of more than ``BUCKET`` members are dealt again by more bits, ``LEVELS`` times
+    at most: by then a bucket's members agree in all but some 16 bits, so it is bounded.
+    """
+    masks, out = covering_masks(radius), None
+    tables = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)))).bitwiseAND(F.lit(~TABLE)).bitwiseOR(F.lit(t)) for t, m in enumerate(masks)]
     dealt = distinct.select("fp", F.explode(F.array(*tables)).alias("key")).select("key", "fp")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(links_of_buckets(radius), "a long, b long")
+    for level in range(LEVELS + 1):
+        buckets = dealt.repartition("key").sortWithinPartitions("key")
+        found = cut(buckets.mapInArrow(links_of_buckets(radius, BUCKET if level < LEVELS else None), "a long, b long, table long"))
+        links, rest = found.where("table IS NULL").select("a", "b"), found.where("table IS NOT NULL").select("a", "table")
+        out = links if out is None else out.unionByName(links)
+        if level == LEVELS or rest.isEmpty():
+            break
+        masks = finer_masks(masks, radius, level)
+        dealt = rest.mapInArrow(dealing(masks, radius + 1), "key long, fp long")
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -144,6 +212,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id, and repeated rows of the id that stays, are kept.
     """
+    name = free_name(docs, "near_gone")
     groups = near_duplicates(docs, id_col, text_col, shingle, radius)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("shuffle_hash"), col(id_col) == F.col("__gone"), "left_anti")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone.hint("shuffle_hash"), col(id_col) == F.col(name), "left_anti")

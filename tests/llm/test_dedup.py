@@ -110,7 +110,22 @@ def brute_components(fps, ids, radius=4):
     return [least[find(f)] for f in fps]
 
 
-def test_links_connect_what_all_pairs_connect(spark):
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_finer_masks_cover_too(level):
+    masks, rng = S.covering_masks(4), random.Random(level)
+    for k in range(level):
+        masks = S.finer_masks(masks, 4, k)
+    finer = S.finer_masks(masks, 4, level)
+    assert len(finer) == 5 * len(masks) <= S.TABLE + 1
+    for _ in range(2000):
+        dropped, k = sum(1 << b for b in rng.sample(range(64), 4)), rng.randrange(len(masks))
+        assert masks[k] & dropped or any(not m & dropped for m in finer[5 * k : 5 * k + 5])
+    assert all(m & ~f == 0 and f.bit_count() > m.bit_count() for k, m in enumerate(masks) for f in finer[5 * k : 5 * k + 5])
+
+
+@pytest.mark.parametrize("bucket", [1 << 13, 4])
+def test_links_connect_what_all_pairs_connect(spark, bucket, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", bucket)  # small ones are dealt again down to the last level
     rng = random.Random(11)
     fps = [rng.getrandbits(64) for _ in range(60)] + [0]
     for _ in range(240):
@@ -133,6 +148,20 @@ def test_a_dense_bucket_yields_a_forest_not_all_pairs():
     assert sum(map(len, left)) == fps.size - 1 == sum(map(len, right))
 
 
+def test_open_buckets_over_many_batches():
+    import pyarrow as pa
+
+    fps = np.unique(np.array([1 << a | 1 << b for a in range(30) for b in range(30)], np.uint64))
+    keys = np.repeat([S.TABLE + 1, 2 * S.TABLE + 2], [5, fps.size - 5])
+    for size in (1, 7, 1000):
+        for most in (None, 6, 3):
+            batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(fps[k : k + size].view(np.int64))], ["key", "fp"]) for k in range(0, fps.size, size)]
+            rows = [r for b in S.links_of_buckets(4, most)(batches) for r in b.to_pylist()]
+            given_on = sorted(r["a"] for r in rows if r["table"] is not None)
+            assert given_on == ([] if most is None else sorted(fps[5 if most == 6 else 0 :].view(np.int64).tolist()))
+            assert sum(r["b"] is not None for r in rows) == (fps.size - 2 if most is None else 4 if most == 6 else 0)
+
+
 def test_near_duplicates_matches_brute_force(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(500)]
