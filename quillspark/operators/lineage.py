@@ -33,15 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+def numbered(df: DataFrame, name: str, *order: str | Column, within: str | None = None) -> DataFrame:
     """``df`` with a column that counts its rows from 1 in an order, as one sort over all tasks.
 
     Rows are dealt to tasks by ranges of the order and kept there by a checkpoint; each
     task counts its own, and the counts of the tasks before it (a row a task) are added.
+    ``within`` counts from 1 for each value of a column, nulls together, that leads the
+    order; only values that go on from task to task need counts, one at each border.
     """
-    task, own, ahead = f"{name}__task", f"{name}__own", f"{name}__ahead"
-    rows = cut(df.repartitionByRange(*order).withColumn(task, F.spark_partition_id()))
-    before = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(task).agg(F.count(F.lit(1)).alias(own)).select(task, F.coalesce(F.sum(own).over(before), F.lit(0)).alias(ahead))
-    counted = rows.withColumn(own, F.row_number().over(Window.partitionBy(task).orderBy(*order))).join(F.broadcast(counts), task)
-    return counted.withColumn(name, F.col(ahead) + F.col(own)).select(*(F.col(f"`{c}`") for c in df.columns if c != name), name)
+    task, own, ahead = (f"{name}__{c}" for c in ("task", "own", "ahead"))
+    by = [task] if within is None else [task, within]
+    rows = cut(df.repartitionByRange(*([] if within is None else [within]), *order).withColumn(task, F.spark_partition_id()))
+    before = Window.partitionBy(*by[1:]).orderBy(task)
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias(own)).select(*by, F.coalesce(F.sum(own).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(ahead))
+    counts = counts.where(F.col(ahead) > 0).select(F.col(task).alias(f"{task}_"), *(F.col(c).alias(f"{name}__within") for c in by[1:]), ahead)
+    same = F.col(task) == F.col(f"{task}_")
+    same = same if within is None else same & F.col(within).eqNullSafe(F.col(f"{name}__within"))
+    counted = rows.withColumn(own, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).join(F.broadcast(counts), same, "left")
+    return counted.withColumn(name, F.coalesce(ahead, F.lit(0)) + F.col(own)).select(*(F.col(f"`{c}`") for c in df.columns if c != name), name)

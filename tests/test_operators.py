@@ -9,6 +9,7 @@ from quillspark import cli
 from quillspark.functions import columns as C, diagrams as D, profiles as R
 from quillspark.functions.register import register
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, model, preserve
+from quillspark.operators.lineage import numbered
 from quillspark.plans import lint_fix
 from quillspark.plans.documents import converter, url_documents
 from quillspark.plans.queries import EchoClient
@@ -52,6 +53,23 @@ def test_native_fence_fold_agrees_with_the_scanner(spark, text):
     assert [(r["line"], r["excerpt"]) for r in M.unclosed_fences(docs).collect()] == open_lines
 
 
+def test_numbering(spark):
+    rows = [(k * 7919 % 500, None if k % 5 == 0 else k % 3, f"v{k % 11}") for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, g int, v string")
+    assert sorted((r["n"], r["k"]) for r in numbered(df, "n", "k").collect()) == [(i + 1, i) for i in range(500)]
+    got = {}
+    for r in numbered(df.repartition(7), "n", "k", within="g").collect():
+        got.setdefault(r["g"], []).append((r["n"], r["k"]))
+    for g in (None, 0, 1, 2):
+        assert sorted(got[g]) == [(i + 1, k) for i, k in enumerate(sorted(k for k, x, _ in rows if x == g))]
+    assert numbered(df, "n", "k").columns == ["k", "g", "v", "n"] and numbered(df.limit(0), "n", "k").collect() == []
+
+
+def test_dollar_counts(spark):
+    df = spark.createDataFrame([("$a$ $$b$$ \\$ $$$",)], "t string")
+    assert tuple(df.select(*C.dollar_counts(F.col("t"))).first()) == (3, 3)
+
+
 def test_errors_stay_in_their_row(spark):
     docs = spark.createDataFrame([(1, "`a` b"), (2, "__URL_001__"), (3, None)], "doc_id long, md string")
     rows = {r["doc_id"]: r for r in preserve.protect(docs).collect()}
