@@ -122,10 +122,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on the bounded sample; None if no row can be learned from."""
     usable = docs.where(col(lang_col).isNotNull() & ~held_out(col(id_col)) & F.length(col(text_col)).between(1, TEXT_LIMIT))
     order = F.xxhash64(col(id_col).cast("string"))
-    ranked = usable.select(col(id_col).alias("doc_id"), col(lang_col).alias("lang"), F.row_number().over(Window.partitionBy(col(lang_col)).orderBy(order, col(id_col))).alias("nth"))
-    chosen = ranked.where(F.col("nth") <= PER_LANGUAGE).orderBy("nth", "lang").limit(SAMPLE).select("doc_id").distinct()
+    ranked = usable.select(col(id_col).alias("doc_id"), col(lang_col).cast("string").alias("lang"), F.row_number().over(Window.partitionBy(col(lang_col)).orderBy(order, col(id_col))).alias("nth"))
+    chosen = ranked.where(F.col("nth") <= PER_LANGUAGE).orderBy("nth", "lang").limit(SAMPLE).select("doc_id", "lang").distinct()
     texts = usable.select(col(id_col).alias("doc_id"), col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * SAMPLE).collect()
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # one text an id
     is_letter = letters()
     rows = [r for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])) if is_letter[codes(r["text"])].any()]
     return Model([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None

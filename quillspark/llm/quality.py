@@ -165,15 +165,17 @@ def matrix(texts: list[str | None]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on the bounded sample; executors compute the features, only these reach the driver."""
     marked = labels.select(col(id_col).alias("doc_id"), col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(SAMPLE)
+    known = marked.join(docs.select(col(id_col).alias("doc_id")), "doc_id", "left_semi")
+    chosen = known.distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "label").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+            rows = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(run, "label int, x array<double>").limit(2 * SAMPLE).collect()
+    met = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, f"doc_id {id_type(docs, id_col)}, label int, x array<double>")
+    rows = met.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()  # one text an id and label
     order = sorted((r["label"], *r["x"]) for r in rows)
     table = np.array(order, float).reshape(-1, 1 + len(FEATURES))
     return Model(table[:, 1:], table[:, 0])

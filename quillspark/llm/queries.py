@@ -61,14 +61,17 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in every}
 
 
-OP2_SQL = """
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, coalesce(turn, 0) // 512 AS part FROM conversations),
+OP2_SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS text FROM conversations),
+said AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 512 AS part FROM given),
 people AS (SELECT DISTINCT conv_id AS c, role AS participant FROM said WHERE role <> 'system'),
+shown AS (SELECT *, replace(replace(regexp_replace(role, '\s+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS name FROM said),
 met AS (
   SELECT s.*, p.participant, s.role = p.participant AS own,
          CASE WHEN s.role = p.participant THEN '<|im_start|>assistant' || chr(10) WHEN s.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.c),
+              ELSE '<|im_start|>user name=' || s.name || chr(10) END AS head
+  FROM shown s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.c),
 placed AS (
   SELECT *, row_number() OVER turns AS nth, sum(length(head) + length(text) + 11) OVER turns - length(text) - 11 AS begin_at
   FROM met WINDOW turns AS (PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
