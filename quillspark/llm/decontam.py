@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.codepoints import codes, folded, runs
 from quillspark.llm.common import col, cut, id_type
 
-WALKS, STEPS, SIMILARITY, BLOCK_ANCHORS, BATCH_CHARS, PIECE = 4, 32, 0.8, 200_000, 1 << 21, 1 << 15
+WALKS, STEPS, SIMILARITY, BLOCK_ANCHORS, BATCH_CHARS, PIECE = 4, 32, 0.8, 200_000, 1 << 22, 1 << 15
 #: Classes of items by characters: at least so many, steps of a walk that go into a key, steps that it may take them from.
 CLASSES = ((80, 12, 30), (48, 10, 24), (32, 8, 18), (18, 6, 13), (10, 4, 9))
-TABLES, LEAST, RUN, SPACE, GRAM, GRAM_BITS, BAND, MANY = 3, CLASSES[-1][0], 8, 32, 4, 12, 32, 144
+TABLES, LEAST, RUN, SPACE, GRAM, GRAM_BITS, BAND, MANY, FAR = 3, CLASSES[-1][0], 8, 32, 4, 12, 32, 176, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROUND = (1 << 64) - 1
 
@@ -197,32 +197,33 @@ def least_edits(items: list[np.ndarray], of: np.ndarray, texts: np.ndarray) -> n
     The same dynamic programme for all rows at once, in 64-bit words.
     """
     size = np.array([x.size for x in items])
-    wide, one = -(-int(size.max()) // 64), np.uint64(1)
-    equal = np.zeros((65, wide, len(items)), np.uint64)
+    wide, one, top = -(-int(size.max()) // 64), np.uint64(1), np.uint64(63)
+    equal = np.zeros((wide, 65, len(items)), np.uint64)
     for k, item in enumerate(items):
         place = np.arange(item.size)
-        np.bitwise_or.at(equal, (item & 63, place >> 6, k), one << (place & 63).astype(np.uint64))
+        np.bitwise_or.at(equal, (place >> 6, item & 63, k), one << (place & 63).astype(np.uint64))
+    equal = equal.reshape(wide, -1)
     up, down = np.full((wide, of.size), _ROUND, np.uint64), np.zeros((wide, of.size), np.uint64)
-    plus, minus = np.empty_like(up), np.empty_like(up)
     score, last = size[of], ((size[of] - 1) & 63).astype(np.uint64)
     bottom = (size[of] - 1) // 64, np.arange(of.size)
     best = score.copy()
-    for c in texts.T:
-        carry = plus_in = minus_in = np.zeros(of.size, np.uint64)
-        for k in range(wide):
-            eq, p, m = equal[c, k, of], up[k], down[k]
-            both = eq & p
-            total = both + p
-            sum_ = total + carry
-            carry = ((total < both) | (sum_ < total)).astype(np.uint64)
-            across = (sum_ ^ p) | eq
-            plus[k], minus[k] = m | ~(across | p), p & across
-            shifted, x = plus[k] << one | plus_in, eq | m
-            up[k], down[k] = (minus[k] << one | minus_in) | ~(x | shifted), shifted & x
-            plus_in, minus_in = plus[k] >> np.uint64(63), minus[k] >> np.uint64(63)
+    for column in texts.T * np.int64(len(items)) + of:
+        eq = equal.take(column, axis=1)
+        both = eq & up
+        total = both + up
+        over = (total < both).astype(np.uint64)
+        for k in range(1, wide):  # the carry from word to word
+            total[k] += over[k - 1]
+            over[k] |= total[k] < over[k - 1]
+        across, x = (total ^ up) | eq, eq | down
+        plus, minus = down | ~(across | up), up & across
         score += (plus[bottom] >> last & one).view(np.int64)
         score -= (minus[bottom] >> last & one).view(np.int64)
         np.minimum(best, score, out=best)
+        shifted, lower = plus << one, minus << one
+        shifted[1:] |= plus[:-1] >> top
+        lower[1:] |= minus[:-1] >> top
+        up, down = lower | ~(x | shifted), shifted & x
     return best
 
 
@@ -330,20 +331,25 @@ class Index:
     def _pairs(self, read: np.ndarray, places: np.ndarray, begins: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Where an item may begin, as one number: item, text, and slot of RUN characters (it may lie before the text).
 
-        A place counts if another word of the item says so too, give or take the edits that there may be;
-        for items of few words one is enough.
+        A place counts if words of the item that are ``FAR`` characters apart say so, give or take the edits
+        that there may be; for small items one is enough.
         """
         slots, code, start = self._slots(edge) * RUN, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for at, item, begin in self.collisions(read, places):
             text = np.searchsorted(begins, at, "right") - 1
             code.append((item * np.int64(edge.size) + text) * slots + places[at] - begin - edge[text] + self._lead())
             start.append(begin)
-        order = np.lexsort((start := np.concatenate(start), code := np.concatenate(code)))
+        code, start = np.concatenate(code), np.concatenate(start)
+        order = np.argsort(code, kind="stable")
         code, start = code[order], start[order]
-        whose, near = code // slots, np.zeros(code.size + 1, bool)
-        item = whose // edge.size
-        near[1:-1] = (whose[1:] == whose[:-1]) & (start[1:] != start[:-1]) & (np.diff(code) <= self.room[item[1:]])
-        return np.unique(code[near[1:] | near[:-1] | ~self.many[item]] // RUN)
+        item = code // slots // edge.size
+        new = np.ones(code.size, bool)  # a place is a run of begins that edits may have moved apart
+        new[1:] = (code[1:] // slots != code[:-1] // slots) | (np.diff(code) > self.room[item[1:]])
+        first = np.flatnonzero(new)
+        if first.size:
+            far = np.maximum.reduceat(start, first) - np.minimum.reduceat(start, first) >= FAR
+            code = code[np.repeat(far, np.diff(np.append(first, code.size))) | ~self.many[item]]
+        return np.unique(code // RUN)
 
     def _lead(self) -> int:
         return int(self.sizes.max())
