@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from quillspark.functions.headings import patterns
+
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 SPACE_ENDS = r"(?U)^\s+|\s+$"
 FENCE_LINE = r"^[ \t]*(`{3,}|~{3,})"
@@ -107,10 +109,7 @@ def strip_end(text: Column) -> Column:
 
 def heading_collisions(text: Column) -> Column:
     """Headings that stand behind rules, quotes, items or sentences get a line of their own."""
-    for pattern in (
-        r"(?dmU)^([=]{3,}|[-]{3,})\s*(#{1,6}\s+)", r"(?dmU)^(>[^\n]*?)(#{1,6}\s+)", r"(?dmU)^([ \t]*[-*+]\s+[^\n]*?)(#{1,6}\s+)",
-        r"(?dmU)^([ \t]*\d+[.)]\s+[^\n]*?)(#{1,6}\s+)", r"(?U)([.!?。！？\]\)])\s*(#{2,6}\s+)",
-    ):
+    for pattern in patterns("(?dmU)", "(?U)"):
         text = F.regexp_replace(text, pattern, "$1\n$2")
     return text
 

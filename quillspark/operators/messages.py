@@ -16,12 +16,12 @@ def _part(title: str, body: Column) -> Column:
     return F.when(body != "", F.concat(F.lit(f"\n\n{title}\n"), body)).otherwise("")
 
 
-def translate_messages(protected: Column, outline: Column, glossary: Column, rules: Column, placeholders: Column, outline_mode: str = "headings") -> Column:
+def translate_messages(protected: Column, outline: Column, glossary: Column, rules: Column, placeholders: Column, outline_mode: str = "headings", source_language: str = "en", target_language: str = "zh-CN") -> Column:
     names = F.array_join(F.transform(placeholders, lambda p: F.concat(F.lit("- "), p)), "\n")
     user = F.concat(
-        F.lit(P.TRANSLATE_RULES), _part("Style rules:", C.rule_bullets(rules)), _part("Placeholders (must appear exactly once, unchanged):", names),
-        F.lit("\n\nCondensed outline:\n"), C.outline_prompt(outline, outline_mode), F.lit("\n\nGlossary:\n"), C.glossary_prompt(glossary),
-        F.lit("\n\nChunk (protected text, keep placeholders unchanged):\n<<<\n"), protected, F.lit("\n>>>"),
+        F.lit(P.translate_rules(source_language, target_language)), _part("For this document:", C.rule_bullets(rules)), _part("Tokens of this part:", names),
+        F.lit("\n\nOutline of the document:\n"), C.outline_prompt(outline, outline_mode), F.lit("\n\nGlossary:\n"), C.glossary_prompt(glossary),
+        F.lit("\n\nThe part, between the marks:\n<<<\n"), protected, F.lit("\n>>>"),
     )
     return chat(P.TRANSLATE_SYSTEM, user)
 
@@ -29,15 +29,15 @@ def translate_messages(protected: Column, outline: Column, glossary: Column, rul
 def profile_messages(content: Column, source_type: Column, source_value: Column, title_hint: Column, source_language: str = "en", target_language: str = "zh-CN") -> Column:
     hint = F.when(F.coalesce(title_hint, F.lit("")) != "", F.concat(F.lit("\n- title_hint: "), title_hint)).otherwise("")
     user = F.concat(
-        F.lit(f"Create a global profile for the document.\nReturn a JSON object that matches the schema exactly.\nSchema example:\n{P.PROFILE_EXAMPLE}\nRules:\n{P.PROFILE_RULES}\n\nSource metadata:\n- source_type: "),
+        F.lit(f"Describe the document between the marks, in the shape of this example:\n{P.PROFILE_EXAMPLE}\nWhat holds for its fields:\n{P.profile_rules(target_language)}\n\nWhat is known of it:\n- source_type: "),
         source_type, F.lit("\n- source_value: "), source_value, F.lit(f"\n- source_language: {source_language}\n- target_language: {target_language}"), hint,
-        F.lit("\n\nDocument content:\n<<<\n"), content, F.lit("\n>>>"),
+        F.lit("\n\n<<<\n"), content, F.lit("\n>>>"),
     )
     return chat(P.PROFILE_SYSTEM, user)
 
 
 def diagram_messages(content: Column) -> Column:
-    return chat(P.DIAGRAM_SYSTEM, F.concat(F.lit("Snapdown DSL:\n"), content))
+    return chat(P.DIAGRAM_SYSTEM, F.concat(F.lit("The diagram:\n"), content))
 
 
 def conversation_prompts(turns: DataFrame) -> DataFrame:

@@ -118,3 +118,15 @@ def test_answers():
     assert A.finish("see __INLINE_CODE_001__ (__URL_001__)", "see `x` (u)", kept) == ("see `x` (u)", [])
     text, warnings = A.finish("see", "see [a](u)", {})
     assert text == "see" and warnings == ["QA warning: URL target mismatch"]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("use\n```\nls\n```\nnow", "use `ls` now"), ("use ```\nls\n``` now", "use `ls` now"), ("```text\nls\n```\nnow", "`ls` now"), ("a\n\n```\nls\n```\nb", "a\n\n```\nls\n```\nb"),
+        ("use\n```\nls\n```\n\nnow", "use\n```\nls\n```\n\nnow"), ("use\n```python\nls\n```\nnow", "use\n```python\nls\n```\nnow"), ("use\n```\na\nb\n```\nnow", "use\n```\na\nb\n```\nnow"),
+        ("a ~~~\nx\n~~~\nb ~~~\ny\n~~~\nc", "a `x` b `y` c"), ("use\n```\n" + "x" * 81 + "\n```\nnow", "use\n```\n" + "x" * 81 + "\n```\nnow"), ("```\nx = 1\n\n```\nshort\n```\nfoo\nbar\n```\nend", "```\nx = 1\n\n```\nshort\n```\nfoo\nbar\n```\nend"), ("", ""),
+    ],
+)
+def test_short_blocks_in_prose(text, expected):
+    assert A.inline_short_blocks(text) == expected
