@@ -27,3 +27,24 @@ FROM documents
 def md_corpus(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """doc_id, md for documents with doc_id and text."""
     return spark.sql(MD_CORPUS_SQL.replace("FROM documents", "FROM {documents}"), documents=documents)
+
+
+_TILDES = "repeat('~', 3)"
+
+#: Six variants of lists and fence marks by id: a block two levels deep, two blocks in a row, ticks in prose, marks in items and prose, an outdented block, a clean one.
+LIST_CORPUS_SQL = f"""
+SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) || {_NL} || {_NL} || CASE doc_id % 6
+     WHEN 0 THEN '- a' || {_NL} || '    1. b' || {_NL} || '        ' || {_TICKS} || {_NL} || '        x' || {_NL} || '        ' || {_TICKS} || {_NL} || 'after'
+     WHEN 1 THEN '- a' || {_NL} || '    ' || {_TICKS} || {_NL} || '    x' || {_NL} || '    ' || {_TICKS} || {_NL} || {_NL} || '    ' || {_TILDES} || {_NL} || '    y' || {_NL} || '    ' || {_TILDES}
+     WHEN 2 THEN 'prose with ' || {_TICKS} || ' in it' || {_NL} || 'and glued' || {_TICKS} || 'sql'
+     WHEN 3 THEN '- item with ' || {_TICKS} || ' x' || {_NL} || {_NL} || 'text ' || {_TILDES} || ' y'
+     WHEN 4 THEN '* a' || {_NL} || '    * b' || {_NL} || {_TICKS} || {_NL} || 'outdented' || {_NL} || {_TICKS} || {_NL} || {_NL} || 'end'
+     ELSE '1. a' || {_NL} || {_NL} || '    ' || {_TICKS} || {_NL} || '    fine' || {_NL} || '    ' || {_TICKS} || {_NL} || 'prose' || {_NL} || {_TICKS} || {_NL} || 'no list' || {_NL} || {_TICKS}
+     END || {_NL} AS md
+FROM documents
+"""
+
+
+def list_corpus(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, md for documents with doc_id."""
+    return spark.sql(LIST_CORPUS_SQL.replace("FROM documents", "FROM {documents}"), documents=documents)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import chunks as K
-from quillspark.functions.arrow import checked
+from quillspark.functions.arrow import checked, scanner
 
 CHUNKS = "array<struct<chunk_id:string,source_text:string,separators:array<string>>>"
 
@@ -50,6 +50,12 @@ def parse_chunk_payload(payloads: DataFrame, id_col: str = "doc_id", json_col: s
     return rows.select(id_col, "error", F.posexplode_outer("c").alias("idx", "x")).select(id_col, F.col("idx").cast("long").alias("idx"), "x.chunk_id", "x.source_text", "x.separators", "error")
 
 
+def sentence_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = K.DEFAULT_CHARS) -> DataFrame:
+    """doc_id, idx (from 0), piece: each text, taken as one paragraph, in parts of at most ``most`` characters."""
+    parts = scanner(lambda t: [p for p, _ in K.pieces(t, "", most)], "array<string>")(F.col(text_col))
+    return docs.select(F.col(id_col), F.posexplode(parts).alias("idx", "piece")).select(id_col, F.col("idx").cast("long").alias("idx"), "piece")
+
+
 def heading_sections(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, line_no, section: number of the heading section a line stands in; ``lines`` also has in_span.
 

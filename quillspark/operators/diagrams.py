@@ -37,6 +37,16 @@ def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return rows.select(id_col, (F.col("at") + 1).cast("long").alias("ord"), F.substring("h", 3, 1).cast("int").alias("level"), C.squeeze(C.strip_tags(F.col("h"))).alias("heading"))
 
 
+def scripts_asof_heading(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """page_id, ord (from 1), n_chars, heading of every script element, with the last heading before it.  No Python."""
+    found = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<script\b[^>]*>.*?</script>|<h[1-6]\b[^>]*>.*?</h[1-6]>"), F.lit(0))
+    rows = pages.select(F.col(id_col), F.posexplode(found).alias("pos", "x"))
+    is_heading = F.col("x").rlike("(?i)^<h[1-6]")
+    events = rows.select(id_col, "pos", "x", F.when(is_heading, "heading").otherwise("script").alias("kind"), F.when(is_heading, C.squeeze(C.strip_tags(F.col("x")))).alias("text"))
+    order = Window.partitionBy(id_col).orderBy("pos")
+    return nearest_heading(events, id_col).select(id_col, F.row_number().over(order).cast("long").alias("ord"), F.length("x").cast("long").alias("n_chars"), "heading")
+
+
 def convert_diagrams(diagrams: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Convert each distinct content once; what fails keeps its block.
 

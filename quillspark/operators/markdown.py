@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions import columns as C
 from quillspark.functions.arrow import scanner
 from quillspark.functions.autofix import autofix, guard, indent_list_blocks
-from quillspark.functions.lint import CLEAN_REPORT, lint
-from quillspark.functions.sanitize import clean_fetched, clean_links, drop_residue, sanitize, split_requires
+from quillspark.functions.lint import BROKEN_LINK, CLEAN_REPORT, lint
+from quillspark.functions.sanitize import RESIDUE, clean_fetched, clean_links, collapse_blanks, drop_residue, sanitize, split_requires
 from quillspark.functions.scan import by_line, rewrite_outside
 
+#: Rules that one pattern over a line outside fences states.
+LINE_RULES = {"BROKEN_LINK_EMPTY_LABEL": BROKEN_LINK.pattern, "INTERACTIVE_RESIDUE": f"(?i){RESIDUE.pattern}"}
 ISSUES = "array<struct<rule_id:string,line:bigint,message:string,excerpt:string>>"
 
 
@@ -45,6 +47,10 @@ def residue_dropped(md: Column) -> Column:
     return scanner(by_line(drop_residue), "string")(md)
 
 
+def blanks_collapsed(md: Column) -> Column:
+    return scanner(by_line(collapse_blanks), "string")(md)
+
+
 def requires_split(md: Column) -> Column:
     return scanner(by_line(lambda x: rewrite_outside(x, split_requires)), "string")(md)
 
@@ -71,11 +77,22 @@ def fence_mask(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> D
     return docs.select(F.col(id_col), state).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), (F.col("fence") != "").alias("in_fence"))
 
 
-def outside_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
-    """doc_id, line_no, line of the lines outside fenced blocks, openers included."""
+def fenced_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
+    """doc_id, line_no, line, in_fence: lines and the state before each from one explosion."""
     rows = C.lines(F.col(md_col))
     both = F.posexplode(F.arrays_zip(rows.alias("line"), C.fence_state(rows).alias("fence"))).alias("at", "x")
-    return docs.select(F.col(id_col), both).where("x.fence = ''").select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"))
+    return docs.select(F.col(id_col), both).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"), (F.col("x.fence") != "").alias("in_fence"))
+
+
+def outside_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
+    """doc_id, line_no, line of the lines outside fenced blocks, openers included."""
+    return fenced_lines(docs, id_col, md_col).where("NOT in_fence").drop("in_fence")
+
+
+def lines_breaking(docs: DataFrame, rule: str, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
+    """doc_id, rule_id, line, excerpt of a rule that one pattern states; no Python."""
+    found = outside_lines(docs, id_col, md_col).where(F.col("line").rlike("(?U)" + LINE_RULES[rule]))
+    return found.select(id_col, F.lit(rule).alias("rule_id"), F.col("line_no").alias("line"), C.excerpt(F.col("line")).alias("excerpt"))
 
 
 def unclosed_fences(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:

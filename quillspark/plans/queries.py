@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.corpus import MD_CORPUS_SQL, md_corpus
+from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_corpus
 from quillspark.functions import columns as C
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, messages, preserve
 from quillspark.operators.model import FakeClient, best_of_attempts
@@ -26,15 +26,18 @@ SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer pieces than there are cores (a single row group, say) is dealt out once."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table as it lies; its files and row groups decide the tasks."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md_corpus(spark, table(spark, sf_dir, "documents"))
 
 
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_corpus(spark, table(spark, sf_dir, "documents"))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         QUERIES[function.__name__] = function
@@ -104,12 +107,12 @@ def _rule_sql(rule: str, condition: str) -> str:
 
 @query(_rule_sql("BROKEN_LINK_EMPTY_LABEL", r"regexp_matches(line, '\[]\(https?://[^)\s]+\)\S')"))
 def lint_broken_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule(spark, sf_dir, "BROKEN_LINK_EMPTY_LABEL")
+    return M.lines_breaking(corpus(spark, sf_dir), "BROKEN_LINK_EMPTY_LABEL")
 
 
 @query(_rule_sql("INTERACTIVE_RESIDUE", r"regexp_matches(line, '(?i)check explain|\(missing answer\)|\(missing explanation\)|（缺失答案）|（缺失解释）')"))
 def lint_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule(spark, sf_dir, "INTERACTIVE_RESIDUE")
+    return M.lines_breaking(corpus(spark, sf_dir), "INTERACTIVE_RESIDUE")
 
 
 @query(_rule_sql("FENCE_GLUE_AFTER_PROSE", r"regexp_matches(line, '^[^`~]*[^`~\s]```+[A-Za-z0-9_-]')"))
@@ -117,9 +120,48 @@ def lint_glue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rule(spark, sf_dir, "FENCE_GLUE_AFTER_PROSE")
 
 
-@query(_rule_sql("LIST_FENCE_INDENT", r"regexp_matches(line, '^```text') AND doc_id % 8 = 1"))
+#: List rules by meaning: a list level is alive at an opener if no line between them ends it.
+_LIST_RULES = r"""
+shown AS (SELECT doc_id, line_no, line, fence, length(replace(regexp_extract(line, '^[ \t]*'), chr(9), '    ')) AS indent, regexp_matches(line, '^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]') AS is_item,
+  regexp_extract(line, '^[ \t]*(`{3,}|~{3,})', 1) <> '' AS opens, regexp_full_match(line, '\s*') AS blank,
+  max(CASE WHEN NOT regexp_full_match(line, '\s*') THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM lines),
+level AS (SELECT f.doc_id, f.line_no, i.indent + 4 AS wanted, i.indent + 4 <= f.indent AS explicit
+  FROM shown f JOIN shown i ON i.doc_id = f.doc_id AND i.line_no < f.line_no AND i.is_item AND i.fence = ''
+  WHERE f.fence = '' AND f.opens AND NOT EXISTS (SELECT 1 FROM shown j WHERE j.doc_id = f.doc_id AND j.line_no > i.line_no AND j.line_no < f.line_no AND j.fence = ''
+    AND (j.is_item AND j.indent <= i.indent OR NOT j.is_item AND NOT j.opens AND NOT j.blank AND j.indent < i.indent + 4))),
+depth AS (SELECT doc_id, line_no, CASE WHEN bool_or(explicit) THEN count(*) FILTER (WHERE explicit) ELSE count(*) END AS depth, NOT bool_or(explicit) AS outdented FROM level GROUP BY doc_id, line_no)
+SELECT d.doc_id, r.rule_id, d.line_no AS line, {excerpt} AS excerpt FROM depth d JOIN shown f USING (doc_id, line_no) LEFT JOIN lines a ON a.doc_id = d.doc_id AND a.line_no = f.above
+JOIN (VALUES ('LIST_FENCE_INDENT'), ('LIST_FENCE_COMPLEX_DEPTH'), ('LIST_FENCE_CHAINING')) r(rule_id)
+  ON r.rule_id = 'LIST_FENCE_INDENT' AND outdented OR r.rule_id = 'LIST_FENCE_COMPLEX_DEPTH' AND depth > 1 OR r.rule_id = 'LIST_FENCE_CHAINING' AND a.fence <> ''""".replace("{excerpt}", _EXCERPT.format("f.line"))
+_LIST_FENCES = _FENCES.replace(MD_CORPUS_SQL, LIST_CORPUS_SQL)
+_LIST_NAMES = ("LIST_FENCE_INDENT", "LIST_FENCE_COMPLEX_DEPTH", "LIST_FENCE_CHAINING")
+
+
+@query(f"{_FENCES}, {_LIST_RULES}")
 def lint_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rule(spark, sf_dir, "LIST_FENCE_INDENT", "LIST_FENCE_COMPLEX_DEPTH", "LIST_FENCE_CHAINING")
+    return _rule(spark, sf_dir, *_LIST_NAMES)
+
+
+@query(f"{_LIST_FENCES}, {_LIST_RULES}")
+def lint_list_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks under nested lists, in a row, and outdented."""
+    return M.lint_issues(lists(spark, sf_dir)).where(F.col("rule_id").isin(*_LIST_NAMES)).select("doc_id", "rule_id", "line", "excerpt")
+
+
+#: The first fence token behind other text of a line: what stands before it, its character, and what follows.
+_TOKENS = r"""
+bodies AS (SELECT *, regexp_replace(ltrim(line, chr(32) || chr(9)), '^(`+|~+)', '') AS body, regexp_matches(line, '^[ \t]*([-*+]|[0-9]{1,9}[.)])[ \t]') AS is_item FROM lines WHERE fence = ''),
+tokens AS (SELECT *, regexp_extract(body, '(`{3,}|~{3,})', 1) AS token, regexp_matches(body, '^[^`~]*\S(`{3,})[A-Za-z0-9_-]') AS glued FROM bodies)"""
+
+
+@query(f"{_LIST_FENCES}, {_TOKENS} SELECT doc_id, 'PROSE_TRIPLE_BACKTICKS' AS rule_id, line_no AS line, {_EXCERPT.format('line')} AS excerpt FROM tokens WHERE token LIKE '`%' AND NOT glued AND NOT is_item")
+def lint_prose_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.lint_issues(lists(spark, sf_dir)).where("rule_id = 'PROSE_TRIPLE_BACKTICKS'").select("doc_id", "rule_id", "line", "excerpt")
+
+
+@query(f"{_LIST_FENCES}, {_TOKENS} SELECT doc_id, 'FENCE_INLINE' AS rule_id, line_no AS line, {_EXCERPT.format('line')} AS excerpt FROM tokens WHERE token LIKE '~%' OR token <> '' AND NOT glued AND is_item")
+def lint_fence_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.lint_issues(lists(spark, sf_dir)).where("rule_id = 'FENCE_INLINE'").select("doc_id", "rule_id", "line", "excerpt")
 
 
 #: Every issue of the corpus, rule by rule; no line of it breaks two rules.
@@ -202,6 +244,15 @@ def sanitize_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.residue_dropped(F.col("md")).alias("md"))
 
 
+@query(
+    f"""{_FENCES}, runs AS (SELECT *, fence = '' AND regexp_full_match(line, '\\s*') AS blank FROM lines),
+    counted AS (SELECT *, line_no - max(CASE WHEN NOT blank THEN line_no ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS nth FROM runs)
+    SELECT doc_id, string_agg(CASE WHEN blank THEN '' ELSE line END, chr(10) ORDER BY line_no) || chr(10) AS md FROM counted WHERE NOT blank OR nth <= 2 GROUP BY doc_id"""
+)
+def sanitize_collapse_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", M.blanks_collapsed(F.col("md")).alias("md"))
+
+
 @query()
 def sanitize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.sanitized(F.col("md")).alias("md"))
@@ -324,9 +375,22 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS section FROM lines"""
 )
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    lines = M.md_lines(docs).join(M.fence_mask(docs), ["doc_id", "line_no"]).withColumnRenamed("in_fence", "in_span")
-    return chunking.heading_sections(lines)
+    return chunking.heading_sections(M.fenced_lines(corpus(spark, sf_dir)).withColumnRenamed("in_fence", "in_span"))
+
+
+@query(
+    r"""WITH RECURSIVE cuts AS (
+      SELECT doc_id, -1::BIGINT AS idx, NULL::VARCHAR AS piece, replace(text, chr(10), ' ') AS rest FROM documents WHERE text <> ''
+      UNION ALL
+      SELECT doc_id, idx + 1, left(rest, k), substr(rest, k + 1) FROM (
+        SELECT doc_id, idx, rest, CASE WHEN length(rest) <= 200 THEN length(rest) ELSE coalesce(
+          nullif(length(regexp_extract(left(rest, 200), '(?s)^.*[.!?。！？][\s\p{Z}]+')), 0), nullif(length(regexp_extract(left(rest, 200), '(?s)^(.*) ', 1)), 0), 200) END AS k FROM cuts) WHERE rest <> '')
+    SELECT doc_id, idx, piece FROM cuts WHERE idx >= 0"""
+)
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one long line, in parts of at most 200 characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", " ").alias("text"))
+    return chunking.sentence_pieces(docs, most=200)
 
 
 @query(
@@ -460,6 +524,16 @@ def diagram_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagrams.extract_diagrams(_diagram_pages(spark, sf_dir)).select("page_id", "language", "content", "heading")
 
 
+@query(
+    r"""WITH e AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>|<h[1-6]\b[^>]*>.*?</h[1-6]>') AS l FROM (SELECT page_id, MADE AS html FROM pages))),
+    t AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)^<h[1-6]') THEN trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) END AS text FROM e),
+    s AS (SELECT a.page_id, a.pos, a.x, arg_max(b.text, b.pos) AS heading FROM t a LEFT JOIN t b ON b.page_id = a.page_id AND b.pos < a.pos AND b.text IS NOT NULL WHERE a.text IS NULL GROUP BY a.page_id, a.pos, a.x)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ord, length(x) AS n_chars, heading FROM s""".replace("MADE", _MADE)
+)
+def script_asof_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagrams.scripts_asof_heading(_diagram_pages(spark, sf_dir))
+
+
 @query("SELECT sha1('head ' || k) AS content_sha1, count(*) AS n FROM (SELECT page_id % 10 AS k FROM pages) GROUP BY k UNION ALL SELECT sha1(page_id || ' -> `x`'), 1 FROM pages WHERE page_id % 5 <> 0")
 def diagram_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = diagrams.extract_diagrams(_diagram_pages(spark, sf_dir))
