@@ -295,18 +295,69 @@ def fence_marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", C.fence_markers(F.col("md")).cast("long").alias("n_markers"))
 
 
-@query()
+def _pieces(source: str, text: str, pattern: str) -> str:
+    """The text of each row cut into pieces that a pattern and its remainder cover, with the place of each."""
+    return f"""(SELECT * EXCLUDE (l, t), coalesce(sum(length(t)) OVER (PARTITION BY doc_id, base ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot, t
+      FROM (SELECT *, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS l FROM {source})))"""
+
+
+_DOLLARS, _BRACKETS = r"(?s)\\.|[$][$]|[^$\\]+|[$]", r"\\[(].*?\\[)]|\\.|[^\\]+"
+_SINGLE, _MATHS = r"[$][$]|[$][^\s$]([^$]*[^\s$])?[$]|[^$]+|[$]", r"[\\^_={}\[\]<>+*/A-Za-z-]"
+_LINK, _REFERENCE = r"\[[^\[\]]*\]\([^()\s]+\)|[^\[]+|\[", r"^[ \t]*\[[^\]]+\]:[ \t]*"
+_ELEMENT = r"(?s)<!--.*?-->|<!DOCTYPE[^<>]*>|</?[A-Za-z][A-Za-z0-9:-]*(\s[^<>]*)?/?>|[^<]+|<"
+
+#: Candidates of each finder in order of priority, from the semantics of each construct; the corpus has no display brackets and no environments.
+_CANDIDATES = {
+    "CODE_BLOCK": """SELECT doc_id, min(base) AS a, max(base + length(line) + 1) AS b FROM (
+        SELECT *, sum(CASE WHEN fence = '' AND opens <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM placed WHERE fence <> '' OR opens <> '') GROUP BY doc_id, block""",
+    "MATH_BLOCK": f"""SELECT doc_id, spot AS a, coalesce(lead(spot) OVER marks + 2, length(md)) AS b, row_number() OVER marks % 2 AS odd
+        FROM {_pieces("whole", "md", _DOLLARS)} WHERE t = '$$' WINDOW marks AS (PARTITION BY doc_id ORDER BY spot) QUALIFY odd = 1""",
+    "MATH_INLINE": f"SELECT doc_id, base + spot AS a, base + spot + length(t) AS b FROM {_pieces('placed', 'line', _BRACKETS)} WHERE t LIKE chr(92) || '(%'",
+    "MATH_INLINE 2": f"""SELECT doc_id, base + spot AS a, base + spot + length(t) AS b FROM (
+        SELECT *, lead(t) OVER (PARTITION BY doc_id, base ORDER BY spot) AS behind FROM {_pieces("placed", "line", _SINGLE)})
+        WHERE length(t) > 2 AND t LIKE '$%$' AND regexp_matches(t, '{_MATHS}') AND NOT regexp_matches(coalesce(behind, ''), '^[0-9]')""",
+    "INLINE_CODE": f"""SELECT doc_id, spot AS a, coalesce(lead(spot + length(t)) OVER runs, length(md)) AS b, row_number() OVER runs % 2 AS odd
+        FROM {_pieces("whole", "md", "`+|[^`]+")} WHERE t LIKE '`%' WINDOW runs AS (PARTITION BY doc_id ORDER BY spot) QUALIFY odd = 1""",
+    "URL": f"""SELECT doc_id, spot + instr(t, '](') + 1 AS a, spot + length(t) - 1 AS b FROM {_pieces("whole", "md", _LINK)} WHERE t LIKE '[%)'
+        UNION ALL SELECT doc_id, base + length(head), base + length(head) + length(regexp_extract(substr(line, length(head) + 1), '^[^ ]+')) FROM (SELECT *, regexp_extract(line, '{_REFERENCE}') AS head FROM placed) WHERE head <> ''""",
+    "HTML": f"SELECT doc_id, spot AS a, spot + length(t) AS b FROM {_pieces('whole', 'md', _ELEMENT)} WHERE t LIKE '<%>'",
+}
+
+
+def _spans_sql() -> str:
+    """Kept spans, each finder giving way to those before it: doc_id, step, kind, a, b."""
+    parts = [
+        f"{_FENCES}, placed AS (SELECT *, {_OPEN} AS opens, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT - length(line) - 1 AS base FROM lines)",
+        "whole AS (SELECT doc_id, md, 0 AS base FROM md_corpus)", "kept0 AS (SELECT NULL::BIGINT AS doc_id, 0 AS step, '' AS kind, 0::BIGINT AS a, 0::BIGINT AS b WHERE false)",
+    ]
+    for step, (name, found) in enumerate(_CANDIDATES.items(), 1):
+        clear = f"NOT EXISTS (SELECT 1 FROM kept{step - 1} k WHERE k.doc_id = c.doc_id AND k.a < c.b AND c.a < k.b)"
+        parts.append(f"kept{step} AS (SELECT * FROM kept{step - 1} UNION ALL SELECT doc_id, {step}, '{name.split()[0]}', a, b FROM ({found}) c WHERE a < b AND {clear})")
+    return ", ".join(parts) + f", spans AS (SELECT * FROM kept{len(_CANDIDATES)})"
+
+
+_SPANS = _spans_sql()
+#: The last span of a finder has the lowest number; numbers go on from finder to finder of a kind.
+_NAMED = """named AS (SELECT s.*, md, substr(md, a + 1, b - a) AS original, row_number() OVER (PARTITION BY doc_id ORDER BY step, a DESC) AS ord,
+      '__' || kind || '_' || lpad((row_number() OVER (PARTITION BY doc_id, kind ORDER BY step, a DESC))::VARCHAR, 3, '0') || '__' AS placeholder FROM spans s JOIN md_corpus USING (doc_id))"""
+
+
+@query(f'{_SPANS} SELECT doc_id, a AS start, b AS "end", kind FROM spans')
 def protected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preserve.protected_spans(corpus(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""{_SPANS}, {_NAMED}, cut AS (SELECT doc_id, a, b, substr(md, 1 + lag(b, 1, 0) OVER spots, a - lag(b, 1, 0) OVER spots) || placeholder AS piece FROM named WINDOW spots AS (PARTITION BY doc_id ORDER BY a)),
+    done AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS head, max(b) AS last, count(*) AS n FROM cut GROUP BY doc_id)
+    SELECT c.doc_id, coalesce(head, '') || substr(md, coalesce(last, 0) + 1) AS protected_text, coalesce(n, 0) AS n_placeholders, NULL::VARCHAR AS error FROM md_corpus c LEFT JOIN done USING (doc_id)"""
+)
 def protected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preserve.protect(corpus(spark, sf_dir))
     return rows.select("doc_id", "protected_text", F.size("map").cast("long").alias("n_placeholders"), "error")
 
 
-@query()
+@query(f"{_SPANS}, {_NAMED} SELECT doc_id, ord, placeholder, original FROM named")
 def placeholder_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ord, placeholder, original."""
     rows = preserve.protect(corpus(spark, sf_dir)).select("doc_id", F.explode("map").alias("m"))
