@@ -253,17 +253,66 @@ def sanitize_collapse_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.blanks_collapsed(F.col("md")).alias("md"))
 
 
-@query()
+def _over(sql: str, source: str) -> str:
+    """A query over the corpus as one over another table of doc_id and md."""
+    return sql.replace(MD_CORPUS_SQL, source).replace("md_corpus AS (", "md_corpus AS MATERIALIZED (")
+
+
+def _chain(*steps: str) -> str:
+    """Queries one after another, each over the texts of the one before."""
+    source = MD_CORPUS_SQL
+    for sql in steps:
+        source = _over(sql, source)
+    return source
+
+
+_GLUE = r"^([^`~]*[^`~\s])(`{3,})([A-Za-z0-9_-].*)$"
+_CLOSES = f"{_SHUT} <> '' AND left({_SHUT}, 1) = left(f.fence, 1) AND length({_SHUT}) >= length(f.fence)"
+
+
+def _split_glue(ends: str) -> str:
+    """Prose and the fence glued to it part; the fence opens a block then, which ``ends`` closes."""
+    return f"""WITH RECURSIVE {_LINES}, walk AS (
+      SELECT doc_id, 1::BIGINT AS line_no, '' AS fence FROM md_corpus
+      UNION ALL
+      SELECT f.doc_id, f.line_no + 1, CASE WHEN f.fence = '' THEN coalesce(nullif({_OPEN}, ''), regexp_extract(line, '{_GLUE}', 2)) WHEN {ends} THEN '' ELSE f.fence END
+      FROM walk f JOIN md_lines l ON l.doc_id = f.doc_id AND l.line_no = f.line_no)
+    SELECT doc_id, string_agg(CASE WHEN fence = '' AND {_OPEN} = '' THEN regexp_replace(line, '{_GLUE}', '\\1' || chr(10) || '\\2\\3') ELSE line END, chr(10) ORDER BY line_no) || chr(10) AS md
+    FROM md_lines JOIN walk USING (doc_id, line_no) GROUP BY doc_id"""
+
+
+#: Lines of a block get the indentation of the list item's content above it, unless prose outside that content ends the item first.
+_INDENT_BLOCKS = f"""{_FENCES}, shown AS (SELECT *, length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '    ')) AS indent, regexp_matches(line, '^[ \\t]*([-*+]|[0-9]{{1,9}}[.)])[ \\t]') AS is_item,
+      {_OPEN} <> '' AS opens, regexp_full_match(line, '\\s*') AS blank FROM lines),
+    block AS (SELECT *, max(CASE WHEN fence = '' AND opens THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS opener, fence <> '' OR opens AS inside FROM shown),
+    item AS (SELECT o.doc_id, o.line_no AS opener, max(i.line_no) AS line_no FROM shown o JOIN shown i ON i.doc_id = o.doc_id AND i.line_no < o.line_no AND i.is_item AND i.fence = '' WHERE o.fence = '' AND o.opens GROUP BY o.doc_id, o.line_no),
+    content AS (SELECT t.doc_id, t.opener, i.indent + 4 AS wide FROM item t JOIN shown i USING (doc_id, line_no) WHERE NOT EXISTS (
+      SELECT 1 FROM shown j WHERE j.doc_id = t.doc_id AND j.line_no > t.line_no AND j.line_no < t.opener AND j.fence = '' AND NOT j.is_item AND NOT j.opens AND NOT j.blank AND j.indent < i.indent + 4))
+    SELECT b.doc_id, string_agg(CASE WHEN NOT inside OR wide IS NULL OR indent >= wide AND NOT blank THEN line WHEN blank THEN '' ELSE repeat(' ', wide::INT) || ltrim(line, chr(32) || chr(9)) END, chr(10) ORDER BY line_no) || chr(10) AS md
+    FROM block b LEFT JOIN content c ON c.doc_id = b.doc_id AND c.opener = b.opener AND b.inside GROUP BY b.doc_id"""
+_SANITIZE = ("sanitize_double_fence", "sanitize_links", "sanitize_residue", "sanitize_requires_effects")
+_SANITIZED = _chain(*(SQL[k] for k in _SANITIZE), _split_glue(f"{_SHUT} <> ''"), SQL["sanitize_collapse_blanks"])
+_AUTOFIX = (_split_glue(_CLOSES), _INDENT_BLOCKS)
+
+
+@query(_SANITIZED)
 def sanitize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.sanitized(F.col("md")).alias("md"))
 
 
-@query()
+@query(_chain(*_AUTOFIX))
 def autofix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.repaired(F.col("md")).alias("md"))
 
 
-@query()
+def _reported(source: str) -> str:
+    """Texts, the number of their issues, and the report behind a heading if there are any."""
+    report = _over(SQL["lint_report"], "SELECT * FROM guarded")
+    return f"""WITH guarded AS MATERIALIZED ({source}), told AS ({report})
+    SELECT doc_id, md, n_issues, CASE WHEN n_issues > 0 THEN 'markdown guardrails failed:' || chr(10) || report END AS error FROM guarded JOIN told USING (doc_id)"""
+
+
+@query(_reported(_over(_AUTOFIX[1], _over(_AUTOFIX[0], _SANITIZED))))
 def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sanitized documents through the guard: text, number of issues left, error."""
     done = corpus(spark, sf_dir).withColumn("g", M.guarded(M.sanitized(F.col("md"))))
@@ -369,13 +418,12 @@ def protect_restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preserve.restore(preserve.protect(corpus(spark, sf_dir)))
 
 
-@query(
-    f"""WITH {_CORPUS}, made AS (
-      SELECT doc_id, 'https://example.com/' || doc_id AS url, 1 AS ord FROM md_corpus WHERE doc_id % 8 = 3
-      UNION ALL SELECT doc_id, 'https://example.com/a', 2 FROM md_corpus WHERE doc_id % 8 = 3
-      UNION ALL SELECT doc_id, 'https://example.com/ref', 3 FROM md_corpus WHERE doc_id % 8 = 3)
-    SELECT doc_id, ord::BIGINT AS ord, url FROM made"""
-)
+#: Targets of links in order, then those of reference definitions.
+_TARGETS = f"""{_FENCES}, placed AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT - length(line) - 1 AS base FROM lines), whole AS (SELECT doc_id, md, 0 AS base FROM md_corpus),
+    target AS (SELECT DISTINCT doc_id, a, b, EXISTS (SELECT 1 FROM placed p WHERE p.doc_id = u.doc_id AND regexp_matches(p.line, '{_REFERENCE}') AND u.a >= p.base AND u.b <= p.base + length(p.line)) AS defined FROM ({_CANDIDATES['URL']}) u WHERE a < b)"""
+
+
+@query(f"{_TARGETS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY defined, a) AS ord, substr(md, a + 1, b - a) AS url FROM target JOIN md_corpus USING (doc_id)")
 def url_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus(spark, sf_dir).select("doc_id", F.posexplode(preserve.url_targets(F.col("md"))).alias("ord", "url"))
     return rows.select("doc_id", (F.col("ord") + 1).cast("long").alias("ord"), "url")
@@ -693,7 +741,18 @@ def placeholder_retry_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_of_attempts(said, ("doc_id",)).select("doc_id", "n_missing", "attempt")
 
 
-@query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'QA warning: code fence count mismatch' WHEN 3 THEN 'QA warning: URL target mismatch' ELSE 'QA warning: math delimiter count mismatch' END AS warning FROM documents WHERE doc_id % 8 IN (0, 3, 4)")
+_CHANGED = "SELECT doc_id, replace(replace(replace(md, repeat(chr(96), 3) || 'python', chr(96) || chr(96) || 'python'), '$a_1', 'a_1'), 'example.com/a', 'example.com/b') AS md FROM (" + MD_CORPUS_SQL + ")"
+#: What is counted in a text: fence lines, dollars by kind, and link targets in order.
+_MEASURED = rf"""SELECT doc_id, len(regexp_extract_all(md, '(?m)^[ \t]*(`{{3,}}|~{{3,}})')) AS fences, list_filter(regexp_extract_all(md, '(?s)\\.|[$][$]|[$]'), lambda t: t IN ('$', '$$', chr(92) || '(', chr(92) || ')')).list_sort() AS marks,
+    regexp_extract_all(md, '\][(][^()\s]+[)]') AS links, regexp_extract_all(md, '(?m)^[ \t]*\[[^\]]+\]:[ \t]*([^ \n]+)') AS defined FROM """
+
+
+@query(
+    f"""WITH a AS ({_MEASURED} ({MD_CORPUS_SQL})), b AS ({_MEASURED} ({_CHANGED})),
+    w AS (SELECT doc_id, unnest([CASE WHEN a.fences <> b.fences THEN 'code fence count mismatch' END, CASE WHEN a.marks <> b.marks THEN 'math delimiter count mismatch' END,
+      CASE WHEN a.links <> b.links OR a.defined <> b.defined THEN 'URL target mismatch' END]) AS m FROM a JOIN b USING (doc_id))
+    SELECT doc_id, 'QA warning: ' || m AS warning FROM w WHERE m IS NOT NULL"""
+)
 def qa_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the corpus with a fence, a dollar or an address altered."""
     docs = corpus(spark, sf_dir)
