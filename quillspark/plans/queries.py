@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_corpus
 from quillspark.functions import columns as C
+from quillspark.functions.headings import GLUED_TO
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, messages, preserve
 from quillspark.operators.model import FakeClient, best_of_attempts
 from quillspark.operators.profile import profiles
@@ -463,7 +464,30 @@ def chunk_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.reconstruct(chunking.chunk_plan(table(spark, sf_dir, "documents"), md_col="text"))
 
 
-@query()
+#: Parts of a text - sections at headings, paragraphs at blank lines, pieces of at most 1000 characters - packed in order into chunks.
+_PLAN = _SPANS + r""", places AS (
+      SELECT doc_id, base AS a, base AS b, true AS heads FROM placed p WHERE base > 0 AND regexp_matches(line, '^[ \t]{0,3}#{1,6}[ \t]+') AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = p.doc_id AND s.a <= p.base AND p.base < s.b)
+      UNION ALL SELECT doc_id, spot, spot + length(t), false FROM BLANKS q WHERE length(t) > 1 AND t LIKE chr(10) || '%' AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = q.doc_id AND s.a < q.spot + length(q.t) AND q.spot < s.b)
+      UNION ALL SELECT doc_id, length(md), length(md), true FROM md_corpus),
+    parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS part, coalesce(sum(heads::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section,
+      substr(md, 1 + lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b), a - lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b)) AS text, substr(md, a + 1, b - a) AS sep FROM places JOIN md_corpus USING (doc_id)),
+    pieces AS (
+      SELECT doc_id, section, part, 0 AS k, '' AS text, '' AS sep, text AS rest, sep AS last FROM parts
+      UNION ALL
+      SELECT doc_id, section, part, k + 1, left(rest, n), CASE WHEN n = length(rest) AND n + length(last) <= 1000 THEN last ELSE '' END, substr(rest, n + 1), CASE WHEN n = length(rest) AND n + length(last) <= 1000 THEN '' ELSE last END
+      FROM (SELECT *, CASE WHEN length(rest) <= 1000 THEN length(rest) ELSE coalesce(nullif(length(regexp_extract(left(rest, 1000), '(?s)^.*[.!?。！？][\s\p{Z}]+')), 0),
+        nullif(length(regexp_extract(left(rest, 1000), '(?s)^(.*)\n', 1)), 0), nullif(length(regexp_extract(left(rest, 1000), '(?s)^(.*) ', 1)), 0), 1000) END AS n FROM pieces) WHERE rest <> '' OR last <> ''),
+    units AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY part, k) AS n, text || sep AS whole FROM pieces WHERE k > 0),
+    packed AS (
+      SELECT doc_id, section, n, 1 AS chunk, length(whole) AS size, whole FROM units WHERE n = 1
+      UNION ALL
+      SELECT u.doc_id, u.section, u.n, p.chunk + (p.size > 0 AND p.size + length(u.whole) > 1000)::INT, CASE WHEN p.size > 0 AND p.size + length(u.whole) > 1000 THEN 0 ELSE p.size END + length(u.whole), u.whole
+      FROM packed p JOIN units u ON u.doc_id = p.doc_id AND u.section = p.section AND u.n = p.n + 1),
+    chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk) - 1 AS idx, string_agg(whole, '' ORDER BY n) AS source_text, count(*) AS n_separators FROM packed GROUP BY doc_id, section, chunk)
+    SELECT doc_id, idx, 'chunk-' || lpad((idx + 1)::VARCHAR, greatest(4, length((max(idx) OVER (PARTITION BY doc_id) + 1)::VARCHAR))::INT, '0') AS chunk_id, source_text, n_separators, NULL::VARCHAR AS error FROM chunks"""
+
+
+@query(_PLAN.replace("BLANKS", _pieces("whole", "md", r"(\n[ \t]*){2,}|\n|[^\n]+")))
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = chunking.chunk_plan(corpus(spark, sf_dir), most=1000)
     return plan.select("doc_id", "idx", "chunk_id", "source_text", F.size("separators").cast("long").alias("n_separators"), "error")
@@ -786,7 +810,19 @@ class EchoClient(FakeClient):
         return super().complete(messages, json_mode)
 
 
-@query()
+def _collided(text: str) -> str:
+    """Headings glued to other text go to lines of their own, case by case."""
+    for before, at_start, least in GLUED_TO:
+        text = f"regexp_replace({text}, '{'(?m)^' if at_start else ''}{before}(#{{{least},6}}\\s+)', '\\1' || chr(10) || '\\2', 'g')"
+    return text
+
+
+_FETCHED = _over(SQL["sanitize_double_fence"], f"SELECT doc_id, regexp_replace(md, '\\[]\\(https?://[^)]+\\)\\s*', '', 'g') AS md FROM ({_SANITIZED})")
+_BODIES = f"SELECT doc_id, {_collided('md')} AS md FROM ({_over(_AUTOFIX[1], _over(_AUTOFIX[0], _FETCHED))})"
+_WHOLE = f"""SELECT doc_id, {_collided("rtrim('# ' || doc_id || '.md' || chr(10) || chr(10) || '## Meta' || chr(10) || '- Source: file d/' || doc_id || '.md' || chr(10) || '- Timestamp: 1970-01-01T00:00:00Z' || chr(10) || '- Model: unknown' || chr(10) || chr(10) || '## Outline' || chr(10) || '_No outline entries._' || chr(10) || chr(10) || '## Glossary' || chr(10) || '_No glossary entries._' || chr(10) || chr(10) || trim(md, chr(10)), chr(10) || ' ') || chr(10)")} AS md FROM ({_BODIES})"""
+
+
+@query(f"SELECT doc_id, md AS text, error FROM ({_reported(_over(_AUTOFIX[1], _over(_AUTOFIX[0], _WHOLE)))})")
 def pipeline_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way with a model that changes nothing."""
     docs = corpus(spark, sf_dir).select("doc_id", F.lit("file").alias("source_type"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_value"), F.lit("").alias("title_hint"), "md")
