@@ -10,14 +10,16 @@ MOST_TERMS, MOST_CHARS = 30, 2000
 ENTRY = "struct<term_en:string,term_zh:string,note_zh:string,keep_en_on_first_use:boolean>"
 
 
-def priority(term: Column, folded_chunk: Column, chunk_words: Column) -> Column:
-    """1: a phrase of several words that occurs; 2: a single word that occurs as one; 3: half of a phrase's words occur."""
-    folded = C.glossary_text(term)
-    words = C.glossary_words(folded)
+def priority(folded: Column, words: Column, folded_chunk: Column, chunk_words: Column) -> Column:
+    """Of a folded term and its words.  1: a phrase of several words that occurs; 2: a single word that occurs as one; 3: half of a phrase's words occur.
+
+    ``chunk_words``: the chunk's words in one text, with a space around each.  A pattern
+    is made only for a word that occurs at all.
+    """
     several, occurs = F.size(words) >= 2, F.contains(folded_chunk, folded)
-    as_word = F.when(folded.rlike(r"(?U)[^\w\s]"), occurs).otherwise(F.regexp_like(folded_chunk, F.concat(F.lit(r"(?U)\b"), folded, F.lit(r"\b"))))
-    half = 2 * F.size(F.array_intersect(words, chunk_words)) >= F.size(words)
-    return F.when(folded == "", None).when(several & occurs, 1).when(several & half, 3).when(~several & as_word, 2)
+    as_word = F.when(folded.rlike(r"(?U)[^\w\s]"), True).otherwise(F.regexp_like(folded_chunk, F.concat(F.lit(r"(?U)\b"), folded, F.lit(r"\b"))))
+    half = 2 * F.size(F.filter(words, lambda w: F.contains(chunk_words, F.concat(F.lit(" "), w, F.lit(" "))))) >= F.size(words)
+    return F.when(folded == "", None).when(several & occurs, 1).when(several & half, 3).when(~several & occurs, F.when(as_word, 2))
 
 
 def within_budget(ranked: Column, most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS) -> Column:
@@ -44,10 +46,10 @@ def ranked_terms(chunks: DataFrame, text_col: str = "source_text", glossary_col:
     The glossary is an array beside the chunk, so no row is multiplied.
     """
     once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator isn't inlined, so each text is folded once, not once a term
-    folded = chunks.withColumn("__folded", once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit("")))).withColumn("__words", once(C.glossary_words(F.col("__folded"))))
-    graded = F.transform(
-        glossary_col, lambda g, k: F.struct(priority(g["term_en"], F.col("__folded"), F.col("__words")).alias("priority"), k.alias("ord"), _entry(g).alias("entry"))
-    )
+    folded = chunks.withColumn("__folded", once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit("")))).withColumn("__words", once(F.concat(F.lit(" "), F.array_join(C.glossary_words(F.col("__folded")), " "), F.lit(" "))))
+    terms = F.transform(glossary_col, lambda g, k: F.struct(C.glossary_text(g["term_en"]).alias("folded"), k.alias("ord"), _entry(g).alias("entry")))
+    worded = F.transform(terms, lambda t: F.struct(t["folded"].alias("folded"), C.glossary_words(t["folded"]).alias("words"), t["ord"].alias("ord"), t["entry"].alias("entry")))
+    graded = F.transform(worded, lambda t: F.struct(priority(t["folded"], t["words"], F.col("__folded"), F.col("__words")).alias("priority"), t["ord"].alias("ord"), t["entry"].alias("entry")))
     matters = F.filter(graded, lambda g: g["priority"].isNotNull() & (F.col("__folded") != ""))
     return folded.withColumn("ranked", F.array_sort(matters)).drop("__folded", "__words")
 

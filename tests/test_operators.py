@@ -308,3 +308,15 @@ def test_options_from_the_environment():
     env = {"QUILLSPARK_STRICT": "Off", "QUILLSPARK_MAX_LIST_DEPTH": "-2", "QUILLSPARK_GLOSSARY_TERMS": "x", "QUILLSPARK_GLOSSARY_CHARS": "0"}
     options = Options.from_env(env, model="m")
     assert (options.strict, options.max_depth, options.most_terms, options.most_chars, options.model) == (False, 1, 30, 0, "m")
+
+
+def test_the_archive_holds_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from quillspark.shipping import archive
+
+    path = archive(str(tmp_path / "quillspark.zip"))
+    code = f"import sys; sys.path.insert(0, {path!r}); import quillspark.functions.lint as m; print(m.__file__)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.startswith(path)
