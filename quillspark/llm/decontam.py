@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.codepoints import codes, folded, runs
 from quillspark.llm.common import col, cut, id_type
 
-WALKS, STEPS, SIMILARITY, BLOCK_ANCHORS, BATCH_CHARS, PIECE = 4, 32, 0.8, 200_000, 1 << 22, 1 << 15
+WALKS, STEPS, SIMILARITY, BLOCK_ANCHORS, BATCH_CHARS, PIECE = 4, 32, 0.8, 200_000, 1 << 21, 1 << 15
 #: Classes of items by characters: at least so many, steps of a walk that go into a key, steps that it may take them from.
 CLASSES = ((80, 12, 30), (48, 10, 24), (32, 8, 18), (18, 6, 13), (10, 4, 9))
 TABLES, LEAST, RUN, SPACE, GRAM, GRAM_BITS, BAND, MANY, FAR = 3, CLASSES[-1][0], 8, 32, 4, 12, 32, 176, 16
@@ -61,8 +61,9 @@ def joined(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     """The words as code points, joined by single spaces, and where each of them starts."""
     sizes = ends - starts + 1
     places = np.cumsum(sizes) - sizes
-    out = np.full(max(0, int(sizes.sum()) - 1), SPACE, np.uint32)
-    out[np.arange(out.size - max(0, starts.size - 1)) + np.repeat(np.arange(starts.size), sizes - 1)] = points[points != 0]
+    out, inside = np.full(max(0, int(sizes.sum()) - 1), SPACE, np.uint32), np.ones(max(0, int(sizes.sum()) - 1), bool)
+    inside[places[1:] - 1] = False
+    out[inside] = points[points != 0]
     return out, places
 
 
