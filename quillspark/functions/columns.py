@@ -46,18 +46,30 @@ def fence_opener(line: Column) -> Column:
     return F.regexp_extract(line, FENCE_LINE, 1)
 
 
-def fence_state(rows: Column) -> Column:
-    """A fold over lines: for each, the fence that is open before it, empty if none."""
+def inside_fence(rows: Column) -> Column:
+    """For each line whether a fence is open before it: a fold over the lines that may open or close one.
+
+    A fold copies what it holds at every step, so it holds the places of the changes as
+    one text; the lines between two changes are alike.
+    """
+    marked = F.transform(rows, lambda line, k: F.struct(k.alias("at"), fence_opener(line).alias("token"), line.rlike(r"^[ \t]*(`{3,}|~{3,})[ \t]*$").alias("bare")))
+
+    def step(state: Column, mark: Column) -> Column:
+        fence, token = state["fence"], mark["token"]
+        opens = fence == ""
+        ends = mark["bare"] & (F.substring(token, 1, 1) == F.substring(fence, 1, 1)) & (F.length(token) >= F.length(fence))
+        return F.struct(
+            F.when(opens, token).when(ends, F.lit("")).otherwise(fence).alias("fence"),
+            F.when(opens | ends, F.concat(state["cuts"], F.lit(","), (mark["at"] + 1).cast("string"))).otherwise(state["cuts"]).alias("cuts"), state["n"].alias("n"),
+        )
 
-    def step(state: Column, line: Column) -> Column:
-        fence = state["fence"]
-        shut = F.regexp_extract(line, r"^[ \t]*(`{3,}|~{3,})[ \t]*$", 1)
-        ends = (shut != "") & (F.substring(shut, 1, 1) == F.substring(fence, 1, 1)) & (F.length(shut) >= F.length(fence))
-        after = F.when(fence == "", fence_opener(line)).when(ends, F.lit("")).otherwise(fence)
-        return F.struct(after.alias("fence"), F.concat(state["before"], F.array(fence)).alias("before"))
+    def finish(state: Column) -> Column:
+        cuts = F.transform(F.split(state["cuts"], ","), lambda c: c.cast("int"))
+        lengths = F.zip_with(cuts, F.concat(F.slice(cuts, F.lit(2), F.size(cuts)), F.array(state["n"])), lambda a, b: b - a)
+        return F.flatten(F.transform(lengths, lambda length, k: F.array_repeat(k % 2 == 1, length)))
 
-    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("before"))
-    return F.aggregate(rows, start, step)["before"]
+    start = F.struct(F.lit("").alias("fence"), F.lit("0").alias("cuts"), F.size(rows).alias("n"))
+    return F.aggregate(F.filter(marked, lambda m: m["token"] != ""), start, step, finish)
 
 
 def open_fence(rows: Column) -> Column:

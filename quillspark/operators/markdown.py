@@ -73,15 +73,15 @@ def md_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> Dat
 
 def fence_mask(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_no, in_fence: whether a block is open before the line; one fold over each document's lines."""
-    state = F.posexplode(C.fence_state(C.lines(F.col(md_col)))).alias("at", "fence")
-    return docs.select(F.col(id_col), state).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), (F.col("fence") != "").alias("in_fence"))
+    state = F.posexplode(C.inside_fence(C.lines(F.col(md_col)))).alias("at", "in_fence")
+    return docs.select(F.col(id_col), state).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), "in_fence")
 
 
 def fenced_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_no, line, in_fence: lines and the state before each from one explosion."""
     rows = C.lines(F.col(md_col))
-    both = F.posexplode(F.arrays_zip(rows.alias("line"), C.fence_state(rows).alias("fence"))).alias("at", "x")
-    return docs.select(F.col(id_col), both).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"), (F.col("x.fence") != "").alias("in_fence"))
+    both = F.posexplode(F.arrays_zip(rows.alias("line"), C.inside_fence(rows).alias("in_fence"))).alias("at", "x")
+    return docs.select(F.col(id_col), both).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"), F.col("x.in_fence").alias("in_fence"))
 
 
 def outside_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:

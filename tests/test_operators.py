@@ -320,3 +320,12 @@ def test_the_archive_holds_the_package(tmp_path):
     code = f"import sys; sys.path.insert(0, {path!r}); import quillspark.functions.lint as m; print(m.__file__)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert out.startswith(path)
+
+
+def test_long_documents_fold_in_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "a\n```\nb\n```\n" * 15_000)], "doc_id long, md string")
+    began = time.monotonic()
+    assert M.fenced_lines(docs).where("in_fence").count() == 30_000
+    assert time.monotonic() - began < 30
