@@ -52,12 +52,13 @@ def inside_fence(rows: Column) -> Column:
     A fold copies what it holds at every step, so it holds the places of the changes as
     one text; the lines between two changes are alike.
     """
-    marked = F.transform(rows, lambda line, k: F.struct(k.alias("at"), fence_opener(line).alias("token"), line.rlike(r"^[ \t]*(`{3,}|~{3,})[ \t]*$").alias("bare")))
+    placed = F.transform(rows, lambda line, k: F.struct(k.alias("at"), line.alias("line")))
+    marked = F.filter(placed, lambda m: (F.contains(m["line"], F.lit("```")) | F.contains(m["line"], F.lit("~~~"))) & m["line"].rlike(FENCE_LINE))
 
     def step(state: Column, mark: Column) -> Column:
-        fence, token = state["fence"], mark["token"]
-        opens = fence == ""
-        ends = mark["bare"] & (F.substring(token, 1, 1) == F.substring(fence, 1, 1)) & (F.length(token) >= F.length(fence))
+        fence, token = state["fence"], fence_opener(mark["line"])
+        opens, bare = fence == "", mark["line"].rlike(r"^[ \t]*(`{3,}|~{3,})[ \t]*$")
+        ends = bare & (F.substring(token, 1, 1) == F.substring(fence, 1, 1)) & (F.length(token) >= F.length(fence))
         return F.struct(
             F.when(opens, token).when(ends, F.lit("")).otherwise(fence).alias("fence"),
             F.when(opens | ends, F.concat(state["cuts"], F.lit(","), (mark["at"] + 1).cast("string"))).otherwise(state["cuts"]).alias("cuts"), state["n"].alias("n"),
@@ -69,7 +70,7 @@ def inside_fence(rows: Column) -> Column:
         return F.flatten(F.transform(lengths, lambda length, k: F.array_repeat(k % 2 == 1, length)))
 
     start = F.struct(F.lit("").alias("fence"), F.lit("0").alias("cuts"), F.size(rows).alias("n"))
-    return F.aggregate(F.filter(marked, lambda m: m["token"] != ""), start, step, finish)
+    return F.aggregate(marked, start, step, finish)
 
 
 def open_fence(rows: Column) -> Column:
