@@ -27,8 +27,8 @@ def squeeze(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines of a text, without their ends; no empty line behind the last end."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    bare = F.regexp_replace(text, rf"(?:{LINE_END})\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(bare, LINE_END, -1))
 
 
 def excerpt(line: Column, most: int = 120) -> Column:

@@ -65,6 +65,11 @@ def guarded(md: Column, strict: bool = True, max_depth: int = 1) -> Column:
     return scanner(run, f"struct<value:string,issues:{ISSUES},error:string>")(md)
 
 
+def _rows(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
+    """id and rows, the array of a document's lines; a generator isn't inlined, so each text is cut once."""
+    return docs.select(F.col(id_col), F.explode(F.array(C.lines(F.col(md_col)))).alias("rows"))
+
+
 def md_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_no (from 1), line."""
     rows = docs.select(F.col(id_col), F.posexplode(C.lines(F.col(md_col))).alias("at", "line"))
@@ -73,15 +78,15 @@ def md_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> Dat
 
 def fence_mask(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_no, in_fence: whether a block is open before the line; one fold over each document's lines."""
-    state = F.posexplode(C.inside_fence(C.lines(F.col(md_col)))).alias("at", "in_fence")
-    return docs.select(F.col(id_col), state).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), "in_fence")
+    state = F.posexplode(C.inside_fence(F.col("rows"))).alias("at", "in_fence")
+    return _rows(docs, id_col, md_col).select(F.col(id_col), state).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), "in_fence")
 
 
 def fenced_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, line_no, line, in_fence: lines and the state before each from one explosion."""
-    rows = C.lines(F.col(md_col))
+    rows = F.col("rows")
     both = F.posexplode(F.arrays_zip(rows.alias("line"), C.inside_fence(rows).alias("in_fence"))).alias("at", "x")
-    return docs.select(F.col(id_col), both).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"), F.col("x.in_fence").alias("in_fence"))
+    return _rows(docs, id_col, md_col).select(F.col(id_col), both).select(id_col, (F.col("at") + 1).cast("long").alias("line_no"), F.col("x.line").alias("line"), F.col("x.in_fence").alias("in_fence"))
 
 
 def outside_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
