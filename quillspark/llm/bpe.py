@@ -37,12 +37,12 @@ from unicodedata import ucd_3_2_0
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quillspark.functions.arrow import scanner
 from quillspark.llm.common import col, id_type
 
 VOCABULARY = "byte_bpe_50k.json"
-SPAN, LONG, MARGIN, CACHE, BATCH = 1 << 15, 256, 16, 1 << 20, 1 << 20
+SPAN, LONG, MARGIN, CACHE, ROWS = 1 << 15, 256, 16, 1 << 18, 64
 WINDOW, GROWTH = 32, 4
 #: The pre-tokenizer's own pattern, a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+"
@@ -178,7 +178,7 @@ class Bpe:
     def coded(self, words: list[str], start: int = 0) -> Coded:
         """Words in order, as they are known."""
         found = list(map(self.known.__getitem__, words))
-        at, before = (np.concatenate([[0], np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))]) for x in (words, found))
+        at, before = (_sums(np.fromiter(map(len, x), np.int64, len(x))) for x in (words, found))
         return Coded(at + start, before // 4, np.frombuffer(b"".join(found), np.int32))
 
     def encode(self, texts: list[str]) -> list[Coded]:
@@ -229,6 +229,10 @@ class Bpe:
         return self.all_bytes[first + np.arange(first.size)].tobytes().decode("utf-8", "replace")
 
 
+def _sums(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
@@ -252,17 +256,8 @@ def _column(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in order, some ``BATCH`` code points at a time."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= BATCH:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, rows) for k in range(0, len(batch), rows))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, span: int = SPAN) -> DataFrame:
@@ -277,8 +272,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path or vocabulary_path())
         for batch in batches:
-            coded = [ids for texts in _groups(batch.column(1).to_pylist()) for ids in bpe.tokens(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _column(coded)], ["doc_id", "ids"])
+            for part in _slices(batch, ROWS):
+                yield pa.RecordBatch.from_arrays([part.column(0), _column(bpe.tokens(part.column(1).to_pylist()))], ["doc_id", "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,27 +285,39 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path or vocabulary_path())
         for batch in batches:
-            coded = [bpe.encode([t])[0] for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(_column([c[k].astype(np.int32) for c in coded]) for k in range(3))], ["doc_id", "row", "at", "text", "starts", "before", "ids"])
+            for part in _slices(batch, 1):
+                c = bpe.encode(part.column(3).to_pylist())[0]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(_column([x.astype(np.int32)]) for x in (np.diff(c.at), np.diff(c.before), c.ids))], ["doc_id", "row", "at", "text", "sizes", "counts", "ids"])
 
     def tree(table: pa.Table) -> pa.Table:
         bpe = vocabulary(path or vocabulary_path())
-        parts = table.sort_by("at").to_pydict()
-        coded = [Coded(np.array(s, np.int64) + at, np.array(b, np.int64), np.array(i, np.int32)) for at, s, b, i in zip(parts["at"], parts["starts"], parts["before"], parts["ids"], strict=True)]
-        return pa.table({"doc_id": table.column(0).slice(0, 1), "ids": _column([bpe.concatenated("".join(parts["text"]), coded).ids])})
+        parts = table.sort_by("at")
+        text = "".join(parts.column("text").to_pylist())
+        coded = []
+        for k, at in enumerate(parts.column("at").to_pylist()):
+            sizes, counts, ids = (parts.column(c)[k].values.to_numpy() for c in ("sizes", "counts", "ids"))
+            coded.append(Coded(at + _sums(sizes), _sums(counts), ids))
+        return pa.table({"doc_id": parts.column(0).slice(0, 1), "ids": _column([bpe.concatenated(text, coded).ids])})
 
     short = given.where(F.length("text") <= span).mapInArrow(whole, f"doc_id {kind}, ids {IDS}")
     cut = given.where(F.length("text") > span).select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(pieces, f"doc_id {kind}, row long, at long, text string")
-    leaves = cut.repartition("row", "at").mapInArrow(leaf, f"doc_id {kind}, row long, at long, text string, starts {IDS}, before {IDS}, ids {IDS}")
+    leaves = cut.repartition("row", "at").mapInArrow(leaf, f"doc_id {kind}, row long, at long, text string, sizes {IDS}, counts {IDS}, ids {IDS}")
     return short.unionByName(leaves.groupBy("row").applyInArrow(tree, f"doc_id {kind}, ids {IDS}"))
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """``coded`` (with ids) and a column decoded, special tokens included; an id that the vocabulary lacks is skipped."""
+    """``coded`` (with ids) and a column decoded, special tokens included; an id that the vocabulary lacks is skipped, and null has no text."""
 
-    def text(ids: list[int]) -> str:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path or vocabulary_path())
-        given = np.array(ids, np.int64)
-        return bpe.decode(given[(given >= 0) & (given < len(bpe.bytes_of))])
-
-    return coded.withColumn("decoded", scanner(text, "string")(F.col("ids")))
+        for batch in batches:
+            for part in _slices(batch, ROWS):
+                lists = part.column("ids")
+                values, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+                texts = []
+                for k in range(len(part)):
+                    ids = values[ends[k] : ends[k + 1]]
+                    texts.append(bpe.decode(ids[(ids >= 0) & (ids < len(bpe.bytes_of))]) if lists[k].is_valid else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+
+    return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField("decoded", StringType())]))
