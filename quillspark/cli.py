@@ -16,7 +16,8 @@ from quillspark.operators import chunking, markdown as M
 from quillspark.operators.model import HttpChatClient
 from quillspark.plans import lint_fix
 from quillspark.plans.documents import converter, url_documents
-from quillspark.plans.translate import Options, durable, profile, translate
+from quillspark.operators.lineage import cut
+from quillspark.plans.translate import Options, profile, translate
 from quillspark.sources import files, reader
 
 
@@ -52,7 +53,7 @@ def _model(args: argparse.Namespace) -> tuple[Callable[[], HttpChatClient], Opti
 
 def translate_md(args: argparse.Namespace) -> int:
     client, options = _model(args)
-    row = translate(files.read_texts(session(), [args.input]), client, options, durable)["documents"].first()
+    row = translate(files.read_texts(session(), [args.input]), client, options, os.environ.get("QUILLSPARK_WORK"))["documents"].first()
     if row["error"]:
         raise RuntimeError(row["error"])
     files.atomic_write_text(args.out, row["text"])
@@ -68,8 +69,8 @@ def translate_urls(args: argparse.Namespace) -> int:
         urls = files.batch_paths(files.url_lists(spark, args.url_list))
     found = reader.ReaderOptions(os.environ.get("QUILLSPARK_READER_URL", ""), timeout=int(args.timeout), key=os.environ.get("QUILLSPARK_READER_KEY"))
     convert = None if args.no_snapdown_mermaid else converter(client, args.concurrency)
-    docs = url_documents(urls, found, convert, concurrency=args.concurrency, keep=durable).cache()
-    done = translate(docs.where("error IS NULL").drop("error"), client, options, durable)["documents"]
+    docs = url_documents(urls, found, convert, concurrency=args.concurrency, keep=cut)
+    done = translate(docs.where("error IS NULL").drop("error"), client, options, os.environ.get("QUILLSPARK_WORK"))["documents"]
     rows = docs.select("doc_id", "url", "out_name", F.col("error").alias("fetch_error")).join(done.select("doc_id", "text", "error"), "doc_id", "left")
     folder, failed = (os.path.dirname(os.path.abspath(args.out)) if args.url else args.out_dir), 0
     for row in rows.toLocalIterator():

@@ -35,6 +35,11 @@ def scanner(function: Callable, returns: str) -> Callable[..., Column]:
     return call
 
 
+def once(value: Column) -> Column:
+    """A column that a select computes once a row, whatever later steps filter, explode or take apart: a generator isn't inlined."""
+    return F.explode(F.array(value))
+
+
 def checked(function: Callable, returns: str, *errors: type[Exception]) -> Callable[..., Column]:
     """Like ``scanner``, for functions that may refuse a row: struct<value, error>, one of them null."""
     inner = _parse_datatype_string(returns)

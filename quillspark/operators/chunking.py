@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import chunks as K
-from quillspark.functions.arrow import checked, scanner
+from quillspark.functions.arrow import checked, once, scanner
 
 CHUNKS = "array<struct<chunk_id:string,source_text:string,separators:array<string>>>"
 
@@ -17,7 +17,7 @@ def plan_of(md: Column, most: int = K.DEFAULT_CHARS) -> Column:
 
 def chunk_plan(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", most: int = K.DEFAULT_CHARS) -> DataFrame:
     """doc_id, idx (from 0), chunk_id, source_text, separators; a document without a plan has one row with error."""
-    rows = docs.select(F.col(id_col), plan_of(F.col(md_col), most).alias("p")).where("p.error IS NOT NULL OR size(p.value) > 0")
+    rows = docs.select(F.col(id_col), once(plan_of(F.col(md_col), most)).alias("p")).where("p.error IS NOT NULL OR size(p.value) > 0")
     out = rows.select(id_col, F.col("p.error").alias("error"), F.posexplode_outer("p.value").alias("idx", "c"))
     return out.select(id_col, F.col("idx").cast("long").alias("idx"), "c.chunk_id", "c.source_text", "c.separators", "error")
 
@@ -53,7 +53,7 @@ def parse_chunk_payload(payloads: DataFrame, id_col: str = "doc_id", json_col: s
 def sentence_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = K.DEFAULT_CHARS) -> DataFrame:
     """doc_id, idx (from 0), piece: each text, taken as one paragraph, in parts of at most ``most`` characters."""
     parts = scanner(lambda t: [p for p, _ in K.pieces(t, "", most)], "array<string>")(F.col(text_col))
-    return docs.select(F.col(id_col), F.posexplode(parts).alias("idx", "piece")).select(id_col, F.col("idx").cast("long").alias("idx"), "piece")
+    return docs.select(F.col(id_col), once(parts).alias("parts")).select(id_col, F.posexplode("parts").alias("idx", "piece")).select(id_col, F.col("idx").cast("long").alias("idx"), "piece")
 
 
 def heading_sections(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:

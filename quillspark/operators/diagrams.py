@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions import columns as C, diagrams as D
-from quillspark.functions.arrow import scanner
+from quillspark.functions.arrow import once, scanner
 
 EVENTS = "array<struct<pos:bigint,kind:string,text:string>>"
 DIAGRAM = "struct<language:string,content:string,heading:string>"
@@ -15,7 +15,7 @@ DIAGRAM = "struct<language:string,content:string,heading:string>"
 
 def page_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, pos, kind (heading or diagram), text; entities need Python's full table."""
-    return pages.select(F.col(id_col), F.explode(scanner(D.page_events, EVENTS)(F.col(html_col))).alias("e")).select(id_col, "e.pos", "e.kind", "e.text")
+    return pages.select(F.col(id_col), once(scanner(D.page_events, EVENTS)(F.col(html_col))).alias("events")).select(id_col, F.explode("events").alias("e")).select(id_col, "e.pos", "e.kind", "e.text")
 
 
 def nearest_heading(events: DataFrame, id_col: str = "page_id") -> DataFrame:

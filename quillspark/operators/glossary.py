@@ -5,21 +5,109 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import columns as C
+from quillspark.operators.lineage import cut
 
 MOST_TERMS, MOST_CHARS = 30, 2000
+ENTRY_FIELDS = ("term_en", "term_zh", "note_zh", "keep_en_on_first_use")
 ENTRY = "struct<term_en:string,term_zh:string,note_zh:string,keep_en_on_first_use:boolean>"
 
 
-def priority(folded: Column, words: Column, folded_chunk: Column, chunk_words: Column) -> Column:
-    """Of a folded term and its words.  1: a phrase of several words that occurs; 2: a single word that occurs as one; 3: half of a phrase's words occur.
+#: What an index of a glossary may hold to be sent to every task; larger ones are met by a shuffle of tokens.
+MOST_SENT = 200_000
+#: A token of more than so many chunks is dealt over this many parts where tokens are shuffled.
+HOT_CHUNKS, PARTS = 100_000, 64
+_PART = "[a-z0-9]"
 
-    ``chunk_words``: the chunk's words in one text, with a space around each.  A pattern
-    is made only for a word that occurs at all.
+
+def _bounded(text: Column) -> Column:
+    """A text with a mark at every border of a word, so that a term stands as words where its own marked form stands."""
+    return F.regexp_replace(text, r"(?U)\b", "\u0001")
+
+
+def _seam(text: Column, before: int, behind: int) -> Column:
+    """What stands between two neighbouring tokens, with so many characters of either."""
+    return F.regexp_extract_all(text, F.lit(f"(?=({_PART}{{{before}}}[^a-z0-9]+{_PART}{{{behind}}}))"), F.lit(1))
+
+
+def _signs(text: Column) -> Column:
+    """Characters of no token."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[^a-z0-9 ]"), F.lit(0)))
+
+
+def _filed(tokens: Column, before: Column, behind: Column) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), before.alias("before"), behind.alias("behind")))
+
+
+def term_index(terms: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``by``, ord, folded, marked, words, several, token, before, behind: each term under tokens of which every chunk that it matters to has one.
+
+    ``terms``: ``by``, ord, term_en.  A phrase of k words matters where half of them occur, so of its words
+    the k // 2 + 1 rarest among the terms suffice.  A term also matters where it occurs within longer words.  Then its
+    inner tokens occur whole, so the rarest of these is added; a phrase of two tokens is filed under the seam between
+    them, up to three characters of either, and what has neither under a character of no token.
     """
-    several, occurs = F.size(words) >= 2, F.contains(folded_chunk, folded)
-    as_word = F.when(folded.rlike(r"(?U)[^\w\s]"), True).otherwise(F.regexp_like(folded_chunk, F.concat(F.lit(r"(?U)\b"), folded, F.lit(r"\b"))))
-    half = 2 * F.size(F.filter(words, lambda w: F.contains(chunk_words, F.concat(F.lit(" "), w, F.lit(" "))))) >= F.size(words)
-    return F.when(folded == "", None).when(several & occurs, 1).when(several & half, 3).when(~several & occurs, F.when(as_word, 2))
+    folded = terms.select(*by, "ord", C.glossary_text(F.col("term_en")).alias("folded")).where("folded <> ''")
+    every = F.regexp_extract_all("folded", F.lit(f"{_PART}+"), F.lit(0))
+    facts = folded.withColumns({"every": every, "words": F.array_distinct(every), "odd": F.col("folded").rlike(r"(?U)[^\w\s]")})
+    facts = facts.withColumn("several", F.size("words") >= 2).withColumn("within", F.col("several") | F.col("odd"))  # within: wherever it occurs, else as words alone
+    first = F.when(F.col("within") & F.col("folded").rlike(f"^{_PART}"), 2).otherwise(1)
+    last = F.size("every") - F.when(F.col("within") & F.col("folded").rlike(f"{_PART}$"), 1).otherwise(0)
+    facts = facts.withColumn("inner", F.array_distinct(F.when(last >= first, F.slice("every", first, last - first + 1)).otherwise(F.array().cast("array<string>"))))
+    held = facts.select(*by, "ord", F.explode("words").alias("word"))
+    ranked = held.join(held.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")), [*by, "word"]).groupBy(*by, "ord").agg(F.sort_array(F.collect_list(F.struct("n", (-F.length("word")).alias("short"), "word"))).alias("ranked"))
+    met = facts.join(ranked, [*by, "ord"], "left").withColumn("ranked", F.coalesce(F.transform("ranked", lambda r: r["word"]), F.array().cast("array<string>")))
+    lead, tail = (F.least(F.lit(3), F.length(F.try_element_at("every", F.lit(k)))) for k in (1, 2))
+    none = F.array().cast("array<string>")
+    halves = F.when(F.col("several"), F.slice("ranked", F.lit(1), F.floor(F.size("words") / 2).cast("int") + 1)).otherwise(none)
+    inside = F.slice(F.filter("ranked", lambda w: F.array_contains(F.col("inner"), w)), 1, 1)
+    seam = F.regexp_extract("folded", f"({_PART}{{1,3}}[^a-z0-9]+{_PART}{{1,3}})", 1)
+    rest = F.when(F.size("inner") > 0, inside).when(F.size("every") >= 2, F.array(seam)).otherwise(F.slice(_signs(F.col("folded")), 1, 1))
+    filed = met.withColumns({"is_seam": (F.size("inner") == 0) & (F.size("every") >= 2), "before": lead, "behind": tail}).withColumn(
+        "tokens", F.array_distinct(F.concat(_filed(halves, F.lit(0), F.lit(0)), _filed(rest, *(F.when(F.col("is_seam"), F.col(c)).otherwise(0) for c in ("before", "behind")))))
+    )
+    return filed.select(*by, "ord", "folded", _bounded(F.col("folded")).alias("marked"), "words", "several", "within", F.explode("tokens").alias("t")).select(
+        *by, "ord", "folded", "marked", "words", "several", "within", "t.token", "t.before", "t.behind"
+    )
+
+
+def _priority(folded: str, marked: str, words: str) -> Column:
+    """Of a term and a chunk.  1: a phrase of several words that occurs; 2: another that occurs as words; 3: half of a phrase's words occur."""
+    half = 2 * F.size(F.array_intersect("words", words)) >= F.size("words")
+    occurs = F.contains(folded, "folded")
+    return F.when(F.col("several"), F.when(occurs, 1).when(half, 3)).when(F.col("within"), F.when(occurs, 2)).when(F.contains(marked, "marked"), 2)
+
+
+def matched_terms(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by: tuple[str, ...] = ("doc_id",), text_col: str = "source_text", most_sent: int = MOST_SENT) -> DataFrame:
+    """``key``, ord, priority for the terms that matter to a chunk, each once.
+
+    ``chunks``: ``key``, ``by`` and a text.  ``terms``: ``by``, ord, term_en.  Distinct tokens of chunks meet the tokens
+    under which terms are filed by an equality join, and what they meet is verified.  An
+    index of at most ``most_sent`` rows, which are counted, is broadcast; beyond that tokens are shuffled with their chunk's key alone,
+    those of very many chunks dealt over parts, and texts meet the candidates again by key.
+    """
+    index = cut(term_index(terms, by))
+    seams = [tuple(r) for r in index.where("before > 0").select("before", "behind").distinct().collect()]  # nine at most
+    once = lambda c: F.explode(F.array(c))
+    kept = list(dict.fromkeys([*key, *by]))
+    folded = chunks.select(*kept, once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit(""))).alias("__folded"))
+    worded = folded.select(*kept, "__folded", F.array_distinct(F.regexp_extract_all("__folded", F.lit(f"{_PART}+"), F.lit(0))).alias("__words"))
+    marked = worded.select("*", once(_bounded(F.col("__folded"))).alias("__marked"))
+    plain = F.concat(F.col("__words"), _signs(F.col("__folded")))
+    tokens = F.concat(*(_filed(F.array_distinct(found), F.lit(a), F.lit(b)) for a, b, found in [(0, 0, plain), *((a, b, _seam(F.col("__folded"), a, b)) for a, b in seams)]))
+    on = [*by, "token", "before", "behind"]
+    if index.limit(most_sent + 1).count() <= most_sent:
+        met = marked.select("*", F.explode(tokens).alias("__t")).select("*", "__t.token", "__t.before", "__t.behind").join(F.broadcast(index), on)
+        found = met.select(*key, "ord", _priority("__folded", "__marked", "__words").alias("priority")).where("priority IS NOT NULL")
+        return found.groupBy(*key, "ord").agg(F.min("priority").alias("priority"))
+    asked = cut(worded.select(*kept, F.explode(tokens).alias("__t")).select(*kept, "__t.token", "__t.before", "__t.behind").join(index.select(*on).distinct(), on, "left_semi"))
+    hot = asked.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CHUNKS).select(*on, F.lit(PARTS).alias("parts"))  # one in HOT_CHUNKS rows at most
+    of = lambda df, part: df.join(hot, on, "left").withColumn("part", part)
+    dealt = of(asked, F.pmod(F.xxhash64(*key), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copied = of(index.select(*on, "ord"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = dealt.join(copied, [*on, "part"]).select(*kept, "ord").distinct()
+    facts = index.select(*by, "ord", "folded", "marked", "words", "several", "within").dropDuplicates([*by, "ord"])
+    texts = marked.join(pairs, kept).join(facts, [*by, "ord"])
+    return texts.select(*key, "ord", _priority("__folded", "__marked", "__words").alias("priority")).where("priority IS NOT NULL")
 
 
 def within_budget(ranked: Column, most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS) -> Column:
@@ -36,29 +124,31 @@ def within_budget(ranked: Column, most_terms: int = MOST_TERMS, most_chars: int
     return F.aggregate(ranked, start, step)["kept"]
 
 
-def _entry(g: Column) -> Column:
-    return F.struct(*(g[c].alias(c) for c in ("term_en", "term_zh", "note_zh", "keep_en_on_first_use")))
+def ranked_terms(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by: tuple[str, ...] = ("doc_id",), text_col: str = "source_text", **how) -> DataFrame:
+    """``key`` and ranked, array<struct<priority, ord, entry>> of the terms that matter, best first; no row for chunks without any.
 
+    ``terms``: ``by``, ord and the fields of an entry.
+    """
+    matched = matched_terms(chunks, terms, key, by, text_col, **how)
+    given = chunks.select(*dict.fromkeys([*key, *by])).join(matched, list(key)) if set(by) - set(key) else matched
+    entry = F.struct(*(F.col(c) for c in ENTRY_FIELDS)).alias("entry")
+    met = given.join(terms.select(*by, "ord", entry), [*by, "ord"])
+    return met.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("priority", "ord", "entry"))).alias("ranked"))
 
-def ranked_terms(chunks: DataFrame, text_col: str = "source_text", glossary_col: str = "glossary") -> DataFrame:
-    """``chunks`` with a column ranked: array<struct<priority, ord, entry>> of the terms that matter, best first.
 
-    The glossary is an array beside the chunk, so no row is multiplied.
-    """
-    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator isn't inlined, so each text is folded once, not once a term
-    folded = chunks.withColumn("__folded", once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit("")))).withColumn("__words", once(F.concat(F.lit(" "), F.array_join(C.glossary_words(F.col("__folded")), " "), F.lit(" "))))
-    terms = F.transform(glossary_col, lambda g, k: F.struct(C.glossary_text(g["term_en"]).alias("folded"), k.alias("ord"), _entry(g).alias("entry")))
-    worded = F.transform(terms, lambda t: F.struct(t["folded"].alias("folded"), C.glossary_words(t["folded"]).alias("words"), t["ord"].alias("ord"), t["entry"].alias("entry")))
-    graded = F.transform(worded, lambda t: F.struct(priority(t["folded"], t["words"], F.col("__folded"), F.col("__words")).alias("priority"), t["ord"].alias("ord"), t["entry"].alias("entry")))
-    matters = F.filter(graded, lambda g: g["priority"].isNotNull() & (F.col("__folded") != ""))
-    return folded.withColumn("ranked", F.array_sort(matters)).drop("__folded", "__words")
-
-
-def filter_glossary(chunks: DataFrame, text_col: str = "source_text", glossary_col: str = "glossary", most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS) -> DataFrame:
-    """``chunks`` with a column terms: the entries of the glossary that fit the chunk and the budget."""
-    ranked = ranked_terms(chunks, text_col, glossary_col)
+def filter_glossary(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by: tuple[str, ...] = ("doc_id",), text_col: str = "source_text", most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS, **how) -> DataFrame:
+    """``chunks`` with a column terms: the entries of the glossary that fit the chunk and the budget, an array without any where none does."""
     empty = F.array().cast(f"array<{ENTRY}>")
-    return ranked.withColumn("terms", within_budget(F.col("ranked"), most_terms, most_chars) if most_terms > 0 and most_chars > 0 else empty).drop("ranked")
+    if most_terms <= 0 or most_chars <= 0:
+        return chunks.withColumn("terms", empty)
+    kept = ranked_terms(chunks, terms, key, by, text_col, **how).select(*key, within_budget(F.col("ranked"), most_terms, most_chars).alias("terms"))
+    return chunks.join(kept, list(key), "left").withColumn("terms", F.coalesce("terms", empty))
+
+
+def as_terms(docs: DataFrame, by: str = "doc_id", glossary_col: str = "glossary") -> DataFrame:
+    """``by``, ord (from 0) and the fields of each entry of a column of glossaries."""
+    rows = docs.select(by, F.posexplode(glossary_col).alias("ord", "g"))
+    return rows.select(by, "ord", *(F.col(f"g.{c}").alias(c) for c in ENTRY_FIELDS))
 
 
 def lost_forms(text: Column, glossary: Column) -> Column:

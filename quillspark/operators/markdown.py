@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import columns as C
-from quillspark.functions.arrow import scanner
+from quillspark.functions.arrow import once, scanner
 from quillspark.functions.autofix import autofix, guard, indent_list_blocks
 from quillspark.functions.lint import BROKEN_LINK, CLEAN_REPORT, lint
 from quillspark.functions.sanitize import RESIDUE, clean_fetched, clean_links, collapse_blanks, drop_residue, sanitize, split_requires
@@ -66,8 +66,8 @@ def guarded(md: Column, strict: bool = True, max_depth: int = 1) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, md_col: str) -> DataFrame:
-    """id and rows, the array of a document's lines; a generator isn't inlined, so each text is cut once."""
-    return docs.select(F.col(id_col), F.explode(F.array(C.lines(F.col(md_col)))).alias("rows"))
+    """id and rows, the array of a document's lines."""
+    return docs.select(F.col(id_col), once(C.lines(F.col(md_col))).alias("rows"))
 
 
 def md_lines(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
@@ -108,12 +108,12 @@ def unclosed_fences(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
 
 def lint_issues(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", strict: bool = True, max_depth: int = 1) -> DataFrame:
     """doc_id, ord (from 1), rule_id, line, message, excerpt."""
-    rows = docs.select(F.col(id_col), issues_of(F.col(md_col), strict, max_depth).alias("issues")).select(id_col, F.posexplode("issues").alias("at", "i"))
+    rows = docs.select(F.col(id_col), once(issues_of(F.col(md_col), strict, max_depth)).alias("issues")).select(id_col, F.posexplode("issues").alias("at", "i"))
     return rows.select(id_col, (F.col("at") + 1).cast("long").alias("ord"), "i.rule_id", "i.line", "i.message", "i.excerpt")
 
 
 def lint_report(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", strict: bool = True, max_depth: int = 1) -> DataFrame:
     """doc_id, n_issues, report: a line for each issue."""
-    issues = docs.select(F.col(id_col), issues_of(F.col(md_col), strict, max_depth).alias("issues"))
+    issues = docs.select(F.col(id_col), once(issues_of(F.col(md_col), strict, max_depth)).alias("issues"))
     shown = F.transform("issues", lambda i: F.concat(i["rule_id"], F.lit(" line "), i["line"].cast("string"), F.lit(": "), i["message"], F.lit(" | "), i["excerpt"]))
     return issues.select(id_col, F.size("issues").cast("long").alias("n_issues"), F.when(F.size("issues") == 0, CLEAN_REPORT).otherwise(F.array_join(shown, "\n")).alias("report"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import spans as S
-from quillspark.functions.arrow import checked, scanner
+from quillspark.functions.arrow import checked, once, scanner
 
 MAP = "array<struct<ord:int,placeholder:string,original:string>>"
 
@@ -51,18 +51,18 @@ def math_delimiters(md: Column) -> Column:
 
 def protected_spans(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md") -> DataFrame:
     """doc_id, start, end, kind of every span of the raw text."""
-    return docs.select(F.col(id_col), F.explode(spans_of(F.col(md_col))).alias("s")).select(id_col, "s.start", "s.end", "s.kind")
+    return docs.select(F.col(id_col), once(spans_of(F.col(md_col))).alias("spans")).select(id_col, F.explode("spans").alias("s")).select(id_col, "s.start", "s.end", "s.kind")
 
 
 def protect(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", skip_inline_code: bool = False) -> DataFrame:
     """doc_id, protected_text, map, error."""
-    rows = docs.select(F.col(id_col), protected(F.col(md_col), skip_inline_code).alias("p"))
+    rows = docs.select(F.col(id_col), once(protected(F.col(md_col), skip_inline_code)).alias("p"))
     return rows.select(id_col, F.col("p.value.text").alias("protected_text"), F.col("p.value.map").alias("map"), F.col("p.error").alias("error"))
 
 
 def restore(protected_docs: DataFrame, id_col: str = "doc_id", strict: bool = True) -> DataFrame:
     """doc_id, text, error from doc_id, protected_text, map."""
-    rows = protected_docs.select(F.col(id_col), restored(F.col("protected_text"), F.col("map"), strict).alias("r"))
+    rows = protected_docs.select(F.col(id_col), once(restored(F.col("protected_text"), F.col("map"), strict)).alias("r"))
     return rows.select(id_col, F.col("r.value").alias("text"), F.col("r.error").alias("error"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import profiles as R
-from quillspark.functions.arrow import checked
+from quillspark.functions.arrow import checked, once
 
 OUTLINE = "array<struct<level:int,heading:string,summary_bullets:array<string>,key_takeaways:array<string>>>"
 GLOSSARY = "array<struct<term_en:string,term_zh:string,note_zh:string,keep_en_on_first_use:boolean>>"
@@ -26,7 +26,7 @@ def parsed(response: Column, source_type: Column, source_value: Column, title_hi
 
 def profiles(responses: DataFrame) -> DataFrame:
     """doc_id, profile, error from doc_id, response, source_type, source_value, title_hint."""
-    rows = responses.select("doc_id", parsed(F.col("response"), F.col("source_type"), F.col("source_value"), F.col("title_hint")).alias("p"))
+    rows = responses.select("doc_id", once(parsed(F.col("response"), F.col("source_type"), F.col("source_value"), F.col("title_hint"))).alias("p"))
     return rows.select("doc_id", F.col("p.value").alias("profile"), F.col("p.error").alias("error"))
 
 

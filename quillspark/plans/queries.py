@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_corpus
 from quillspark.functions import columns as C
+from quillspark.functions.arrow import once
 from quillspark.functions.headings import GLUED_TO
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, messages, preserve
 from quillspark.operators.model import FakeClient, best_of_attempts
@@ -316,7 +317,7 @@ def _reported(source: str) -> str:
 @query(_reported(_over(_AUTOFIX[1], _over(_AUTOFIX[0], _SANITIZED))))
 def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sanitized documents through the guard: text, number of issues left, error."""
-    done = corpus(spark, sf_dir).withColumn("g", M.guarded(M.sanitized(F.col("md"))))
+    done = corpus(spark, sf_dir).select("doc_id", once(M.guarded(M.sanitized(F.col("md")))).alias("g"))
     return done.select("doc_id", F.col("g.value").alias("md"), F.size("g.issues").cast("long").alias("n_issues"), F.col("g.error").alias("error"))
 
 
@@ -426,7 +427,7 @@ _TARGETS = f"""{_FENCES}, placed AS (SELECT *, sum(length(line) + 1) OVER (PARTI
 
 @query(f"{_TARGETS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY defined, a) AS ord, substr(md, a + 1, b - a) AS url FROM target JOIN md_corpus USING (doc_id)")
 def url_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir).select("doc_id", F.posexplode(preserve.url_targets(F.col("md"))).alias("ord", "url"))
+    rows = corpus(spark, sf_dir).select("doc_id", once(preserve.url_targets(F.col("md"))).alias("urls")).select("doc_id", F.posexplode("urls").alias("ord", "url"))
     return rows.select("doc_id", (F.col("ord") + 1).cast("long").alias("ord"), "url")
 
 
@@ -538,23 +539,30 @@ graded AS (SELECT doc_id, item_id, term_en, term_zh, note_zh, text,
   FROM chunk_words JOIN worded USING (g))"""
 
 
-def _with_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with the array of their glossary, met by an equality join."""
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " ", -1)
     term = F.array_join(F.slice(words, F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " ")
-    rows = table(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") % 8).alias("g"), "item_id", term.alias("term_en"), F.concat(F.lit("zh"), F.col("item_id").cast("string")).alias("term_zh"),
+    return table(spark, sf_dir, "benchmark").select(
+        (F.col("item_id") % 8).alias("g"), F.col("item_id").alias("ord"), term.alias("term_en"), F.concat(F.lit("zh"), F.col("item_id").cast("string")).alias("term_zh"),
         F.repeat(F.lit("n"), (F.col("item_id") % 5 * 40).cast("int")).alias("note_zh"), F.lit(True).alias("keep_en_on_first_use"),
     )
-    arrays = rows.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("item_id", "term_en", "term_zh", "note_zh", "keep_en_on_first_use"))).alias("glossary"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("g"), F.col("text").alias("source_text"))
-    return docs.join(arrays, "g")
+
+
+def _glossary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 8).alias("g"), F.col("text").alias("source_text"))
+
+
+def _with_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the array of their glossary, met by an equality join."""
+    arrays = _terms(spark, sf_dir).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("ord", *G.ENTRY_FIELDS))).alias("glossary"))
+    return _glossary_docs(spark, sf_dir).join(arrays, "g")
 
 
 @query(f"WITH {_GLOSSARY} SELECT doc_id, term_zh, priority FROM graded WHERE priority IS NOT NULL")
 def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.ranked_terms(_with_glossary(spark, sf_dir)).select("doc_id", F.explode("ranked").alias("r"))
-    return rows.select("doc_id", F.col("r.entry.term_zh").alias("term_zh"), "r.priority")
+    terms = _terms(spark, sf_dir)
+    found = G.matched_terms(_glossary_docs(spark, sf_dir), terms, ("doc_id",), ("g",))
+    return found.withColumn("g", F.col("doc_id") % 8).join(terms, ["g", "ord"]).select("doc_id", "term_zh", "priority")
 
 
 @query(
@@ -564,8 +572,9 @@ def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def glossary_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three terms and 120 characters a document, so that the budget binds."""
-    rows = G.filter_glossary(_with_glossary(spark, sf_dir), most_terms=3, most_chars=120).where(F.size("terms") > 0)
-    return rows.select("doc_id", F.array_join(F.transform("terms", lambda t: t["term_zh"]), ",").alias("terms"))
+    ranked = G.ranked_terms(_glossary_docs(spark, sf_dir), _terms(spark, sf_dir), ("doc_id",), ("g",))
+    kept = ranked.select("doc_id", G.within_budget(F.col("ranked"), 3, 120).alias("terms")).where(F.size("terms") > 0)
+    return kept.select("doc_id", F.array_join(F.transform("terms", lambda t: t["term_zh"]), ",").alias("terms"))
 
 
 @query(f"WITH {_GLOSSARY} SELECT doc_id, 'glossary term ''' || term_en || ''' missing Chinese form ''' || term_zh || '''' AS warning FROM graded WHERE contains(text, term_en) AND NOT contains(text, term_zh)")
@@ -781,8 +790,7 @@ def qa_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the corpus with a fence, a dollar or an address altered."""
     docs = corpus(spark, sf_dir)
     changed = F.replace(F.replace(F.regexp_replace("md", "```python", "``python"), F.lit("$a_1"), F.lit("a_1")), F.lit("example.com/a"), F.lit("example.com/b"))
-    rows = docs.select("doc_id", F.explode(preserve.structure_warnings(F.col("md"), changed)).alias("warning"))
-    return rows
+    return docs.select("doc_id", once(preserve.structure_warnings(F.col("md"), changed)).alias("warnings")).select("doc_id", F.explode("warnings").alias("warning"))
 
 
 _PROFILE = """'{"doc": {"title": "T' || doc_id || '", "source": {"type": "file", "value": "v"}, "language": {"source": "en", "target": "zh"}}, "outline": [{"level": ' || CASE doc_id % 5 WHEN 1 THEN '0' WHEN 2 THEN 'true' ELSE '1' END || ', "heading": "H", "summary_bullets": null, "key_takeaways": "k"}], "glossary": [], "style_guide": {"tone": "' || CASE doc_id % 5 WHEN 3 THEN 'dry' ELSE 'technical-but-friendly' END || '", "annotation_density": "medium", "rules": []}}'"""

@@ -1,6 +1,8 @@
 """DataFrame operators, sources, the translation plan and the command line."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from quillspark import cli
 from quillspark.functions import columns as C, diagrams as D, profiles as R
 from quillspark.functions.register import register
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, model, preserve
+from quillspark.operators.answers import answered
 from quillspark.operators.lineage import numbered
 from quillspark.plans import lint_fix
 from quillspark.plans.documents import converter, url_documents
@@ -100,17 +103,60 @@ def glossary_rows(spark, text):
     return spark.createDataFrame([(1, text, GLOSSARY)], schema)
 
 
-def test_glossary_priorities_and_budget(spark):
+@pytest.mark.parametrize("most_sent", [100_000, 0])
+def test_glossary_priorities_and_budget(spark, most_sent):
     rows = glossary_rows(spark, "A neural-network start. The LOSS of a deep model in c++.")
-    ranked = G.ranked_terms(rows).first()["ranked"]
+    terms = G.as_terms(rows)
+    ranked = G.ranked_terms(rows, terms, ("doc_id",), most_sent=most_sent).first()["ranked"]
     assert [(r["priority"], r["entry"]["term_en"]) for r in ranked] == [(1, "Neural Network"), (2, "loss"), (2, "C++"), (3, "deep learning model")]
-    kept = lambda **kw: [t["term_en"] for t in G.filter_glossary(rows, **kw).first()["terms"]]
+    kept = lambda **kw: [t["term_en"] for t in G.filter_glossary(rows, terms, ("doc_id",), most_sent=most_sent, **kw).first()["terms"]]
     assert kept(most_terms=2) == ["Neural Network", "loss"] and kept(most_chars=10) == ["loss"] and kept(most_terms=0) == []
     assert kept(most_chars=27) == ["Neural Network", "loss"]
     warned = rows.select(G.lost_forms(F.lit("the loss of art 艺术"), F.col("glossary")).alias("w")).first()["w"]
     assert warned == ["glossary term 'loss' missing Chinese form '损失'"]
 
 
+def plain_priority(term, text):
+    """The rule itself, for one pair."""
+    fold = lambda t: " ".join(t.lower().replace("ß", "ss").replace("-", " ").split())
+    f, c = fold(term), fold(text)
+    words, there = set(re.findall("[a-z0-9]+", f)), set(re.findall("[a-z0-9]+", c))
+    if not f or not c:
+        return None
+    if len(words) >= 2:
+        return 1 if f in c else 3 if 2 * len(words & there) >= len(words) else None
+    if re.search(r"[^\w\s]", f):
+        return 2 if f in c else None
+    return 2 if re.search(rf"\b{re.escape(f)}\b", c) else None
+
+
+@pytest.mark.parametrize("most_sent", [100_000, 0])
+def test_glossary_join_equals_the_rule_for_every_pair(spark, monkeypatch, most_sent):
+    monkeypatch.setattr(G, "HOT_CHUNKS", 20)
+    rng = random.Random(8)
+    parts = ["art", "b", "smart", "bus", "the", "c++", ".net", "node.js", "中文", "é", "caf", "café", "x_y", "(", ")", "a", "of", "of", "deep", "ß", "-", "1", "22", "++", "foo", "_", "'", "/"]
+    made = lambda most: "".join(rng.choice(parts) + rng.choice(["", " ", " ", "  ", "\n"]) for _ in range(rng.randrange(most)))
+    terms = [(g, k, made(5)) for g in (0, 1) for k in range(150)]
+    texts = [(k, k % 2, made(25)) for k in range(150)] + [(500, 0, ""), (501, 1, None), (502, 7, "art")]
+    got = G.matched_terms(spark.createDataFrame(texts, "id long, g int, source_text string"), spark.createDataFrame(terms, "g int, ord int, term_en string"), ("id",), ("g",), most_sent=most_sent)
+    want = {(i, o, p) for i, g, t in texts for h, o, e in terms if g == h and (p := plain_priority(e, t or ""))}
+    assert len(want) > 1000 and {p for *_, p in want} == {1, 2, 3}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_glossary_of_a_hundred_thousand_terms(spark):
+    words = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in "bcdfglmnprst"]
+    rng = random.Random(3)
+    terms = [(0, k, f"{rng.choice(words)} {rng.choice(words)} {rng.choice(words)} {k}") for k in range(100_000)]
+    texts = [(k, 0, " ".join(rng.choice(words) for _ in range(40)) + " " + terms[k][2]) for k in range(20)]
+    chunks, glossary = spark.createDataFrame(texts, "id long, g int, source_text string"), spark.createDataFrame(terms, "g int, ord int, term_en string")
+    ways = [{tuple(r) for r in G.matched_terms(chunks, glossary, ("id",), ("g",), most_sent=most).collect()} for most in (10**6, 0)]
+    assert ways[0] == ways[1] and {(k, k, 1) for k in range(20)} <= ways[0]
+    sample = rng.sample(range(100_000), 2000)
+    assert {(i, o, p) for i, _, t in texts for o in sample if (p := plain_priority(terms[o][2], t))} == {x for x in ways[0] if x[1] in set(sample)}
+
+
 PAGE = '<h1>One &amp; two</h1><script type="application/snapdown">a -&gt; b</script><h2> </h2><script type="application/snapdown+json">x</script><h2>Three</h2><script TYPE=\'application/snapdown\'>c</script><script type="application/snapdown"> </script>'
 
 
@@ -234,6 +280,56 @@ def test_one_failed_chunk_fails_its_document_only(spark):
         translate(documents(spark, []), Failing, Options(glossary_mode="x"))
 
 
+def counted(notes, deadly=None):
+    """Makes clients that note each call in a file, and whose process dies at the first chunk that holds ``deadly``."""
+
+    class Counted(EchoClient):
+        def complete(self, messages, json_mode=False):
+            content = messages[-1]["content"]
+            if deadly and not json_mode and deadly in content:
+                import os
+
+                os._exit(1)  # the worker is gone, and with it the task and the job
+            with open(notes, "a") as f:
+                f.write(json.dumps([json_mode, content[-60:]]) + "\n")
+            return super().complete(messages, json_mode)
+
+    return Counted
+
+
+def test_a_killed_translation_takes_up_where_it_stopped(spark, tmp_path):
+    notes, folder = str(tmp_path / "calls"), str(tmp_path / "work")
+    docs = documents(spark, [(k, f"# Doc {k}\n\ntext {k}\n\n# More\n\nend {k}\n") for k in range(6)])
+    options = Options(concurrency=2, waves=6)
+    with pytest.raises(Exception, match="crashed|exited|EOF"):
+        translate(docs, counted(notes, "text 3"), options, folder)
+    before = [json.loads(x) for x in open(notes)]
+    assert sum(j for j, _ in before) == 6 and 0 < sum(not j for j, _ in before) < 12  # all profiles, some chunks
+    out = translate(docs, counted(notes), options, folder)
+    calls = [json.loads(x) for x in open(notes)]
+    assert {r["error"] for r in out["documents"].collect()} == {None} and sum(j for j, _ in calls) == 6
+    kept_waves = {c for _, c in before} & {c for _, c in map(tuple, calls[len(before) :])}
+    assert len(kept_waves) <= 2 + 12 // 6  # at most what the one wave that was lost had asked
+    whole = sorted(map(tuple, out["documents"].select("doc_id", "text").collect()))
+    again = translate(docs, counted(notes), options, folder)
+    assert [json.loads(x) for x in open(notes)] == calls and sorted(map(tuple, again["documents"].select("doc_id", "text").collect())) == whole
+    other = translate(docs.where("doc_id < 5").unionByName(documents(spark, [(9, "# Doc 1\n\ntext 1\n\n# More\n\nend 1\n")])), counted(notes), options, folder)
+    assert other["documents"].count() == 6 and len([json.loads(x) for x in open(notes)]) == len(calls) + 1  # one new profile: its source differs; its chunks are known
+
+
+def test_failures_are_asked_again_and_answers_are_not(spark, tmp_path):
+    class Half:
+        def complete(self, messages, json_mode=False):
+            if messages[0]["content"] == "no":
+                raise ValueError("down")
+            return "yes"
+
+    rows = spark.createDataFrame([(1, "a"), (2, "no"), (3, "a")], "k int, t string").select("k", F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content"))).alias("messages"))
+    ask = lambda client: {r["k"]: (r["response"], r["error"], r["calls"]) for r in answered(rows, client, ("k",), str(tmp_path / "a"), "m", retry=model.Retry(1)).collect()}
+    assert ask(Half) == {1: ("yes", None, 1), 2: (None, "ValueError: down", 0), 3: ("yes", None, 1)}
+    assert ask(lambda: model.FakeClient(lambda t, k: "new")) == {1: ("yes", None, 0), 2: ("new", None, 1), 3: ("yes", None, 0)}
+
+
 def test_merging_uses_the_last_separator(spark):
     chunks = spark.createDataFrame([(1, 0, ["\n\n", "\n\n\n"]), (1, 1, [""]), (2, 0, [""])], "doc_id long, idx long, separators array<string>")
     said = spark.createDataFrame([(1, 0, "a\n"), (1, 1, "b\n")], "doc_id long, idx long, text string")
