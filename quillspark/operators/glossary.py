@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions import columns as C
+from quillspark.functions.arrow import once
 from quillspark.operators.lineage import cut
 
 MOST_TERMS, MOST_CHARS = 30, 2000
@@ -24,9 +25,9 @@ def _bounded(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\b", "\u0001")
 
 
-def _seam(text: Column, before: int, behind: int) -> Column:
-    """What stands between two neighbouring tokens, with so many characters of either."""
-    return F.regexp_extract_all(text, F.lit(f"(?=({_PART}{{{before}}}[^a-z0-9]+{_PART}{{{behind}}}))"), F.lit(1))
+def _seams(text: Column, least: int, most: int) -> Column:
+    """What stands between two neighbouring tokens, with so many last characters of one and the first of the other."""
+    return F.regexp_extract_all(text, F.lit(f"(?=({_PART}{{{least or 1},{most or 1}}}[^a-z0-9]+{_PART}))"), F.lit(1))
 
 
 def _signs(text: Column) -> Column:
@@ -34,17 +35,13 @@ def _signs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[^a-z0-9 ]"), F.lit(0)))
 
 
-def _filed(tokens: Column, before: Column, behind: Column) -> Column:
-    return F.transform(tokens, lambda t: F.struct(t.alias("token"), before.alias("before"), behind.alias("behind")))
-
-
 def term_index(terms: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``by``, ord, folded, marked, words, several, token, before, behind: each term under tokens of which every chunk that it matters to has one.
+    """``by``, ord, folded, marked, words, several, within, token, seam: each term under tokens of which every chunk that it matters to has one.
 
     ``terms``: ``by``, ord, term_en.  A phrase of k words matters where half of them occur, so of its words
     the k // 2 + 1 rarest among the terms suffice.  A term also matters where it occurs within longer words.  Then its
     inner tokens occur whole, so the rarest of these is added; a phrase of two tokens is filed under the seam between
-    them, up to three characters of either, and what has neither under a character of no token.
+    them (up to two characters of one and the first of the other; ``seam`` is how many), and what has neither under a character of no token.
     """
     folded = terms.select(*by, "ord", C.glossary_text(F.col("term_en")).alias("folded")).where("folded <> ''")
     every = F.regexp_extract_all("folded", F.lit(f"{_PART}+"), F.lit(0))
@@ -56,18 +53,13 @@ def term_index(terms: DataFrame, by: tuple[str, ...]) -> DataFrame:
     held = facts.select(*by, "ord", F.explode("words").alias("word"))
     ranked = held.join(held.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")), [*by, "word"]).groupBy(*by, "ord").agg(F.sort_array(F.collect_list(F.struct("n", (-F.length("word")).alias("short"), "word"))).alias("ranked"))
     met = facts.join(ranked, [*by, "ord"], "left").withColumn("ranked", F.coalesce(F.transform("ranked", lambda r: r["word"]), F.array().cast("array<string>")))
-    lead, tail = (F.least(F.lit(3), F.length(F.try_element_at("every", F.lit(k)))) for k in (1, 2))
-    none = F.array().cast("array<string>")
-    halves = F.when(F.col("several"), F.slice("ranked", F.lit(1), F.floor(F.size("words") / 2).cast("int") + 1)).otherwise(none)
+    halves = F.when(F.col("several"), F.slice("ranked", F.lit(1), F.floor(F.size("words") / 2).cast("int") + 1)).otherwise(F.array().cast("array<string>"))
     inside = F.slice(F.filter("ranked", lambda w: F.array_contains(F.col("inner"), w)), 1, 1)
-    seam = F.regexp_extract("folded", f"({_PART}{{1,3}}[^a-z0-9]+{_PART}{{1,3}})", 1)
-    rest = F.when(F.size("inner") > 0, inside).when(F.size("every") >= 2, F.array(seam)).otherwise(F.slice(_signs(F.col("folded")), 1, 1))
-    filed = met.withColumns({"is_seam": (F.size("inner") == 0) & (F.size("every") >= 2), "before": lead, "behind": tail}).withColumn(
-        "tokens", F.array_distinct(F.concat(_filed(halves, F.lit(0), F.lit(0)), _filed(rest, *(F.when(F.col("is_seam"), F.col(c)).otherwise(0) for c in ("before", "behind")))))
-    )
-    return filed.select(*by, "ord", "folded", _bounded(F.col("folded")).alias("marked"), "words", "several", "within", F.explode("tokens").alias("t")).select(
-        *by, "ord", "folded", "marked", "words", "several", "within", "t.token", "t.before", "t.behind"
-    )
+    between = F.regexp_extract("folded", f"({_PART}{{1,2}}[^a-z0-9]+{_PART})", 1)
+    is_seam = (F.size("inner") == 0) & (F.size("every") >= 2)
+    rest = F.when(F.size("inner") > 0, inside).when(is_seam, F.array(between)).otherwise(F.slice(_signs(F.col("folded")), 1, 1))
+    seam = F.when(is_seam, F.least(F.lit(2), F.length(F.try_element_at("every", F.lit(1))))).otherwise(0)
+    return met.select(*by, "ord", "folded", _bounded(F.col("folded")).alias("marked"), "words", "several", "within", seam.alias("seam"), F.explode(F.array_distinct(F.concat(halves, rest))).alias("token"))
 
 
 def _priority(folded: str, marked: str, words: str) -> Column:
@@ -86,20 +78,18 @@ def matched_terms(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by:
     those of very many chunks dealt over parts, and texts meet the candidates again by key.
     """
     index = cut(term_index(terms, by))
-    seams = [tuple(r) for r in index.where("before > 0").select("before", "behind").distinct().collect()]  # nine at most
-    once = lambda c: F.explode(F.array(c))
+    facts = index.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("seam") > 0, F.col("seam"))).alias("least"), F.max("seam").alias("most"), F.max(~F.col("token").rlike(_PART)).alias("signs"), F.max(~F.col("several") & ~F.col("within")).alias("alone")).first()
     kept = list(dict.fromkeys([*key, *by]))
     folded = chunks.select(*kept, once(F.coalesce(C.glossary_text(F.col(text_col)), F.lit(""))).alias("__folded"))
-    worded = folded.select(*kept, "__folded", F.array_distinct(F.regexp_extract_all("__folded", F.lit(f"{_PART}+"), F.lit(0))).alias("__words"))
-    marked = worded.select("*", once(_bounded(F.col("__folded"))).alias("__marked"))
-    plain = F.concat(F.col("__words"), _signs(F.col("__folded")))
-    tokens = F.concat(*(_filed(F.array_distinct(found), F.lit(a), F.lit(b)) for a, b, found in [(0, 0, plain), *((a, b, _seam(F.col("__folded"), a, b)) for a, b in seams)]))
-    on = [*by, "token", "before", "behind"]
-    if index.limit(most_sent + 1).count() <= most_sent:
-        met = marked.select("*", F.explode(tokens).alias("__t")).select("*", "__t.token", "__t.before", "__t.behind").join(F.broadcast(index), on)
-        found = met.select(*key, "ord", _priority("__folded", "__marked", "__words").alias("priority")).where("priority IS NOT NULL")
+    worded = folded.select(*kept, "__folded", once(F.array_distinct(F.regexp_extract_all("__folded", F.lit(f"{_PART}+"), F.lit(0)))).alias("__words"))
+    found = [(True, F.col("__words")), (facts["signs"], _signs(F.col("__folded"))), (facts["most"], F.array_distinct(_seams(F.col("__folded"), facts["least"], facts["most"])))]
+    every = F.concat(*(c for needed, c in found if needed))  # only kinds of tokens under which a term is filed
+    marked, on = worded.select("*", once(_bounded(F.col("__folded")) if facts["alone"] else F.lit("")).alias("__marked")), [*by, "token"]
+    if facts["n"] <= most_sent:
+        tokens = marked.select("*", once(every).alias("__every")).select(*marked.columns, F.explode("__every").alias("token"))
+        found = tokens.join(F.broadcast(index), on).select(*key, "ord", once(_priority("__folded", "__marked", "__words")).alias("priority")).where("priority IS NOT NULL")
         return found.groupBy(*key, "ord").agg(F.min("priority").alias("priority"))
-    asked = cut(worded.select(*kept, F.explode(tokens).alias("__t")).select(*kept, "__t.token", "__t.before", "__t.behind").join(index.select(*on).distinct(), on, "left_semi"))
+    asked = cut(worded.select(*kept, once(every).alias("__every")).select(*kept, F.explode("__every").alias("token")).join(index.select(*on).distinct(), on, "left_semi"))
     hot = asked.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_CHUNKS).select(*on, F.lit(PARTS).alias("parts"))  # one in HOT_CHUNKS rows at most
     of = lambda df, part: df.join(hot, on, "left").withColumn("part", part)
     dealt = of(asked, F.pmod(F.xxhash64(*key), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
