@@ -2,18 +2,21 @@
 
 The standard library's parser streams events.  Block elements cut the page into
 lines; each line keeps its text, how much of it is linked, how many tags it holds and
-the elements in which it stands.  Elements that by tag, role, class or id are a menu,
-header, footer, sidebar, notice, advert, form, script or comment section yield no
-lines: their text may be as dense as an article's.
+the elements in which it stands.  Elements that by tag or role are a menu, page header,
+footer, sidebar, script or comment section yield no lines: their text may be as dense as an
+article's.  A form, or a block that a word of its class or id marks as a notice, advert or the like, is taken
+out too, unless it holds more than half of the page's unlinked text: then it is no such thing.  Inline
+elements are never marked, so no sentence loses a word.
 
 Of the remaining lines the ratios of unlinked text to tags are smoothed by a Gaussian;
 lines over a threshold (the deviation of the smoothed ratios, the mean at most) form
 clusters: the content regions.  A region grows to the whole of the ``article`` or
 ``main`` element in which it stands; elsewhere all grow to the innermost element that
 holds every dense line (but for lines shorter than the threshold that only their
-neighbours make dense).  What no region reaches - menus, link lists and footers that
-nothing marks - goes, and so do runs of ``LINKS`` link lines or more inside a region
-whose core isn't dense.  Nothing else in a region is left out, so short paragraphs stay.
+neighbours make dense).  What no region reaches - menus, link lists and footers that nothing marks -
+goes, and so does a run of link lines at an edge of what is kept unless all of it is dense or a
+heading or a colon introduces it.  Nothing else in a region is left out, so short
+paragraphs and lists of links stay.
 
 Defined cases: null and empty pages, and pages without visible content, give an empty
 text; unclosed elements end where an outer one does; a tag or comment that the page's
@@ -34,11 +37,11 @@ from pyspark.sql import DataFrame
 
 from quillspark.llm.common import col, id_type
 
-SIGMA, LINKS = 1.0, 3
+SIGMA = 1.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never content, whatever stands in them.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label fieldset iframe object svg canvas audio video menu dialog".split()
+    "script style noscript template head title nav footer aside button select option textarea input label fieldset iframe object svg canvas audio video menu dialog".split()
 )
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -62,25 +65,37 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
-def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element and all that it holds is no content, by tag, role, class or id."""
+#: Marks of lines about an article, not of it.
+BYLINES = frozenset("byline dateline author meta published".split())
+#: Marks of what readers wrote, which may well be longer than the article.
+READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+
+
+def mark_of(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """What an element and all that it holds is, by tag, role, class or id: ``no`` content, ``maybe`` none, or nothing that is known."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return "no"
     if tag == "article":  # readers' comments are often articles themselves
-        return any(name == "class" and value and not COMMENTS.isdisjoint(value.lower().split()) for name, value in attrs)
+        return "no" if any(name == "class" and value and not COMMENTS.isdisjoint(value.lower().split()) for name, value in attrs) else ""
+    found = "maybe" if tag == "form" else ""
     for name, value in attrs:
         if name in ("hidden", "inert") or value and name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return "no"
         if value and name == "role" and value.strip().lower() in ROLES:
-            return True
+            return "no"
         if value and name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if value and name in ("class", "id") and tag not in ("html", "body", "main", "article"):
+            return "no"
+        if value and name in ("class", "id") and tag in BLOCKS and tag not in ("html", "body", "main"):
             for token in value.split():
                 words = [w.lower() for w in _WORDS.findall(token)]
-                if words and (words[-1] in MARKS and not (in_article and words[-1] == "header") or words[0] in MARKS and words[-1] not in CONTENT and len(words) > 1):
-                    return True
-    return False
+                last = bool(words) and words[-1] in MARKS and not (in_article and words[-1] == "header")
+                if in_article and words and words[-1] in BYLINES:
+                    return "no"
+                if last or len(words) > 1 and words[0] in MARKS and words[-1] not in CONTENT:
+                    if words[-1 if last else 0] in READERS:
+                        return "no"
+                    found = "maybe"
+    return found
 
 
 class Line(NamedTuple):
@@ -89,6 +104,8 @@ class Line(NamedTuple):
     tags: int
     article: int  # the number of the article or main around it, 0 if there is none
     parent: int  # the number of the container around it
+    heads: bool  # whether it is a heading
+    marked: int  # the number of the outermost element around it that may be no content, 0 if there is none
 
 
 class Lines(HTMLParser):
@@ -100,7 +117,7 @@ class Lines(HTMLParser):
         self.where: dict[str, list[int]] = {}  # places of the open elements of a tag
         self.blocks: list[int] = []  # places of the open blocks
         self.parents: list[int] = [0]  # numbers of the open containers of lines
-        self.number, self.skip, self.articles, self.in_header = 0, 0, [], 0
+        self.number, self.skip, self.marked, self.articles = 0, 0, 0, []
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[Line] = []
@@ -120,7 +137,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append(Line(text, self.linked, self.tags, self.articles[-1] if self.articles else 0, self.parents[-1]))
+                self.lines.append(Line(text, self.linked, self.tags, self.articles[-1] if self.articles else 0, self.parents[-1], any(self.where.get(h) for h in HEADINGS), self.marked))
                 self.tags = self.linked = 0
             self.parts = []
 
@@ -138,15 +155,15 @@ class Lines(HTMLParser):
                 self.skip = 0
             if self.articles and self.articles[-1] == number:
                 self.articles.pop()
-            if self.in_header == number:
-                self.in_header = 0
+            if self.marked == number:
+                self.marked = 0
 
     def place(self, tags: Iterable[str]) -> int:
         """Where the innermost open element of these tags stands, -1 if there is none."""
         return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in BLOCKS or tag in DROPPED
+        block = tag in BLOCKS or tag in DROPPED or tag == "form"
         if block:
             self.flush()
             if tag in ENDS:
@@ -161,12 +178,13 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.number += 1
-        if not self.skip and (is_boilerplate(tag, attrs, bool(self.articles)) or self.in_header and tag in ("p", "div", "span", "time", "ul", "a")):
+        mark = "" if self.skip else mark_of(tag, attrs, bool(self.articles))
+        if mark == "no":
             self.skip = self.number
+        elif mark and not self.marked:
+            self.marked = self.number
         if not self.skip and tag in ("article", "main"):
             self.articles.append(self.number)
-        if not self.skip and not self.in_header and tag == "header":
-            self.in_header = self.number
         self.outer[self.number] = self.open[-1][1] if self.open else 0
         self.where.setdefault(tag, []).append(len(self.open))
         if block:
@@ -179,7 +197,7 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # the slash says nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in BLOCKS or tag in DROPPED or tag == "form":
             self.flush()
         self.tags += 1
         if (k := self.place((tag,))) >= 0:
@@ -207,44 +225,51 @@ def dense_lines(lines: list[Line]) -> tuple[np.ndarray, float]:
     return smooth >= limit, float(limit)
 
 
-def without_link_runs(lines: list[Line], dense: np.ndarray, kept: list[int]) -> list[int]:
-    """``kept`` without the runs of link lines whose core isn't dense."""
-    out, run = [], []
-    for k in [*kept, -1]:
-        if k >= 0 and 2 * lines[k].linked > len(lines[k].text):
-            run.append(k)
-            continue
-        if len(run) < LINKS or all(dense[r] for r in run):
-            out += run
-        run = []
-        if k >= 0:
-            out.append(k)
-    return out
+def unmarked(lines: list[Line]) -> list[Line]:
+    """The lines without those of marked elements, but for an element with more than half of the page's unlinked text."""
+    held: dict[int, int] = {}
+    for x in lines:
+        held[x.marked] = held.get(x.marked, 0) + max(0, len(x.text) - x.linked)
+    every = sum(held.values())
+    return [x for x in lines if not x.marked or 2 * held[x.marked] > every]
+
+
+def without_link_edges(lines: list[Line], dense: np.ndarray, kept: list[int]) -> list[int]:
+    """``kept`` without the runs of link lines at its ends that aren't dense and that nothing introduces."""
+    linked = [2 * lines[k].linked > len(lines[k].text) for k in kept]
+    first = next((k for k, is_link in enumerate(linked) if not is_link), 0)  # only links: all stay
+    last = len(kept) - next((k for k, is_link in enumerate(reversed(linked)) if not is_link), 0)
+    if all(dense[k] for k in kept[:first]):
+        first = 0
+    if all(dense[k] for k in kept[last:]) or lines[kept[last - 1]].heads or lines[kept[last - 1]].text.endswith(":"):
+        last = len(kept)
+    return kept[first:last]
 
 
 def content_lines(lines: list[Line], outer: dict[int, int], last: dict[int, int]) -> list[str]:
     """The text of the lines of all content regions; elements are numbered in page order, so those inside one are a range."""
+    lines = unmarked(lines)
     if not lines:
         return []
     dense, limit = dense_lines(lines)
     articles = {x.article for x, d in zip(lines, dense, strict=True) if d and x.article}
     if articles:
         kept = [k for k, x in enumerate(lines) if x.article in articles]
-    else:
-        length: dict[int, int] = {}
-        for x, d in zip(lines, dense, strict=True):
-            if d:
-                length[x.parent] = length.get(x.parent, 0) + len(x.text)
-        # Lines dense by their neighbours alone, like a row of links after the content, don't widen the region; inside it they stay.
-        least = min(limit, max(length.values(), default=0) / 4)
-        parents = [p for p, n in length.items() if n >= least]
-        if not parents:
-            return []
-        root, end = min(parents), max(parents)
-        while root and last[root] < end:
-            root = outer[root]
-        kept = [k for k, x in enumerate(lines) if not root or root <= x.parent <= last[root]]
-    return [lines[k].text for k in without_link_runs(lines, dense, kept)]
+        return [lines[k].text for k in without_link_edges(lines, dense, kept)]
+    length: dict[int, int] = {}
+    for x, d in zip(lines, dense, strict=True):
+        if d:
+            length[x.parent] = length.get(x.parent, 0) + len(x.text)
+    # Lines dense by their neighbours alone, like a row of links after the content, don't widen the region; inside it they stay.
+    least = min(limit, max(length.values(), default=0) / 4)
+    parents = [p for p, n in length.items() if n >= least]
+    if not parents:
+        return []
+    root, end = min(parents), max(parents)
+    while root and last[root] < end:
+        root = outer[root]
+    kept = [k for k, x in enumerate(lines) if not root or root <= x.parent <= last[root]]
+    return [lines[k].text for k in without_link_edges(lines, dense, kept)]
 
 
 def main_text(html: str | None) -> str:

@@ -66,9 +66,11 @@ _at = rf"{_lead}[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*"
 _dot = rf"{_lead}[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*"
 _host = rf"[A-Za-z0-9-]+(?:\s+(?:{DOT_WORDS})\s+|{_dot})[A-Za-z0-9-]"  # enough of it to know one
 _bare_at = rf"(?<=[A-Za-z0-9_%+-])\s+(?:{AT_WORDS})\s+(?={_host})"
-_joined_at = rf"(?<=[A-Za-z0-9])[_-](?:at)[_-](?={_host})"
+_joined_at = r"(?<=[A-Za-z0-9])[_-]at[_-](?=[A-Za-z0-9-])"  # counts where a host stands behind it
 _bare_dot = rf"(?<=[A-Za-z0-9-])\s+(?:{DOT_WORDS})\s+(?=[A-Za-z0-9-])"
-REWRITE = re.compile(rf"(?P<spelled>{_spelled})|(?P<at>{_at}|{_bare_at}|{_joined_at})|(?P<dot>{_dot}|{_bare_dot})", re.IGNORECASE)
+REWRITE = re.compile(rf"(?P<spelled>{_spelled})|(?P<at>{_at}|{_bare_at})|(?P<joined>{_joined_at})|(?P<dot>{_dot}|{_bare_dot})", re.IGNORECASE)
+#: Whole runs of a host's characters with a disguised dot behind them.
+HOSTS = re.compile(rf"(?<![A-Za-z0-9-])[A-Za-z0-9-]++(?=(?:\s+(?:{DOT_WORDS})\s+|{_dot})[A-Za-z0-9-])", re.IGNORECASE)
 _TOKEN = re.compile(rf"(?P<digit>{_digit}|[0-9]+)|(?P<dot>{DOT_WORDS}|\.)|(?P<plus>{PLUS_WORDS}|\+)", re.IGNORECASE)
 
 
@@ -145,6 +147,24 @@ def trigger() -> str:
     return rf"(?i:[\[({{<]{s}*(?:{AT_WORDS}|@|{DOT_WORDS}|\.){s}*[\])}}>]|{s}{dots}{s}|{d}(?:[{gap},.-]+(?:{dots}[{gap}-]+)?(?:{d}|[0-9]+)){{2}})|[{changed}]"
 
 
+def rewrites(plain: str) -> Iterator[re.Match]:
+    """The disguises of words, from left to right.
+
+    Whether a host stands behind a joined ``at`` is known from one look at all hosts, as many may lie in one run.
+    """
+    hosts, k, at = None, 0, 0
+    while m := REWRITE.search(plain, at):
+        at = m.end()
+        if m["joined"]:
+            hosts = [h.span() for h in HOSTS.finditer(plain)] if hosts is None else hosts
+            while k < len(hosts) and hosts[k][1] <= m.end():
+                k += 1
+            if k == len(hosts) or hosts[k][0] > m.end():
+                at = m.start() + 1
+                continue
+        yield m
+
+
 def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """The text without disguises, and for each of its characters the source start and end."""
     points = single_characters()[codes(text)]
@@ -162,10 +182,10 @@ def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray]:
         starts.append(np.full(len(chars), kept[a]))
         ends.append(np.full(len(chars), kept[b - 1] + 1))
 
-    for m in REWRITE.finditer(plain):
+    for m in rewrites(plain):
         copy(last, m.start())
         last = m.end()
-        if m["at"] is not None:
+        if m["at"] is not None or m["joined"] is not None:
             put("@", m.start(), m.end())
         elif m["dot"] is not None:
             put(".", m.start(), m.end())

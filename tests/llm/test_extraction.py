@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 
@@ -92,7 +93,8 @@ MEGABYTE = 1_000_000
     [
         "x (at) y" + " " * MEGABYTE + "z", (" " * 999 + "q") * 1000 + "(at)", "a@b.co " * 50_000 + "x (at) y.com " * 50_000, "at dot " * 50_000, "a at b dot " * 50_000, "one " * 100_000, "one, " + " " * MEGABYTE + "two", "+" + "-" * MEGABYTE, "+1" + "(" * MEGABYTE,
         "(" * MEGABYTE + "at)", "1." * 200_000, "@" * 300_000 + "(dot)", "a_at_" * 50_000 + "b dot c", "１" * MEGABYTE, "plus " * 100_000, "[ at" * 100_000,
-    ], ids=range(16),
+        "me (at) x dot com " + "a-at-" * 200_000, "me (at) x dot com " + "a-at-" * 200_000 + "b dot c", "a_at_" * 200_000 + "b [dot] c", "-at-" * 250_000 + "x dot y", "one-at-" * 140_000, "1-at-2_at_" * 100_000 + " dot x", "word-at-home dot " * 60_000,
+    ], ids=range(23),
 )
 def test_time_of_pii_grows_with_the_length_alone(text):
     P.normalise("")
@@ -103,6 +105,15 @@ def test_time_of_pii_grows_with_the_length_alone(text):
     assert time.process_time() - began < 6
 
 
+def test_joined_at_needs_a_host_behind_it():
+    rng = random.Random(6)
+    old = re.compile(rf"(?<=[A-Za-z0-9])[_-](?:at)[_-](?=[A-Za-z0-9-]+(?:\s+(?:{P.DOT_WORDS})\s+|{P._dot})[A-Za-z0-9-])", re.I)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "-", "_", "at", "-at-", "_at_", " dot ", " [dot] ", "b", " ", "(.)", "1", "@", " at "]) for _ in range(rng.randrange(25)))
+        want = P.re.compile(rf"(?P<spelled>{P._spelled})|(?P<at>{P._at}|{P._bare_at}|{old.pattern})|(?P<dot>{P._dot}|{P._bare_dot})", re.I)
+        assert [m.span() for m in P.rewrites(text)] == [m.span() for m in want.finditer(text)], text
+
+
 def test_many_spans_of_both_kinds():
     found = P.disguised("a@b.co x (at) y.com " * 50_000, P.detect("a@b.co x (at) y.com " * 50_000))
     assert len(found["email"]) == 50_000 and found["email"][1] == (27, 39)
@@ -145,6 +156,32 @@ def test_a_page_with_everything():
     assert H.main_text(PAGE) == "Title & more\nFirst paragraph of text.\nShort.\none\ntwo <b>\nQuote line"
 
 
+PARAGRAPH = "<p>" + "Plain words of a sentence that goes on. " * 6 + "</p>"
+SHOWN = ("Plain words of a sentence that goes on. " * 6).strip()
+SOURCES = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li><li><a href=c>Third source</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1>T</h1>{PARAGRAPH}<h2>Sources</h2>{SOURCES}</article>", f"T\n{SHOWN}\nSources\nFirst source\nSecond source\nThird source"),
+        (f"<article><h1>T</h1>{PARAGRAPH}{SOURCES}{PARAGRAPH}</article>", f"T\n{SHOWN}\nFirst source\nSecond source\nThird source\n{SHOWN}"),
+        (f"<article><h1>Links</h1>{SOURCES}</article>", "Links\nFirst source\nSecond source\nThird source"),
+        (f"<body><form>{PARAGRAPH * 2}</form></body>", f"{SHOWN}\n{SHOWN}"),
+        (f"<body><form><p>Subscribe to our letter</p></form>{PARAGRAPH}</body>", SHOWN),
+        (f"<body><div class='share-price'>{PARAGRAPH * 2}</div></body>", f"{SHOWN}\n{SHOWN}"),
+        (f"<body>{PARAGRAPH}<div class='share-buttons'><p>Tell your friends about it</p></div></body>", SHOWN),
+        ("<article><p>See notice <span class='notice-no'>12</span> and <a class='social' href=x>our page</a> today.</p></article>", "See notice 12 and our page today."),
+        (f"<article><header><h1>T</h1><p class='standfirst'>The standfirst.</p></header>{PARAGRAPH}</article>", f"T\nThe standfirst.\n{SHOWN}"),
+        (f"<body>{PARAGRAPH}<div class='comments'>{PARAGRAPH * 5}</div></body>", SHOWN),
+    ],
+)
+def test_marks_are_evidence_and_regions_stay_whole(page, text):
+    assert H.main_text(page) == text
+    bare = page.replace("<article>", "<div>").replace("</article>", "</div>").replace("<header>", "<div>").replace("</header>", "</div>")
+    assert H.main_text(bare) == text
+
+
 def test_a_page_without_an_article():
     page = "<body><div class='nav'><a>a</a><a>b</a></div><div id='c'><p>" + "</p><p>".join(["long text " * 20, "tiny", "more text " * 20]) + "</p></div><div><a>x</a> <a>y</a></div></body>"
     assert H.main_text(page).split("\n") == [("long text " * 20).strip(), "tiny", ("more text " * 20).strip()]
@@ -173,6 +210,9 @@ def test_small_pages(page, text):
 
 def brute_content(lines, outer, last):
     """The selection by plain loops over line records."""
+    free = lambda x: max(0, len(x.text) - x.linked)
+    whole = sum(map(free, lines))
+    lines = [x for x in lines if x.marked == 0 or sum(free(y) for y in lines if y.marked == x.marked) > whole / 2]
     if not lines:
         return []
     ratio = [max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]
@@ -203,22 +243,25 @@ def brute_content(lines, outer, last):
         root = next(r for r in up(wide[0]) if all(inside(p, r) for p in wide))
         kept = [inside(x.parent, root) for x in lines]
     at, out = [k for k in range(len(lines)) if kept[k]], []
-    links = [2 * lines[k].linked > len(lines[k].text) for k in at]
-    for place, k in enumerate(at):
-        a = b = place
-        while links[place] and a and links[a - 1]:
-            a -= 1
-        while links[place] and b + 1 < len(at) and links[b + 1]:
-            b += 1
-        if not (links[place] and b - a >= 2 and not all(dense[at[j]] for j in range(a, b + 1))):
-            out.append(lines[k].text)
-    return out
+    link = lambda k: 2 * lines[k].linked > len(lines[k].text)
+    if all(map(link, at)):
+        return [lines[k].text for k in at]
+    head, tail = [], []
+    while link(at[len(head)]):
+        head.append(at[len(head)])
+    while link(at[-1 - len(tail)]):
+        tail.append(at[-1 - len(tail)])
+    before = lines[at[-1 - len(tail)]]
+    cut = set() if all(dense[k] for k in head) else set(head)
+    if not (all(dense[k] for k in tail) or before.heads or before.text[-1:] == ":"):
+        cut |= set(tail)
+    return [lines[k].text for k in at if k not in cut]
 
 
 HTML_PIECES = st.lists(
     st.sampled_from(
         ["<div>", "</div>", "<div class='c'>", "<p>", "</p>", "<article>", "</article>", "<main>", "<ul><li>", "<li>", "</ul>", "<a href='x'>", "</a>", "<b>", "</b>", "<br>", "<h2>", "</h2>", "<td>", "<table><tr>", "</table>", "<nav>", "</nav>",
-         "word ", "Home", "x", "A line of text that is rather long, as an article's are. ", "Another one, which goes on and on and on for a while until it ends. " * 3, "&amp;", "<![foo[", "<!--", "-->", "<!", "</", "<", "&#x41;", "<script>", "</script>", "<section>", "</section>", "<header>", "</header>"]
+         "word ", "Home", "x", "A line of text that is rather long, as an article's are. ", "Another one, which goes on and on and on for a while until it ends. " * 3, "&amp;", "<![foo[", "<!--", "-->", "<!", "</", "<", "&#x41;", "<script>", "</script>", "<section>", "</section>", "<header>", "</header>", "<form>", "</form>", "<div class='share-price'>", "<span class='ad'>", "Sources:", "<h2>Sources</h2>", "<a href='y'>One whole link</a><br>"]
     ), max_size=60,
 ).map("".join)
 
