@@ -23,9 +23,11 @@ The items' keys are made on executors and go to the tasks as arrays, in blocks o
 ``BLOCK_ANCHORS`` words, whatever their number: each block is one pass over all rows,
 nothing is shuffled and no candidate is dropped.
 
-Defined cases: null and wordless texts match nothing; items without words are left
-out; items of less than ``LEAST`` characters are found by runs of characters, so surely
-only verbatim; repeated rows and items each have their own rows; an empty table gives
+Items of less than ``LEAST`` characters have room for one edit at most, and none below five:
+they are found exactly wherever they stand in a text from a word's start on, by all strings that one
+deletion makes of the item and of the text there.
+
+Defined cases: null and wordless texts match nothing; items without words are left out; repeated rows and items each have their own rows; an empty table gives
 no rows.
 """
 
@@ -47,6 +49,7 @@ WALKS, STEPS, SIMILARITY, BLOCK_ANCHORS, BATCH_CHARS, PIECE = 4, 32, 0.8, 200_00
 #: Classes of items by characters: at least so many, steps of a walk that go into a key, steps that it may take them from.
 CLASSES = ((80, 12, 30), (48, 10, 24), (32, 8, 18), (18, 6, 13), (10, 4, 9))
 TABLES, LEAST, RUN, SPACE, GRAM, GRAM_BITS, BAND, MANY, FAR = 3, CLASSES[-1][0], 8, 32, 4, 12, 32, 176, 16
+TINY = range(5, LEAST)  # sizes with room for one edit and no walk
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ROUND = (1 << 64) - 1
 
@@ -136,6 +139,27 @@ def run_words(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return points.take(starts[:, None] + np.arange(RUN), mode="clip").astype(np.uint8).view(np.uint64)
 
 
+_FACTOR = 0xD6E8FEB86659FD93
+_BACK = np.uint64(pow(_FACTOR, -1, 1 << 64))
+
+
+def deletion_keys(read: np.ndarray, starts: np.ndarray, sizes: range) -> Iterator[np.ndarray]:
+    """Hashes of the so many symbols behind each start, and of what is left when one of them goes: an array for each size and place."""
+    total = [np.zeros(starts.size, np.uint64)]
+    for k in range(sizes.stop - 1):
+        symbol = read.take(starts + k, mode="clip").astype(np.uint64) + np.uint64(1)
+        total.append(total[-1] + symbol * np.uint64(pow(_FACTOR, k, 1 << 64)))
+    for size in sizes:
+        yield _mixed(total[size], size)
+        for k in range(size):
+            yield _mixed(total[k] + (total[size] - total[k + 1]) * _BACK, size - 1)
+
+
+def _mixed(key: np.ndarray, size: int) -> np.ndarray:
+    key = (key ^ np.uint64(size)) * _MIX
+    return (key ^ key >> np.uint64(29)) * _MIX
+
+
 def item_keys(text: str) -> tuple[str, int, list[np.ndarray]]:
     """What is compared, the item's class, and its keys: arrays of table, key and start."""
     points, starts = joined(*word_runs(text))
@@ -145,6 +169,9 @@ def item_keys(text: str) -> tuple[str, int, list[np.ndarray]]:
         for size in range(1, RUN + 1):
             mine = starts[np.minimum(n + 1 - starts, RUN) == size]
             found.append((np.full(mine.size, size), _key(run_words(read, mine), _run_mask(size), size), mine))
+        if n >= TINY.start:
+            near = np.concatenate(list(deletion_keys(read, np.zeros(1, np.int64), range(n, n + 1))))
+            found.append((np.zeros(near.size, np.int64), near, np.zeros(near.size, np.int64)))
     for w in range(WALKS if kind else 0):
         words = walk(read, starts, w, STEPS, ats := [])
         for t, mask in enumerate(masks()[kind]):
@@ -288,8 +315,11 @@ class Index:
         """Word of the text, item and start in it of every collision."""
         for first in range(0, places.size, PIECE):
             starts = places[first : first + PIECE]
-            for size, table in self.tables.get(0, {}).items():
-                yield from ((first + a, i, s) for a, i, s in table.meet(_key(run_words(read, starts), _run_mask(size), size)))
+            tiny = self.tables.get(0, {})
+            for keys in deletion_keys(read, starts, range(TINY.start - 1, TINY.stop + 1)) if 0 in tiny else ():
+                yield from ((first + a, i, s) for a, i, s in tiny[0].meet(keys))
+            for size, table in tiny.items():
+                yield from () if not size else ((first + a, i, s) for a, i, s in table.meet(_key(run_words(read, starts), _run_mask(size), size)))
             for w in range(WALKS if self.steps else 0):
                 words = walk(read, starts, w, self.steps)
                 for kind, tables in self.tables.items():

@@ -148,6 +148,32 @@ def test_recall_by_length_and_kind_of_edit(words, kind):
     assert recall(words, kind, 0.5) >= 0.97
 
 
+def test_small_items_are_found_exactly():
+    rng = random.Random(9)
+    items = sorted({" ".join("".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 4)))[:9].strip() for _ in range(120)} - {""})
+    index = D.Index.of(list(enumerate(items)))
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(8)) for _ in range(40)]
+    found = {(t, i) for t, i, _, _ in index.hits(texts)}
+    wanted = set()
+    for t, text in enumerate(texts):
+        starts = [k for k in range(len(text)) if not k or text[k - 1] == " "]
+        for i, item in enumerate(items):
+            room = int(0.2 * len(item) + 1e-9)
+            if any(levenshtein(item, text[k : k + n]) <= room and (room or text[k + n : k + n + 1] in ("", " ")) for k in starts for n in range(len(item) - room, len(item) + room + 1)):
+                wanted.add((t, i))
+    assert sum(len(items[i]) in range(5, 10) for _, i in wanted) > 30 and wanted <= found
+    assert all(D.infix_distance(items[i], texts[t]) <= int(0.2 * len(items[i]) + 1e-9) for t, i in found)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_verbatim_copies_are_certain():
     rng = random.Random(3)
     items = [(k, sentence(rng, 1 + k % 14)) for k in range(420)] + [(500, "the the the"), (501, "a b a b a b a b a b")]
