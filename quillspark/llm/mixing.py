@@ -5,13 +5,15 @@ whole part is taken outright, the fraction is rounded dependently.  Two document
 time exchange word mass, in a randomly chosen direction whose odds keep both
 expectations, until one of them is integral; the other goes on to the next.  What both
 hold together never changes, so a source's total stays on its target, but for the one
-document that is left over at the end and rounded by itself.
+document that is left over at the end and rounded by itself.  A document that is much larger than
+the next one, or has more than a twentieth of all words behind it, could go through very many such exchanges and still be
+open at the end: it is settled in one exchange with a bundle of those behind it, whose open mass matches its own.
 
 Documents are dealt to blocks by a hash of the id, so a hot source is spread.  Each
 block settles all but one document of a source; these residuals are combined
 ``FAN`` blocks at a time, level by level: a reduction tree whose depth is the
-logarithm of the rows.  Larger documents go first, so what is left over is small,
-unless one outweighs all behind it.
+logarithm of the rows.  Larger documents go first, so what is left over is among the smallest,
+unless one outweighs all behind it together.
 
 Targets: sources in order of code point, null last, weigh ``weights``, repeating;
 their targets share ``share`` of all words, but stop at ``most`` times the source's
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quillspark.llm.common import col, cut, free_name, id_type, numbered, same_key
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK_ROWS, FAN, SEED, EPS = 4000, 64, 20240229, 1e-9
+BLOCK_ROWS, FAN, SEED, EPS, FAR, MANY = 4000, 64, 20240229, 1e-9, 2, 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,25 +62,76 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def settle(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
     """Round fractions in (0, 1) in the given order; all but the returned index (-1 if none) become 0 or 1."""
-    draws, w, p = rng.random(size.size).tolist(), size.astype(float).tolist(), part.tolist()
-    i = 0 if p else -1
-    for j in range(1, len(p)):
-        if i < 0:
-            i = j
-            continue
-        gain, loss = min((1 - p[i]) * w[i], p[j] * w[j]), min(p[i] * w[i], (1 - p[j]) * w[j])
-        moved = gain if draws[j] * (gain + loss) < loss else -loss
-        p[i], p[j] = p[i] + moved / w[i], p[j] - moved / w[j]
-        open_ones = []
-        for k in (i, j):
-            if EPS < p[k] < 1 - EPS:
-                open_ones.append(k)
-            else:
-                p[k] = float(round(p[k]))
-        i = open_ones[0] if open_ones else -1
+    draws, others, w, p = rng.random(size.size).tolist(), rng.random(size.size).tolist(), size.astype(float).tolist(), part.tolist()
+    rest, i, aside = size[::-1].cumsum()[::-1].tolist(), -1, []
+    for j in range(len(p)):
+        if i >= 0 and (w[i] > FAR * w[j] or w[i] * MANY > rest[j]):
+            if not _with_bundle(w, p, i, j, others[i]):
+                aside.append(i)
+            i = -1
+        if not EPS < p[j] < 1 - EPS:  # a bundle has settled it
+            p[j] = float(round(p[j]))
+        else:
+            i = j if i < 0 else _pair(w, p, i, j, draws[j])
+    for k in reversed(aside):
+        i = k if i < 0 else _pair(w, p, k, i, float(rng.random()))
     return np.array(p), i
 
 
+def _pair(w: list[float], p: list[float], i: int, j: int, draw: float) -> int:
+    """Exchange mass until one of two is integral; gives the other, -1 if both are."""
+    gain, loss = min((1 - p[i]) * w[i], p[j] * w[j]), min(p[i] * w[i], (1 - p[j]) * w[j])
+    moved = gain if draw * (gain + loss) < loss else -loss
+    p[i], p[j] = p[i] + moved / w[i], p[j] - moved / w[j]
+    open_ones = [k for k in (i, j) if EPS < p[k] < 1 - EPS]
+    for k in (i, j):
+        if k not in open_ones:
+            p[k] = float(round(p[k]))
+    return open_ones[0] if open_ones else -1
+
+
+def _with_bundle(w: list[float], p: list[float], i: int, j: int, draw: float) -> bool:
+    """The i-th document goes up or down in exchange with those from the j-th on; whether it became integral.
+
+    Each of these gives or takes a fixed share of the mass, whichever way it goes, so every expectation is kept; shares are as large as
+    both ways allow.  Where all of them together don't allow the longer way, that one is shortened, and the odds with it.
+    """
+    ways = [(1 - p[i]) * w[i], p[i] * w[i]]
+    shares = _shares(w, p, j, *ways)
+    for longer in sorted((0, 1), key=lambda k: -ways[k]):
+        if sum(shares.values()) >= 1:
+            break
+        low, high = 0.0, ways[longer]
+        for _ in range(40):
+            ways[longer] = (low + high) / 2
+            low, high = (ways[longer], high) if sum(_shares(w, p, j, *ways).values()) >= 1 else (low, ways[longer])
+        ways[longer] = low
+        shares = _shares(w, p, j, *ways)
+    up, down = ways
+    every = sum(shares.values())
+    if every < 1 or not up + down:
+        return False  # nothing behind it is open
+    rises = draw * (up + down) < down
+    moved = up if rises else -down
+    p[i] += moved / w[i]
+    for k, share in shares.items():
+        p[k] = min(1.0, max(0.0, p[k] - moved * share / every / w[k]))
+    if whole := not EPS < p[i] < 1 - EPS:
+        p[i] = float(round(p[i]))
+    return whole
+
+
+def _shares(w: list[float], p: list[float], j: int, up: float, down: float) -> dict[int, float]:
+    """Of each document from the j-th on: the part of both ways that it can give and take; no more documents than are needed."""
+    found, every = {}, 0.0
+    for k in range(j, len(p)):
+        found[k] = max(0.0, min(p[k] * w[k] / up if up else 1.0, (1 - p[k]) * w[k] / down if down else 1.0))
+        every += found[k]
+        if every >= 1:
+            break
+    return found
+
+
 def settle_block(last: bool, level: int):
     """For applyInPandas over a block: rows of every source but one get their copies; of the last block's, all."""
 

@@ -147,3 +147,20 @@ def test_the_mixture_holds_what_is_taken(spark):
     assert got.columns == ["doc_id", "text", "source", "size", "source_size", "target", "copies", "taken"]
     assert got.where("copies < 1").count() == 0
     assert got.selectExpr("sum(taken)").first()[0] == mixed.selectExpr("sum(taken)").first()[0]
+
+
+@pytest.mark.parametrize("part", [0.1, 0.37, 0.5, 0.93])
+@pytest.mark.parametrize("big", [(5184, 1834, 1749, 1000), (1473, 1403, 1304, 1121), (9000,)])
+def test_heavy_tails_stay_near_their_targets(big, part):
+    size = np.array([*big, *sorted(np.random.default_rng(1).integers(50, 900, 90).tolist(), reverse=True), 60, 30, 9, 4, 2, 1])
+    goal, far, means = part * size.sum(), [], 0
+    for k in range(500):
+        rng = np.random.default_rng(k)
+        out, left = M.settle(size, np.full(size.size, part), rng)
+        if left >= 0:
+            out[left] = rng.random() < out[left]
+        far.append(abs(out @ size - goal))
+        means = means + out / 500
+    assert np.median(far) < 0.01 * goal and np.abs(means - part).max() < 0.1
+    if min(part, 1 - part) * size[1:].sum() > max(part, 1 - part) * size[0]:  # where those behind the largest can carry it
+        assert np.quantile(far, 0.95) < 0.03 * goal
