@@ -83,21 +83,28 @@ def pack(parts: Iterator[tuple[str, str]], most: int) -> Iterator[tuple[str, lis
         yield "".join(map("".join, held)), [s for _, s in held]
 
 
+def sections(text: str, most: int) -> Iterator[Iterator[tuple[str, str]]]:
+    """The pieces of each section of a text, in order."""
+    spans = Spans()
+    for start, end, kind in find_spans(text):
+        spans.add(start, end, kind)
+    starts = section_starts(text, spans)
+    for start, end in zip(starts, [*starts[1:], len(text)], strict=True):
+        yield (p for part in paragraphs(text, start, end, spans) for p in pieces(*part, most))
+
+
+def units(text: str, most: int = DEFAULT_CHARS) -> list[tuple[int, int, int]]:
+    """Section (from 0), number in it (from 1) and characters of each piece; what chunks are packed of."""
+    return [(s, k, sum(map(len, piece))) for s, parts in enumerate(sections(text, most) if text else ()) for k, piece in enumerate(parts, 1)]
+
+
 def plan(text: str, most: int = DEFAULT_CHARS) -> list[Chunk]:
     """The chunks of a text: no heading within, none longer than ``most``, together the text itself."""
     if most <= 0:
         raise PlanError("max-chunk-chars must be positive")
     if not text:
         return []
-    spans = Spans()
-    for start, end, kind in find_spans(text):
-        spans.add(start, end, kind)
-    starts = section_starts(text, spans)
-    drafts = [
-        draft
-        for start, end in zip(starts, [*starts[1:], len(text)], strict=True)
-        for draft in pack((p for part in paragraphs(text, start, end, spans) for p in pieces(*part, most)), most)
-    ]
+    drafts = [draft for parts in sections(text, most) for draft in pack(parts, most)]
     digits = max(4, len(str(len(drafts))))
     return [Chunk(f"chunk-{k:0{digits}d}", source, separators) for k, (source, separators) in enumerate(drafts, 1)]
 

@@ -31,6 +31,13 @@ def known_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("request").agg(F.min_by("response", "response").alias("response"))
 
 
+def known_or_not(rows: DataFrame, path: str, model: str, json_mode: bool = False) -> DataFrame:
+    """``rows`` with messages, and a column known: whether the table of answers has theirs."""
+    keyed = rows.withColumn("__request", request_key(F.col("messages"), model, json_mode))
+    known = known_answers(rows.sparkSession, path).select(F.col("request").alias("__request"), F.lit(True).alias("known"))
+    return keyed.join(known, "__request", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("__request")
+
+
 def answered(rows: DataFrame, make_client: Callable[[], Client], key_cols: tuple[str, ...], path: str, model: str, json_mode: bool = False, concurrency: int = 3, retry: Retry = Retry(), waves: int = 1) -> DataFrame:
     """key columns, response, error, calls (0 for an answer that was there) for rows with messages and, optionally, placeholders.
 

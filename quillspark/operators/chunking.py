@@ -56,6 +56,13 @@ def sentence_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col), once(parts).alias("parts")).select(id_col, F.posexplode("parts").alias("idx", "piece")).select(id_col, F.col("idx").cast("long").alias("idx"), "piece")
 
 
+def chunk_units(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", most: int = K.DEFAULT_CHARS) -> DataFrame:
+    """doc_id, section (from 0), unit (from 1), size, error: the pieces of which chunks are packed; ``intervals.packed`` packs them by document and section."""
+    pieces = checked(lambda t: [{"section": s, "unit": k, "size": n} for s, k, n in K.units(t, most)], "array<struct<section:bigint,unit:bigint,size:bigint>>", K.PlanError)(F.col(md_col))
+    rows = docs.select(F.col(id_col), once(pieces).alias("p")).where("p.error IS NOT NULL OR size(p.value) > 0")
+    return rows.select(id_col, F.col("p.error").alias("error"), F.explode_outer("p.value").alias("u")).select(id_col, "u.section", "u.unit", "u.size", "error")
+
+
 def heading_sections(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, line_no, section: number of the heading section a line stands in; ``lines`` also has in_span.
 

@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators import diagrams as D, messages as P
+from quillspark.operators.answers import answered
 from quillspark.operators.model import Client, Retry, complete
 from quillspark.sources.reader import ReaderOptions, Transport, fetch_html, fetch_markdown, http
 
 
-def converter(make_client: Callable[[], Client], concurrency: int = 3, retry: Retry = Retry()) -> Callable[[DataFrame], DataFrame]:
-    """A diagram converter for ``convert_diagrams``: one model call for each distinct content."""
+def converter(make_client: Callable[[], Client], concurrency: int = 3, retry: Retry = Retry(), answers: str | None = None, model: str = "unknown") -> Callable[[DataFrame], DataFrame]:
+    """A diagram converter for ``convert_diagrams``: one model call for each distinct content.
+
+    ``answers``: a table in a folder that executors share; contents that it holds an answer for aren't asked again, in any later run.
+    """
 
     def convert(contents: DataFrame) -> DataFrame:
         asked = contents.select("content_sha1", P.diagram_messages(F.col("content")).alias("messages"))
-        answers = complete(asked, make_client, ("content_sha1",), True, concurrency, retry)
-        return answers.select("content_sha1", C.unwrap_json_fence(F.col("response")).alias("response"))
+        if answers:
+            said = answered(asked, make_client, ("content_sha1",), answers, model, True, concurrency, retry)
+        else:
+            said = complete(asked, make_client, ("content_sha1",), True, concurrency, retry)
+        return said.select("content_sha1", C.unwrap_json_fence(F.col("response")).alias("response"))
 
     return convert
 

@@ -6,6 +6,7 @@ functions and window functions of another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,10 +15,13 @@ from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_co
 from quillspark.functions import columns as C
 from quillspark.functions.arrow import once
 from quillspark.functions.headings import GLUED_TO
-from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, messages, preserve
+from quillspark.operators import assemble, chunking, diagrams, glossary as G, intervals, markdown as M, messages, preserve
+from quillspark.operators.answers import known_or_not
+from quillspark.operators.lineage import shared_folder
 from quillspark.operators.model import FakeClient, best_of_attempts
 from quillspark.operators.profile import profiles
 from quillspark.plans import lint_fix
+from quillspark.plans.documents import converter
 from quillspark.plans.translate import Options, translate
 from quillspark.sources.files import batch_paths
 from quillspark.sources.reader import route
@@ -502,6 +506,34 @@ def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.heading_sections(M.fenced_lines(corpus(spark, sf_dir)).withColumnRenamed("in_fence", "in_span"))
 
 
+@query(_PLAN.replace("BLANKS", _pieces("whole", "md", r"(\n[ \t]*){2,}|\n|[^\n]+")).split("chunks AS (SELECT")[0].rstrip().rstrip(",") + " SELECT doc_id, section, n AS unit, chunk FROM packed")
+def packed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk of each piece, by prefix sums and pointer doubling; a section's pieces may lie in several tasks."""
+    units = chunking.chunk_units(corpus(spark, sf_dir), most=1000).where("error IS NULL")
+    return intervals.packed(units, 1000, ("doc_id", "section"), block=8).select("doc_id", "section", "unit", "chunk")
+
+
+@query(f"{_FENCES} SELECT doc_id, line_no, fence <> '' AS in_fence FROM lines")
+def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state before each line, from blocks of eight lines that are folded apart."""
+    return intervals.fence_state(M.md_lines(corpus(spark, sf_dir)), block=8)
+
+
+@query(
+    f"""{_SPANS}, sectioned AS (SELECT *, sum(CASE WHEN fence = '' AND line_no > 1 AND regexp_matches(line, '^[ \t]{{0,3}}#{{1,6}}[ \t]+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM placed)
+    SELECT s.doc_id, s.kind, count(DISTINCT s.a) AS n_spans, count(DISTINCT (s.a, p.line_no)) AS n_lines, count(DISTINCT (s.a, p.section)) AS n_sections
+    FROM spans s JOIN sectioned p ON p.doc_id = s.doc_id AND s.a < p.base + length(p.line) + 1 AND p.base < s.b GROUP BY s.doc_id, s.kind"""
+)
+def span_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protected spans by kind, with the lines and the heading sections that they cross, from a join of intervals."""
+    docs = corpus(spark, sf_dir)
+    lines = M.fenced_lines(docs).withColumnRenamed("in_fence", "in_span")
+    placed = intervals.running(lines.withColumn("size", F.length("line") + 1), "size", "end", ("doc_id",), "line_no").withColumn("start", F.col("end") - F.col("size"))
+    rows = placed.join(chunking.heading_sections(lines), ["doc_id", "line_no"]).select("doc_id", "start", "end", "line_no", "section")
+    met = intervals.overlaps(preserve.protected_spans(docs), rows, width=256)
+    return met.groupBy("doc_id", "kind").agg(F.count_distinct("start").alias("n_spans"), F.count_distinct("start", "line_no").alias("n_lines"), F.count_distinct("start", "section").alias("n_sections"))
+
+
 @query(
     r"""WITH RECURSIVE cuts AS (
       SELECT doc_id, -1::BIGINT AS idx, NULL::VARCHAR AS piece, replace(text, chr(10), ' ') AS rest FROM documents WHERE text <> ''
@@ -680,6 +712,18 @@ def diagram_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "language", "content")
 
 
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN n ELSE 0 END AS n_hits, CASE WHEN page_id % 2 = 0 THEN 0 ELSE n END AS n_misses FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 2 END AS n FROM pages)")
+def diagram_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of each page's diagrams in a table of answers for those of the pages with even ids."""
+    found = diagrams.extract_diagrams(_diagram_pages(spark, sf_dir))
+    path = f"{shared_folder(spark)}/diagram-answers-{uuid.uuid4()}"
+    convert = converter(lambda: FakeClient(lambda text, call: '{"mermaid": "graph x"}'), concurrency=8, answers=path)
+    diagrams.convert_diagrams(found.where("page_id % 2 = 0"), convert)
+    asked = found.select("page_id", messages.diagram_messages(F.col("content")).alias("messages"))
+    met = known_or_not(asked, path, "unknown", True)
+    return met.groupBy("page_id").agg(F.count_if("known").alias("n_hits"), F.count_if(~F.col("known")).alias("n_misses"))
+
+
 @query(
     f"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS raw, {_HEAD_TEXT} AS plain,
       chr(10) || '```snapdown' || chr(10) || 'head ' || (page_id % 10) || chr(10) || '```' || chr(10) AS head, '```snapdown' || chr(10) || page_id || ' -> `x`' || chr(10) || '```' || chr(10) AS own FROM pages WHERE regexp_matches(html, '(?i)<h1>'))
