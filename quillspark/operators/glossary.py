@@ -129,7 +129,7 @@ def ranked_terms(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by:
 def filter_glossary(chunks: DataFrame, terms: DataFrame, key: tuple[str, ...], by: tuple[str, ...] = ("doc_id",), text_col: str = "source_text", most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS, **how) -> DataFrame:
     """``chunks`` with a column terms: the entries of the glossary that fit the chunk and the budget, an array without any where none does."""
     empty = F.array().cast(f"array<{ENTRY}>")
-    if most_terms <= 0 or most_chars <= 0:
+    if most_terms <= 0 or most_chars <= 0 or terms.isEmpty():
         return chunks.withColumn("terms", empty)
     kept = ranked_terms(chunks, terms, key, by, text_col, **how).select(*key, within_budget(F.col("ranked"), most_terms, most_chars).alias("terms"))
     return chunks.join(kept, list(key), "left").withColumn("terms", F.coalesce("terms", empty))

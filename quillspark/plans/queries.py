@@ -15,6 +15,7 @@ from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_co
 from quillspark.functions import columns as C
 from quillspark.functions.arrow import once
 from quillspark.functions.headings import GLUED_TO
+from quillspark.functions.spans import PLACEHOLDER
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, intervals, markdown as M, messages, preserve
 from quillspark.operators.answers import known_or_not
 from quillspark.operators.lineage import shared_folder
@@ -311,6 +312,17 @@ def autofix_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", M.repaired(F.col("md")).alias("md"))
 
 
+@query(
+    f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN replace(md, chr(10) || repeat(' ', 8), chr(10) || repeat(' ', 4))
+      WHEN 1 THEN regexp_replace(md, '    (~~~\\n)    (y\\n)    (~~~)', '\\1\\2\\3') WHEN 2 THEN replace(replace(md, 'with ' || repeat(chr(96), 3), 'with triple backticks'), 'glued' || repeat(chr(96), 3), 'glued' || chr(10) || repeat(chr(96), 3))
+      WHEN 3 THEN replace(replace(md, 'with ' || repeat(chr(96), 3), 'with' || chr(10) || '    ' || repeat(chr(96), 3)), chr(10) || 'text', chr(10) || '    text')
+      WHEN 4 THEN regexp_replace(md, '\\n(```)\\n(outdented)\\n(```)', chr(10) || '    \\1' || chr(10) || '    \\2' || chr(10) || '    \\3') ELSE md END AS md FROM ({LIST_CORPUS_SQL})"""
+)
+def autofix_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep blocks brought one level up, chained ones taken out of the list, ticks in prose said in words, marks in items split off."""
+    return lists(spark, sf_dir).select("doc_id", M.repaired(F.col("md")).alias("md"))
+
+
 def _reported(source: str) -> str:
     """Texts, the number of their issues, and the report behind a heading if there are any."""
     report = _over(SQL["lint_report"], "SELECT * FROM guarded")
@@ -874,8 +886,33 @@ _BODIES = f"SELECT doc_id, {_collided('md')} AS md FROM ({_over(_AUTOFIX[1], _ov
 _WHOLE = f"""SELECT doc_id, {_collided("rtrim('# ' || doc_id || '.md' || chr(10) || chr(10) || '## Meta' || chr(10) || '- Source: file d/' || doc_id || '.md' || chr(10) || '- Timestamp: 1970-01-01T00:00:00Z' || chr(10) || '- Model: unknown' || chr(10) || chr(10) || '## Outline' || chr(10) || '_No outline entries._' || chr(10) || chr(10) || '## Glossary' || chr(10) || '_No glossary entries._' || chr(10) || chr(10) || trim(md, chr(10)), chr(10) || ' ') || chr(10)")} AS md FROM ({_BODIES})"""
 
 
-@query(f"SELECT doc_id, md AS text, error FROM ({_reported(_over(_AUTOFIX[1], _over(_AUTOFIX[0], _WHOLE)))})")
+class DamagingClient(EchoClient):
+    """Answers like an echo, with what models do to their answers: a mark of the prompt before it, tokens in ticks or fences, tokens that were never sent."""
+
+    def complete(self, messages: list[dict], json_mode: bool = False) -> str:
+        answer = super().complete(messages, json_mode)
+        if json_mode:
+            return answer
+        ticked = PLACEHOLDER.sub(lambda m: f"`{m[0]}`" if "URL" in m[0] or "MATH" in m[0] else m[0], answer)
+        head, end, rest = ticked.partition("\n")
+        return "<<<\n" + head.replace("# ", "# __URL_999__", 1) + end + rest if head.startswith("#") else f"<<<\n{ticked}"
+
+
+_TRANSLATED = f"SELECT doc_id, md AS text, error FROM ({_reported(_over(_AUTOFIX[1], _over(_AUTOFIX[0], _WHOLE)))})"
+
+
+def _translated(spark: SparkSession, sf_dir: str, client: type[FakeClient]) -> DataFrame:
+    docs = corpus(spark, sf_dir).select("doc_id", F.lit("file").alias("source_type"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_value"), F.lit("").alias("title_hint"), "md")
+    return translate(docs, client, Options(concurrency=8))["documents"].select("doc_id", "text", "error")
+
+
+@query(_TRANSLATED)
 def pipeline_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way with a model that changes nothing."""
-    docs = corpus(spark, sf_dir).select("doc_id", F.lit("file").alias("source_type"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_value"), F.lit("").alias("title_hint"), "md")
-    return translate(docs, EchoClient, Options(concurrency=8))["documents"].select("doc_id", "text", "error")
+    return _translated(spark, sf_dir, EchoClient)
+
+
+@query(_TRANSLATED)
+def pipeline_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way with a model that damages its answers; their repair gives what an undamaged one does."""
+    return _translated(spark, sf_dir, DamagingClient)

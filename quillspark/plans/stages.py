@@ -41,13 +41,11 @@ class Stages:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or f"{shared_folder(spark)}/stages-{uuid.uuid4()}"
-
-    def _known(self) -> dict[str, str]:
-        """Paths of finished stages: a row a stage of the folder's runs."""
-        path = f"{self.folder}/manifest"
-        return {r["key"]: r["path"] for r in self.spark.read.schema(ENTRY).json(path).collect() if r["key"]} if exists(self.spark, path) else {}
+        path = f"{self.folder}/manifest"  # a row a stage of the folder's runs
+        self.paths = {r["key"]: r["path"] for r in spark.read.schema(ENTRY).json(path).collect() if r["key"]} if exists(spark, path) else {}
 
     def _finished(self, name: str, key: str, path: str) -> Stage:
+        self.paths[key] = path
         self.spark.createDataFrame([(key, name, path)], ENTRY).coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
         return Stage(self.spark.read.parquet(path), key)
 
@@ -64,13 +62,13 @@ class Stages:
         mixed = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.sum(F.crc32(F.to_json(F.struct(*rows.columns)).cast("binary")).cast("decimal(38,0)"))
         change(rows.observe(seen, F.count(F.lit(1)).alias("n"), *(m.alias(f"m{k}") for k, m in enumerate(mixed)))).write.parquet(path)
         key = self._key(name, options, rows.columns, sorted((k, str(v)) for k, v in seen.get.items()))
-        done = self._known().get(key)
+        done = self.paths.get(key)
         return Stage(self.spark.read.parquet(done), key) if done else self._finished(name, key, path)
 
     def then(self, name: str, made_of: list[Stage], make: Callable[..., DataFrame], *options: object) -> Stage:
         """A later stage: ``make`` of the tables of others."""
         key = self._key(name, options, [s.key for s in made_of])
-        if done := self._known().get(key):
+        if done := self.paths.get(key):
             return Stage(self.spark.read.parquet(done), key)
         path = self._path(name)
         make(*(s.table for s in made_of)).write.parquet(path)
