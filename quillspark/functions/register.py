@@ -1,10 +1,10 @@
-"""SQL names for the Markdown functions: SELECT md_lint(md) FROM docs."""
+"""SQL names for the Markdown functions: SELECT md_lint(md) FROM docs, and SELECT d.*, i.* FROM docs d, LATERAL md_issues(d.md) i."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from quillspark.functions import chunks as K, spans as S
 from quillspark.functions.arrow import arrow_function
@@ -24,8 +24,31 @@ FUNCTIONS: dict[str, tuple[Callable, str]] = {
 }
 
 
+class Issues:
+    """Rows of lint issues: a text's rows stream out, and nothing holds them as an array."""
+
+    def eval(self, md: str) -> Iterator[tuple]:
+        for k, issue in enumerate(lint(md) if md is not None else (), 1):
+            yield k, *issue
+
+
+class Spans:
+    """Rows of protected spans."""
+
+    def eval(self, md: str) -> Iterator[tuple]:
+        yield from S.find_spans(md) if md is not None else ()
+
+
+TABLES: dict[str, tuple[type, str]] = {
+    "md_issues": (Issues, "ord long, rule_id string, line long, message string, excerpt string"),
+    "md_span_rows": (Spans, "start long, end long, kind string"),
+}
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Register all functions with a session; null gives null."""
+    """Register all functions with a session; null gives null, and no rows."""
     for name, (function, returns) in FUNCTIONS.items():
         spark.udf.register(name, arrow_function(function, returns))
-    return list(FUNCTIONS)
+    for name, (function, returns) in TABLES.items():
+        spark.udtf.register(name, F.udtf(function, returnType=returns, useArrow=True))
+    return [*FUNCTIONS, *TABLES]

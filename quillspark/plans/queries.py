@@ -15,6 +15,7 @@ from quillspark.corpus import LIST_CORPUS_SQL, MD_CORPUS_SQL, list_corpus, md_co
 from quillspark.functions import columns as C
 from quillspark.functions.arrow import once
 from quillspark.functions.headings import GLUED_TO
+from quillspark.functions.register import register
 from quillspark.functions.spans import PLACEHOLDER
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, intervals, markdown as M, messages, preserve
 from quillspark.operators.answers import known_or_not
@@ -203,6 +204,13 @@ def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.lint_report(corpus(spark, sf_dir))
 
 
+@query(f"{_ISSUES} SELECT doc_id, rule_id, line_no AS line, {_EXCERPT.format('line')} AS excerpt FROM issues")
+def lint_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues from the SQL table function."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, i.rule_id, i.line, i.excerpt FROM {docs} d, LATERAL md_issues(d.md) i", docs=corpus(spark, sf_dir))
+
+
 @query(
     f"""{_ISSUES}, n AS (SELECT doc_id, count(*) AS n FROM issues GROUP BY doc_id)
     SELECT quality, count(*) AS n_docs, sum(coalesce(n, 0))::BIGINT AS n_issues FROM labels JOIN md_corpus USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY quality"""
@@ -531,6 +539,13 @@ def fence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.fence_state(M.md_lines(corpus(spark, sf_dir)), block=8)
 
 
+@query(f'{_SPANS} SELECT doc_id, a AS start, b AS "end", kind FROM spans')
+def span_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All protected spans from the SQL table function."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, s.* FROM {docs} d, LATERAL md_span_rows(d.md) s", docs=corpus(spark, sf_dir))
+
+
 @query(
     f"""{_SPANS}, sectioned AS (SELECT *, sum(CASE WHEN fence = '' AND line_no > 1 AND regexp_matches(line, '^[ \t]{{0,3}}#{{1,6}}[ \t]+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM placed)
     SELECT s.doc_id, s.kind, count(DISTINCT s.a) AS n_spans, count(DISTINCT (s.a, p.line_no)) AS n_lines, count(DISTINCT (s.a, p.section)) AS n_sections

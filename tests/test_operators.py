@@ -367,6 +367,24 @@ def test_sql_functions(spark):
     assert tuple(row) == ("a\n```js\nb\n```", 1, None, "INLINE_CODE", 2)
 
 
+def test_table_functions(spark):
+    register(spark)
+    docs = spark.createDataFrame([(1, "a```js\nb\n```\n"), (2, "fine\n"), (3, None), (4, "`x` and `y`")], "doc_id long, md string")
+    rows = spark.sql("SELECT d.doc_id, i.* FROM {docs} d, LATERAL md_issues(d.md) i", docs=docs)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(x) for x in ("ArrowEvalPythonUDTF", "BatchEvalPythonUDTF")) == 1 and "ArrowEvalPython " not in plan
+    assert [(r["doc_id"], r["ord"], r["rule_id"], r["line"]) for r in rows.collect()] == [(1, 1, "FENCE_GLUE_AFTER_PROSE", 1), (1, 2, "FENCE_UNBALANCED", 3)]
+    assert sorted(map(tuple, spark.sql("SELECT d.doc_id, s.* FROM {docs} d, LATERAL md_span_rows(d.md) s WHERE d.doc_id = 4", docs=docs).collect())) == [(4, 0, 3, "INLINE_CODE"), (4, 8, 11, "INLINE_CODE")]
+
+
+@pytest.mark.parametrize("plan", ["lint_issues", "lint_report", "chunk_plan", "protect", "protected_spans", "sentence_pieces"])
+def test_every_scanner_runs_once(spark, plan):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, md string")
+    made = {"lint_issues": M.lint_issues, "lint_report": M.lint_report, "chunk_plan": chunking.chunk_plan, "protect": preserve.protect, "protected_spans": preserve.protected_spans, "sentence_pieces": lambda d: chunking.sentence_pieces(d, text_col="md")}
+    shown = made[plan](docs)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("ArrowEvalPython") == 1
+
+
 def test_lint_and_fix_plans(spark):
     docs = spark.createDataFrame([(1, "a```js\nb\n```\n"), (2, "```\nopen"), (3, "")], "doc_id long, md string")
     assert {r["rule_id"]: (r["n_issues"], r["n_docs"]) for r in lint_fix.lint_counts(docs).collect()} == {"FENCE_GLUE_AFTER_PROSE": (1, 1), "FENCE_UNBALANCED": (2, 2)}
