@@ -53,7 +53,7 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_names_and_guard():
-    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in queries.queries()] and len(queries.queries()) == 10
+    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in queries.queries()] and len(queries.queries()) == 13
     assert set(queries.oracle_sql()) <= set(queries.queries())
     root = Path(P.__file__).parent
     for path in [*(root / "quillspark").rglob("*.py"), root / "bench.py"]:
