@@ -7,34 +7,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions import spans as S
 from quillspark.functions.arrow import checked, once, scanner
 
-MAP = "array<struct<ord:int,placeholder:string,original:string>>"
-
-
-def _entries(kept: dict[str, str]) -> list[dict]:
-    return [{"ord": k, "placeholder": p, "original": o} for k, (p, o) in enumerate(kept.items(), 1)]
-
-
-def _kept(entries: list[dict]) -> dict[str, str]:
-    return {e["placeholder"]: e["original"] for e in entries}
+MAP = "array<struct<ord:int,placeholder:string,original:string,nth:int>>"
 
 
 def spans_of(md: Column) -> Column:
     return scanner(lambda t: [{"start": a, "end": b, "kind": k} for a, b, k in S.find_spans(t)], "array<struct<start:bigint,end:bigint,kind:string>>")(md)
 
 
-def protected(md: Column, skip_inline_code: bool = False) -> Column:
-    """struct<value struct<text, map>, error>; the map is an array in order of making."""
+def protected(md: Column, skip_inline_code: bool = False, most: int | None = S.MOST_PLACEHOLDERS) -> Column:
+    """struct<value struct<text, map>, error>; the map is an array in order of making.
+
+    Beyond ``most`` spans of a kind there is an error; None protects however many, under names that repeat beyond 999.
+    """
 
     def run(text: str) -> dict:
-        out, kept = S.protect(text, skip_inline_code)
-        return {"text": out, "map": _entries(kept)}
+        out, kept = S.protect_every(text, skip_inline_code, most)
+        return {"text": out, "map": [{"ord": k, **e._asdict()} for k, e in enumerate(kept, 1)]}
 
     return checked(run, f"struct<text:string,map:{MAP}>", S.SpanError)(md)
 
 
 def restored(text: Column, entries: Column, strict: bool = True) -> Column:
     """struct<value, error>."""
-    return checked(lambda t, e: S.restore(t, _kept(e), strict), "string", S.SpanError)(text, entries)
+    run = lambda t, e: S.restore_every(t, [S.Kept(x["placeholder"], x["original"], x["nth"]) for x in e], strict)
+    return checked(run, "string", S.SpanError)(text, entries)
 
 
 def structure_warnings(original: Column, rewritten: Column) -> Column:
@@ -54,9 +50,9 @@ def protected_spans(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     return docs.select(F.col(id_col), once(spans_of(F.col(md_col))).alias("spans")).select(id_col, F.explode("spans").alias("s")).select(id_col, "s.start", "s.end", "s.kind")
 
 
-def protect(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", skip_inline_code: bool = False) -> DataFrame:
-    """doc_id, protected_text, map, error."""
-    rows = docs.select(F.col(id_col), once(protected(F.col(md_col), skip_inline_code)).alias("p"))
+def protect(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", skip_inline_code: bool = False, most: int | None = None) -> DataFrame:
+    """doc_id, protected_text, map, error; however many spans a text has, unless ``most`` limits those of a kind."""
+    rows = docs.select(F.col(id_col), once(protected(F.col(md_col), skip_inline_code, most)).alias("p"))
     return rows.select(id_col, F.col("p.value.text").alias("protected_text"), F.col("p.value.map").alias("map"), F.col("p.error").alias("error"))
 
 
