@@ -83,6 +83,14 @@ def test_errors_stay_in_their_row(spark):
     assert sorted((r["doc_id"], r["error"], r["source_text"]) for r in plan.collect()) == [(1, "separator exceeds max-chunk-chars", None), (3, None, "ok")]
 
 
+def test_documents_with_more_spans_than_names_round_trip(spark):
+    docs = spark.createDataFrame([(1, "$$a$$ `b`\n" * 1500), (2, "`c`")], "doc_id long, md string")
+    safe = preserve.protect(docs)
+    assert {r["doc_id"]: (r["n"], r["error"]) for r in safe.select("doc_id", F.size("map").alias("n"), "error").collect()} == {1: (3000, None), 2: (1, None)}
+    back = preserve.restore(safe).join(docs, "doc_id").where("text = md AND error IS NULL")
+    assert back.count() == 2 and preserve.protect(docs, most=999).where("error = 'too many placeholders for MATH_BLOCK'").count() == 1
+
+
 def test_chunk_payloads(spark):
     good = [{"chunk_id": "c", "source_text": "t", "separators": ["\n\n"]}]
     texts = [json.dumps(["a", "b"]), json.dumps(good), "{}", "no json", json.dumps([{"chunk_id": "c"}]), json.dumps([1]), "[]", json.dumps(["a", 1])]
