@@ -91,6 +91,11 @@ def test_documents_with_more_spans_than_names_round_trip(spark):
     assert back.count() == 2 and preserve.protect(docs, most=999).where("error = 'too many placeholders for MATH_BLOCK'").count() == 1
 
 
+def test_text_of_a_document_with_more_spans_than_names(spark):
+    row = preserve.protect(spark.createDataFrame([(1, "$$a$$ x " * 1001)], "doc_id long, md string")).first()
+    assert row["error"] is None and row["protected_text"].startswith("__MATH_BLOCK_100__ x __MATH_BLOCK_100__ x __MATH_BLOCK_999__ x ") and [m["nth"] for m in row["map"]][99::900] == [3, 2]
+
+
 def test_chunk_payloads(spark):
     good = [{"chunk_id": "c", "source_text": "t", "separators": ["\n\n"]}]
     texts = [json.dumps(["a", "b"]), json.dumps(good), "{}", "no json", json.dumps([{"chunk_id": "c"}]), json.dumps([1]), "[]", json.dumps(["a", 1])]
