@@ -19,20 +19,25 @@ LIST_ITEM = re.compile(r"([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+")
 GLUE_LANGUAGE = re.compile(r"[A-Za-z0-9_-]+")
 
 
+def fenced(text: str) -> bool:
+    """Whether fence characters stand anywhere; without them there is nothing for a pass over fences to do."""
+    return "```" in text or "~~~" in text
+
+
 def opener(line: str) -> str | None:
     """The fence characters with which a line opens a block."""
-    found = FENCE_OPEN.match(line)
+    found = FENCE_OPEN.match(line) if fenced(line) else None
     return found[2] if found else None
 
 
 def closes(line: str, fence: str) -> bool:
     """Whether a line ends the block that ``fence`` opened: nothing else, same character, no shorter."""
-    found = FENCE_ONLY.fullmatch(line)
+    found = FENCE_ONLY.fullmatch(line) if fence in line else None
     return bool(found) and found[1][0] == fence[0] and len(found[1]) >= len(fence)
 
 
 def fence_only(line: str, fence: str = "") -> bool:
-    return FENCE_ONLY.fullmatch(line) is not None
+    return fenced(line) and FENCE_ONLY.fullmatch(line) is not None
 
 
 def rewrite_outside(lines: Iterable[str], change: Callable[[str], list[str]], ends: Callable[[str, str], bool] = closes) -> list[str]:
@@ -89,7 +94,7 @@ def in_ranges(ranges: list[tuple[int, int]], start: int, end: int) -> bool:
 
 def mid_line_fences(line: str, pattern: re.Pattern = FENCE_TOKEN) -> Iterator[re.Match]:
     """Fence tokens behind other text and outside inline code."""
-    if "```" in line or "~~~" in line:
+    if fenced(line):
         code, first = code_ranges(line), len(line) - len(line.lstrip())
         for token in pattern.finditer(line):
             if token.start() > first and not in_ranges(code, *token.span()):
@@ -121,6 +126,15 @@ def by_line(change: Callable[[list[str]], list[str]]) -> Callable[[str], str]:
     return run
 
 
+def settled(text: str, passes: int) -> str:
+    """What passes over lines that change none make of a text: single newlines, and of several final ones each pass takes one."""
+    for _ in range(passes):
+        if (new := by_line(lambda lines: lines)(text)) == text:
+            break
+        text = new
+    return text
+
+
 def excerpt(line: str) -> str:
     compact = line.strip()
     return compact if len(compact) <= 120 else compact[:117] + "..."
