@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -10,6 +10,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType, _parse_datatype_string
 
 
+#: Most bytes of a batch that are Python objects at a time; a larger row is taken alone.
+SLICE = 1 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``most`` bytes: memory for Python objects doesn't grow with a batch."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_function(function: Callable, returns: str):
     """An Arrow UDF, to be called on columns or registered for SQL; a null argument gives null."""
     kind: DataType = _parse_datatype_string(returns)
@@ -17,8 +29,11 @@ def arrow_function(function: Callable, returns: str):
 
     @F.arrow_udf(kind)
     def run(*arrays: pa.Array) -> pa.Array:
-        rows = zip(*(a.to_pylist() for a in arrays), strict=True)
-        return pa.array([None if None in row else function(*row) for row in rows], arrow)
+        made = [pa.array([], arrow)]
+        for part in slices([pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))])]):
+            rows = zip(*(a.to_pylist() for a in part.columns), strict=True)
+            made.append(pa.array([None if None in row else function(*row) for row in rows], arrow))
+        return pa.concat_arrays(made)
 
     return run
 

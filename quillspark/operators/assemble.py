@@ -14,12 +14,12 @@ def merge_translations(chunks: DataFrame, translations: DataFrame, id_col: str =
     """
     met = chunks.select(id_col, "idx", "separators").join(translations.select(id_col, "idx", "text"), [id_col, "idx"], "left")
     last = F.coalesce(F.try_element_at("separators", F.lit(-1)), F.lit(""))
-    piece = F.when(last != "", F.concat(F.regexp_replace("text", r"\n+$", ""), last)).otherwise(F.col("text"))
+    piece = F.when(last != "", F.concat(F.rtrim("text", F.lit("\n")), last)).otherwise(F.col("text"))
     rows = met.withColumn("piece", piece).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "piece"))).alias("p"), F.bool_and(F.col("piece").isNotNull()).alias("whole"))
     return rows.select(id_col, F.when(F.col("whole"), F.array_join(F.transform("p", lambda p: p["piece"]), "")).alias("body"))
 
 
 def assembled(title: Column, meta: Column, outline: Column, glossary: Column, body: Column) -> Column:
     """Title, meta, outline, glossary and body with blank lines between; headings get lines of their own."""
-    parts = [F.regexp_replace(p, r"^\n+|\n+$", "") for p in (C.title_line(title), meta, C.outline_section(outline), C.glossary_section(glossary), body)]
+    parts = [F.trim(p, F.lit("\n")) for p in (C.title_line(title), meta, C.outline_section(outline), C.glossary_section(glossary), body)]
     return C.heading_collisions(F.concat(F.regexp_replace(F.concat_ws("\n\n", *parts), r"(?U)\s+$", ""), F.lit("\n")))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions.answers import missing
+from quillspark.functions.arrow import slices
 
 
 class Client(Protocol):
@@ -107,8 +108,8 @@ def best_attempt(client: Client, messages: list[dict], expected: list[str], atte
     return best, attempts
 
 
-def complete(rows: DataFrame, make_client: Callable[[], Client], key_cols: tuple[str, ...], json_mode: bool = False, concurrency: int = 3, retry: Retry = Retry()) -> DataFrame:
-    """key columns, response, error, calls for rows with messages and, optionally, placeholders.
+def complete(rows: DataFrame, make_client: Callable[[], Client], key_cols: tuple[str, ...], json_mode: bool = False, concurrency: int = 3, retry: Retry = Retry(), distinct: bool = False) -> DataFrame:
+    """key columns, response, error, calls for rows with messages and, optionally, placeholders; ``distinct``: one row a key, whose rows ask the same.
 
     One client a partition; ``concurrency`` partitions, so as many calls at once.  A
     retried task repeats its calls: write the result before using it twice.
@@ -118,8 +119,12 @@ def complete(rows: DataFrame, make_client: Callable[[], Client], key_cols: tuple
     n = len(key_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make_client()
-        for batch in batches:
+        client, last = make_client(), None
+        for batch in slices(batches):
+            if distinct:  # rows of a key are neighbours
+                keys = list(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True))
+                batch = batch.filter(pa.array([k != before for before, k in zip([last, *keys], keys)], pa.bool_()))
+                last = keys[-1]
             out = []
             for messages, expected in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 try:
@@ -136,7 +141,8 @@ def complete(rows: DataFrame, make_client: Callable[[], Client], key_cols: tuple
             )
 
     keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key_cols)
-    return given.repartition(concurrency, *key_cols).mapInArrow(run, f"{keys}, response string, error string, calls long")
+    dealt = given.repartition(concurrency, *key_cols)
+    return (dealt.sortWithinPartitions(*key_cols) if distinct else dealt).mapInArrow(run, f"{keys}, response string, error string, calls long")
 
 
 class _Retrying:

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,32 @@ def test_errors_stay_in_their_row(spark):
     assert sorted((r["doc_id"], r["error"], r["source_text"]) for r in plan.collect()) == [(1, "separator exceeds max-chunk-chars", None), (3, None, "ok")]
 
 
+def test_batches_are_taken_in_parts():
+    from quillspark.functions.arrow import SLICE, slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 3000] * 10_000)], ["t"])
+    parts = list(slices([batch]))
+    assert sum(p.num_rows for p in parts) == 10_000 and max(p.nbytes for p in parts) <= SLICE + 3100
+    assert [p.num_rows for p in slices([pa.RecordBatch.from_arrays([pa.array(["y" * (2 * SLICE)] * 2)], ["t"])])] == [1, 1]
+
+
+def test_glued_headings_as_columns_and_as_text(spark):
+    from quillspark.functions.answers import part_headings
+
+    rng = random.Random(3)
+    pieces = [".", "!", "?", "。", "！", "？", "]", ")", "\n", " ", "\n\n", "#", "##", "## ", "###### ", "- ", "1. ", "> ", "---", "a", "b c"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", C.heading_collisions(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == [part_headings(t) for t in texts] and any(t != part_headings(t) for t in texts)
+
+
+def test_equal_questions_are_asked_once(spark, tmp_path):
+    rows = spark.range(300).select("id", F.array(F.struct(F.lit("user").alias("role"), (F.col("id") % 7).cast("string").alias("content"))).alias("messages"))
+    got = answered(rows, lambda: model.FakeClient(), ("id",), str(tmp_path / "a"), "m", concurrency=3).collect()
+    assert {(r["id"] % 7, r["response"]) for r in got} == {(k, str(k)) for k in range(7)} and len(got) == 300
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 7 and [f.name for f in tmp_path.iterdir()] == ["a"]  # no copies of questions or answers beside the table
+
+
 def test_documents_with_more_spans_than_names_round_trip(spark):
     docs = spark.createDataFrame([(1, "$$a$$ `b`\n" * 1500), (2, "`c`")], "doc_id long, md string")
     safe = preserve.protect(docs)
