@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import cli
-from quillspark.functions import columns as C, diagrams as D, profiles as R
+from quillspark.functions import chunks as K, columns as C, diagrams as D, profiles as R
 from quillspark.functions.register import register
 from quillspark.operators import assemble, chunking, diagrams, glossary as G, markdown as M, model, preserve
 from quillspark.operators.answers import answered
@@ -103,6 +103,13 @@ def test_glued_headings_as_columns_and_as_text(spark):
     assert [r["t"] for r in sorted(got)] == [part_headings(t) for t in texts] and any(t != part_headings(t) for t in texts)
 
 
+def test_residue_goes_from_batches_larger_than_a_part(spark):
+    rows = [(k, None if k % 100 == 7 else f"(missing answer)\n{'x' * 2000}\n{k}\n") for k in range(1500)]
+    got = spark.createDataFrame(rows, "k int, md string").coalesce(1).select("k", M.residue_dropped(F.col("md")).alias("md")).collect()
+    assert [tuple(x) for x in got] == [(k, t and t.removeprefix("(missing answer)\n")) for k, t in rows]
+
+
+
 def test_equal_questions_are_asked_once(spark, tmp_path):
     rows = spark.range(300).select("id", F.array(F.struct(F.lit("user").alias("role"), (F.col("id") % 7).cast("string").alias("content"))).alias("messages"))
     got = answered(rows, lambda: model.FakeClient(), ("id",), str(tmp_path / "a"), "m", concurrency=3).collect()
