@@ -110,6 +110,14 @@ def test_residue_goes_from_batches_larger_than_a_part(spark):
 
 
 
+def test_plans_of_batches_larger_than_a_part(spark):
+    rows = [(k, None if k % 100 == 7 else "\n" * 30 if k % 100 == 8 else f"# {k}\n\n{'x' * 2000}\r\n\r\n \n{'y' * 9}\n") for k in range(1200)]
+    got = chunking.chunk_plan(spark.createDataFrame(rows, "doc_id int, md string").coalesce(1), most=20).groupBy("doc_id").agg(F.count("source_text").alias("n"), F.max("error").alias("error")).collect()
+    want = {k: (0, "separator exceeds max-chunk-chars") if k % 100 == 8 else (len(K.plan(t, 20)), None) for k, t in rows if t}
+    assert {x["doc_id"]: (x["n"], x["error"]) for x in got} == want
+
+
+
 def test_equal_questions_are_asked_once(spark, tmp_path):
     rows = spark.range(300).select("id", F.array(F.struct(F.lit("user").alias("role"), (F.col("id") % 7).cast("string").alias("content"))).alias("messages"))
     got = answered(rows, lambda: model.FakeClient(), ("id",), str(tmp_path / "a"), "m", concurrency=3).collect()
