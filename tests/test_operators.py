@@ -118,6 +118,13 @@ def test_plans_of_batches_larger_than_a_part(spark):
 
 
 
+def test_units_of_batches_larger_than_a_part(spark):
+    rows = [(k, f"# {k}\n\n{'x' * 3000}\n\nend\n") for k in range(900)]
+    got = chunking.chunk_units(spark.createDataFrame(rows, "doc_id int, md string").coalesce(1), most=1000).groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("unit").alias("n")).collect()
+    assert {x["doc_id"]: (x["size"], x["n"]) for x in got} == {k: (len(t), len(K.units(t, 1000))) for k, t in rows}
+
+
+
 def test_equal_questions_are_asked_once(spark, tmp_path):
     rows = spark.range(300).select("id", F.array(F.struct(F.lit("user").alias("role"), (F.col("id") % 7).cast("string").alias("content"))).alias("messages"))
     got = answered(rows, lambda: model.FakeClient(), ("id",), str(tmp_path / "a"), "m", concurrency=3).collect()
