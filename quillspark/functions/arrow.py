@@ -22,29 +22,42 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def arrow_function(function: Callable, returns: str):
-    """An Arrow UDF, to be called on columns or registered for SQL; a null argument gives null."""
+def arrow_function(function: Callable, returns: str, streamed: bool = False):
+    """An Arrow UDF, to be called on columns or registered for SQL; a null argument gives null.
+
+    One that is ``streamed`` hands its rows on part by part, so that no batch of results is held; it has a step of the plan for itself.
+    """
     kind: DataType = _parse_datatype_string(returns)
     arrow = to_arrow_type(kind)
 
-    @F.arrow_udf(kind)
-    def run(*arrays: pa.Array) -> pa.Array:
-        made = [pa.array([], arrow)]
+    def parts(arrays: Iterable[pa.Array]) -> Iterator[pa.Array]:
         for part in slices([pa.RecordBatch.from_arrays(list(arrays), [str(k) for k in range(len(arrays))])]):
             rows = zip(*(a.to_pylist() for a in part.columns), strict=True)
-            made.append(pa.array([None if None in row else function(*row) for row in rows], arrow))
-        return pa.concat_arrays(made)
+            yield pa.array([None if None in row else function(*row) for row in rows], arrow)
+
+    if streamed:
+
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for given in batches:  # of one column, the array itself
+                yield from parts(given if isinstance(given, tuple) else (given,))
+
+    else:
+
+        @F.arrow_udf(kind)
+        def run(*arrays: pa.Array) -> pa.Array:
+            return pa.concat_arrays([pa.array([], arrow), *parts(arrays)])
 
     return run
 
 
-def scanner(function: Callable, returns: str) -> Callable[..., Column]:
+def scanner(function: Callable, returns: str, streamed: bool = False) -> Callable[..., Column]:
     """A column function from a Python function of one text or more; made when it is first called."""
     made: list = []
 
     def call(*columns: Column) -> Column:
         if not made:
-            made.append(arrow_function(function, returns))
+            made.append(arrow_function(function, returns, streamed))
         return made[0](*columns)
 
     return call
@@ -65,4 +78,4 @@ def checked(function: Callable, returns: str, *errors: type[Exception]) -> Calla
         except errors as e:
             return {"value": None, "error": str(e)}
 
-    return scanner(attempt, StructType().add("value", inner).add("error", "string").simpleString())
+    return scanner(attempt, StructType().add("value", inner).add("error", "string").simpleString(), streamed=True)

@@ -118,6 +118,21 @@ def test_plans_of_batches_larger_than_a_part(spark):
 
 
 
+def test_plans_are_handed_on_part_by_part(spark):
+    """No batch of results is held: a part is out before the next is made, and chunk plans are made that way."""
+    from pyspark.util import PythonEvalType
+
+    from quillspark.functions.arrow import SLICE, arrow_function
+
+    seen = []
+    run = arrow_function(lambda t: seen.append(t) or len(t), "bigint", streamed=True)
+    texts = pa.array(["x" * (SLICE // 16)] * 100 + [None])
+    parts = run.func(iter([texts]))
+    assert 0 < len(next(parts)) == len(seen) < 20 and 101 - len(seen) == sum(map(len, parts))
+    plan = chunking.chunk_plan(spark.createDataFrame([(1, "a")], "doc_id int, md string"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_units_of_batches_larger_than_a_part(spark):
     rows = [(k, f"# {k}\n\n{'x' * 3000}\n\nend\n") for k in range(900)]
     got = chunking.chunk_units(spark.createDataFrame(rows, "doc_id int, md string").coalesce(1), most=1000).groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("unit").alias("n")).collect()
