@@ -17,7 +17,8 @@ def spans_of(md: Column) -> Column:
 def protected(md: Column, skip_inline_code: bool = False, most: int | None = S.MOST_PLACEHOLDERS) -> Column:
     """struct<value struct<text, map>, error>; the map is an array in order of making.
 
-    Beyond ``most`` spans of a kind there is an error; None protects however many, under names that repeat beyond 999.
+    Beyond ``most`` spans of a kind, or for tokens like placeholders in the text, there is an error; None protects however many, under names
+    that repeat beyond 999, and lists the text's own tokens behind them, with a null original.
     """
 
     def run(text: str) -> dict:

@@ -160,6 +160,18 @@ def test_text_of_a_document_with_more_spans_than_names(spark):
     assert row["error"] is None and row["protected_text"].startswith("__MATH_BLOCK_100__ x __MATH_BLOCK_100__ x __MATH_BLOCK_999__ x ") and [m["nth"] for m in row["map"]][99::900] == [3, 2]
 
 
+OWN_TOKENS = ["x __URL_001__ y `c` [a](u)", "__BOLD__`x` z", "`__URL_001__`", "$x$__FOO_001__", "`a`INLINE_CODE_001__", "__URL_001__ [a](u) __URL_001__ `__URL_001__`", "__A_001__"]
+
+
+def test_documents_with_tokens_of_their_own_round_trip(spark):
+    docs = spark.createDataFrame([*enumerate(OWN_TOKENS), (99, None)], "doc_id long, md string")
+    for strict in (True, False):
+        back = preserve.restore(preserve.protect(docs), strict=strict)
+        assert {r["doc_id"]: (r["text"], r["error"]) for r in back.collect()} == {k: (t, None) for k, t in [*enumerate(OWN_TOKENS), (99, None)]}
+    rows = preserve.protect(docs, most=999).where("error IS NOT NULL")
+    assert rows.where("error LIKE '%placeholder%'").count() == 7  # a model has to tell them apart
+
+
 def test_chunk_payloads(spark):
     good = [{"chunk_id": "c", "source_text": "t", "separators": ["\n\n"]}]
     texts = [json.dumps(["a", "b"]), json.dumps(good), "{}", "no json", json.dumps([{"chunk_id": "c"}]), json.dumps([1]), "[]", json.dumps(["a", 1])]
