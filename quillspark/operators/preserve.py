@@ -14,15 +14,15 @@ def spans_of(md: Column) -> Column:
     return scanner(lambda t: [{"start": a, "end": b, "kind": k} for a, b, k in S.find_spans(t)], "array<struct<start:bigint,end:bigint,kind:string>>")(md)
 
 
-def protected(md: Column, skip_inline_code: bool = False, most: int | None = S.MOST_PLACEHOLDERS) -> Column:
+def protected(md: Column, skip_inline_code: bool = False, most: int | None = S.MOST_PLACEHOLDERS, own: bool = False) -> Column:
     """struct<value struct<text, map>, error>; the map is an array in order of making.
 
-    Beyond ``most`` spans of a kind, or for tokens like placeholders in the text, there is an error; None protects however many, under names
-    that repeat beyond 999, and lists the text's own tokens behind them, with a null original.
+    Beyond ``most`` spans of a kind there is an error; None protects however many, under names that repeat beyond 999.  Tokens like
+    placeholders in the text are an error too; with ``own`` they are listed behind the others, with a null original.
     """
 
     def run(text: str) -> dict:
-        out, kept = S.protect_every(text, skip_inline_code, most)
+        out, kept = S.protect_every(text, skip_inline_code, most, own)
         return {"text": out, "map": [{"ord": k, **e._asdict()} for k, e in enumerate(kept, 1)]}
 
     return checked(run, f"struct<text:string,map:{MAP}>", S.SpanError)(md)
@@ -51,9 +51,9 @@ def protected_spans(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md")
     return docs.select(F.col(id_col), once(spans_of(F.col(md_col))).alias("spans")).select(id_col, F.explode("spans").alias("s")).select(id_col, "s.start", "s.end", "s.kind")
 
 
-def protect(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", skip_inline_code: bool = False, most: int | None = None) -> DataFrame:
+def protect(docs: DataFrame, id_col: str = "doc_id", md_col: str = "md", skip_inline_code: bool = False, most: int | None = None, own: bool = False) -> DataFrame:
     """doc_id, protected_text, map, error; however many spans a text has, unless ``most`` limits those of a kind."""
-    rows = docs.select(F.col(id_col), once(protected(F.col(md_col), skip_inline_code, most)).alias("p"))
+    rows = docs.select(F.col(id_col), once(protected(F.col(md_col), skip_inline_code, most, own)).alias("p"))
     return rows.select(id_col, F.col("p.value.text").alias("protected_text"), F.col("p.value.map").alias("map"), F.col("p.error").alias("error"))
 
 
