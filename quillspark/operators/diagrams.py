@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,9 +14,13 @@ EVENTS = "array<struct<pos:bigint,kind:string,text:string>>"
 DIAGRAM = "struct<language:string,content:string,heading:string>"
 
 
-def page_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, pos, kind (heading or diagram), text; entities need Python's full table."""
-    return pages.select(F.col(id_col), once(scanner(D.page_events, EVENTS)(F.col(html_col))).alias("events")).select(id_col, F.explode("events").alias("e")).select(id_col, "e.pos", "e.kind", "e.text")
+#: Character references as patterns and what they stand for.
+References = tuple[tuple[str, str], ...]
+
+
+def page_events(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", references: References | None = None) -> DataFrame:
+    """page_id, pos, kind (heading or diagram), text; entities need Python's full table, unless ``references`` says which a heading's are."""
+    return pages.select(F.col(id_col), once(scanner(partial(D.page_events, references=references), EVENTS)(F.col(html_col))).alias("events")).select(id_col, F.explode("events").alias("e")).select(id_col, "e.pos", "e.kind", "e.text")
 
 
 def nearest_heading(events: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -25,9 +30,9 @@ def nearest_heading(events: DataFrame, id_col: str = "page_id") -> DataFrame:
     return events.withColumn("heading", heading).where("kind <> 'heading'")
 
 
-def extract_diagrams(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, pos, language, content, heading."""
-    return nearest_heading(page_events(pages, id_col, html_col), id_col).select(id_col, "pos", F.lit("snapdown").alias("language"), F.col("text").alias("content"), "heading")
+def extract_diagrams(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", references: References | None = None) -> DataFrame:
+    """page_id, pos, language, content, heading; ``references`` as in ``page_events``."""
+    return nearest_heading(page_events(pages, id_col, html_col, references), id_col).select(id_col, "pos", F.lit("snapdown").alias("language"), F.col("text").alias("content"), "heading")
 
 
 def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

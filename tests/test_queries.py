@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 
 from quillspark.plans import queries as Q
 
@@ -31,3 +32,22 @@ def test_query_agrees_with_sql(spark, other_engine, name):
     order = lambda row: tuple((x is None, str(x)) for x in row)
     expected = sorted((tuple(r[names.index(c)] for c in columns) for r in answer.fetchall()), key=order)
     assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=order) == expected
+
+
+#: Titles with references that are whole, cut, nested or of other kinds.
+TITLES = ("token = &quot", "token = &quot;x&quot;", "a &amp", "a &amp; b", "a &am", "a &", "&amp;quot; &ampquot;", "&lt;b&gt; &#39;c&#39; &nbsp;d", "&quot", "&quot;", "<i>a</i> &quot b", "a\n  b", "", "plain")
+
+
+def agree_on_titles(spark, tmp_path, name):
+    pages = [Row(page_id=k, html=f"<html><head><title>t</title></head><body><h1>{title}</h1><p>x</p></body></html>") for k, title in enumerate(TITLES * 2, 1)]
+    spark.createDataFrame(pages).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        answer = con.execute(Q.SQL[name])
+        names, expected = [d[0] for d in answer.description], answer.fetchall()
+    got = [tuple(r[c] for c in names) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_headings_with_cut_references(spark, tmp_path):
+    agree_on_titles(spark, tmp_path, "diagram_headings")
