@@ -14,7 +14,8 @@ def merge_translations(chunks: DataFrame, translations: DataFrame, id_col: str =
     """
     met = chunks.select(id_col, "idx", "separators").join(translations.select(id_col, "idx", "text"), [id_col, "idx"], "left")
     last = F.coalesce(F.try_element_at("separators", F.lit(-1)), F.lit(""))
-    piece = F.when(last != "", F.concat(F.rtrim("text", F.lit("\n")), last)).otherwise(F.col("text"))
+    bare = F.when(F.endswith("text", last), F.left("text", F.length("text") - F.length(last))).otherwise(F.col("text"))  # a separator may end with the next line's indentation
+    piece = F.when(last != "", F.concat(F.rtrim(bare, F.lit("\n")), last)).otherwise(F.col("text"))
     rows = met.withColumn("piece", piece).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "piece"))).alias("p"), F.bool_and(F.col("piece").isNotNull()).alias("whole"))
     return rows.select(id_col, F.when(F.col("whole"), F.array_join(F.transform("p", lambda p: p["piece"]), "")).alias("body"))
 

@@ -440,6 +440,12 @@ def test_merging_uses_the_last_separator(spark):
     assert {r["doc_id"]: r["body"] for r in assemble.merge_translations(chunks, said).collect()} == {1: "a\n\n\nb\n", 2: None}
 
 
+def test_merging_repeats_no_separator_that_ends_with_indentation(spark):
+    chunks = spark.createDataFrame([(1, 0, ["\n\n  "]), (1, 1, [""])], "doc_id long, idx long, separators array<string>")
+    said = spark.createDataFrame([(1, 0, "a\n\n  "), (1, 1, "b\n")], "doc_id long, idx long, text string")
+    assert assemble.merge_translations(chunks, said).first()["body"] == "a\n\n  b\n"
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n")
     (tmp_path / "urls.txt").write_text("# list\n https://x.y/a \n\nhttps://x.y/a\n")

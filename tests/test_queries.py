@@ -38,20 +38,32 @@ def test_query_agrees_with_sql(spark, other_engine, name):
 TITLES = ("token = &quot", "token = &quot;x&quot;", "a &amp", "a &amp; b", "a &am", "a &", "&amp;quot; &ampquot;", "&lt;b&gt; &#39;c&#39; &nbsp;d", "&quot", "&quot;", "<i>a</i> &quot b", "a\n  b", "", "plain")
 
 
-def agree_on_titles(spark, tmp_path, name, titles=TITLES):
-    pages = [Row(page_id=k, html=f"<html><head><title>t</title></head><body><h1>{title}</h1><p>x</p></body></html>") for k, title in enumerate(titles * 2, 1)]
-    spark.createDataFrame(pages).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+def agree(spark, tmp_path, name, table, rows):
+    """A query over a made table gives what its SQL does."""
+    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
     with duckdb.connect() as con:
-        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
         answer = con.execute(Q.SQL[name])
         names, expected = [d[0] for d in answer.description], answer.fetchall()
     got = [tuple(r[c] for c in names) for r in Q.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def agree_on_titles(spark, tmp_path, name, titles=TITLES):
+    agree(spark, tmp_path, name, "pages", [Row(page_id=k, html=f"<html><head><title>t</title></head><body><h1>{title}</h1><p>x</p></body></html>") for k, title in enumerate(titles * 2, 1)])
+
+
 def test_headings_with_cut_references(spark, tmp_path):
     agree_on_titles(spark, tmp_path, "diagram_headings")
 
 
 def test_insertion_under_headings_with_cut_references(spark, tmp_path):
     agree_on_titles(spark, tmp_path, "diagram_insert", tuple(t for t in TITLES if t))  # nothing goes under a heading without a text
+
+
+#: Paragraphs of more than a chunk that are cut behind a sentence or before a line end, and paragraphs whose indentation is part of the separator.
+CUT = ("$$ " + "\n".join(["alpha beta " * 40 + "end."] * 30) + " $$ tail", "$$ " + "\n".join(["alpha beta " * 40] * 30) + " $$ tail", "\n".join([" " + "alpha beta " * 40] * 30))
+
+
+def test_cut_paragraphs_come_back_whole(spark, tmp_path):
+    agree(spark, tmp_path, "pipeline_damaged", "documents", [Row(doc_id=k, text=text) for k, text in enumerate(CUT * 2, 1)])

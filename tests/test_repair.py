@@ -120,6 +120,11 @@ def test_answers():
     assert text == "see" and warnings == ["QA warning: URL target mismatch"]
 
 
+@pytest.mark.parametrize("original", ["Be.\n\n", "\nand so", "\n\nand\n\n\n ", "Be. ", "\n\n", " \n\n", ""])
+def test_answers_end_as_their_originals(original):
+    assert A.finish(original, original, {}) == A.finish(f"<<<\n{original}", original, {}) == (original, [])
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
