@@ -57,14 +57,14 @@ class Options:
         return cls(**found | given)
 
 
-def finished(answer, original, entries, options: Options):
-    """struct<value<text, warnings>, error> of a model's answer."""
+def finished(answer, original, entries, before, options: Options):
+    """struct<value<text, warnings>, error> of a model's answer; ``before``: the last sign of the chunk before."""
 
-    def run(text: str, source: str, kept: list[dict]) -> dict:
-        out, warnings = A.finish(text, source, {e["placeholder"]: e["original"] for e in kept}, options.strict, options.max_depth)
+    def run(text: str, source: str, kept: list[dict], sign: str) -> dict:
+        out, warnings = A.finish(text, source, {e["placeholder"]: e["original"] for e in kept}, options.strict, options.max_depth, sign)
         return {"text": out, "warnings": warnings}
 
-    return checked(run, FINISHED, SpanError)(answer, original, entries)
+    return checked(run, FINISHED, SpanError)(answer, original, entries, before)
 
 
 def ask_profiles(docs: DataFrame, make_client: Callable[[], Client], options: Options, path: str) -> DataFrame:
@@ -115,7 +115,9 @@ def translate(docs: DataFrame, make_client: Callable[[], Client], options: Optio
         return answered(safe.where("protect_error IS NULL").select("doc_id", "idx", "placeholders", "messages"), make_client, ("doc_id", "idx"), answers, options.model, False, options.concurrency, options.retry, options.waves)
 
     def restore_chunks(safe: DataFrame, said: DataFrame) -> DataFrame:
-        done = safe.join(said, ["doc_id", "idx"], "left").select("*", once(finished(F.col("response"), F.col("source_text"), F.col("map"), options)).alias("f"))
+        cut = safe.where(~F.endswith("source_text", F.lit("\n"))).select("doc_id", (F.col("idx") + 1).alias("idx"), F.right("source_text", F.lit(1)).alias("before"))  # the next chunk goes on in the line
+        met = safe.join(said, ["doc_id", "idx"], "left").join(cut, ["doc_id", "idx"], "left")
+        done = met.select("*", once(finished(F.col("response"), F.col("source_text"), F.col("map"), F.coalesce("before", F.lit("")), options)).alias("f"))
         return done.select(
             "doc_id", "idx", "chunk_id", "separators", F.col("f.value.text").alias("text"), F.concat(F.col("f.value.warnings"), G.lost_forms(F.col("f.value.text"), F.col("terms"))).alias("warnings"), "calls",
             F.coalesce("protect_error", "error", F.concat(F.lit("restore failed: "), F.col("f.error"))).alias("error"),

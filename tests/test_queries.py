@@ -67,3 +67,11 @@ CUT = ("$$ " + "\n".join(["alpha beta " * 40 + "end."] * 30) + " $$ tail", "$$ "
 
 def test_cut_paragraphs_come_back_whole(spark, tmp_path):
     agree(spark, tmp_path, "pipeline_damaged", "documents", [Row(doc_id=k, text=text) for k, text in enumerate(CUT * 2, 1)])
+
+
+#: Lines of more than a chunk, cut behind a sentence where the next words look like an item, a quote or a block.
+LINES = tuple("alpha beta end. " * 500 + f"{begin}gamma # delta. " * 30 + "alpha beta end. " * 300 for begin in ("- ", "5. ", "> ", "* ", "# ", "## "))
+
+
+def test_lines_that_are_cut_begin_no_item(spark, tmp_path):
+    agree(spark, tmp_path, "pipeline_identity", "documents", [Row(doc_id=k, text=text) for k, text in enumerate(LINES, 1)])
